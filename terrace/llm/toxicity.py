@@ -43,7 +43,7 @@ def _slots():
         if len(known) > 1_000_000:
             known.clear()
         found = set(WORDS.findall((text or "").lower()))
-        for w in found - known.keys():
+        for w in [w for w in found if w not in known]:
             known[w] = xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) & (SLOTS - 1)
         return np.unique(np.fromiter((known[w] for w in found), np.int32, len(found)))
 
