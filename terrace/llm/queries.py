@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .mixing import mixed_sizes
 from .simhash import near_duplicates
 from .toxicity import toxicity
 
@@ -16,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(read_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -25,10 +30,54 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op7_toxicity, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op7_toxicity, op8_exact_dedup)}
+
+
+def _apportion(name: str, parties: str, within: str, key: str) -> str:
+    """CTEs for seats by highest quotients among ``parties(within, key, votes, most, seats)``."""
+    own = f"PARTITION BY {within}" if within else ""
+    comma = f"{within}, " if within else ""
+    return f"""
+{name}_p AS (SELECT *, sum(votes) OVER ({own}) AS t_, count(*) OVER ({own}) / 2.0::DOUBLE AS p_ FROM {parties}),
+{name}_b AS (SELECT *, CAST(least(greatest(ceil(votes * (seats - p_) / t_ - 0.5) - 1, 0), most) AS BIGINT) AS lo_,
+                    CAST(least(ceil(votes * (seats + p_) / t_ + 0.5) + 1, most) AS BIGINT) AS hi_ FROM {name}_p),
+{name}_r AS (SELECT *, seats - sum(lo_) OVER ({own}) AS rest_ FROM {name}_b),
+{name}_o AS (SELECT {comma}{key}, votes, rest_, unnest(range(lo_, hi_)) AS k_ FROM {name}_r),
+{name}_w AS (SELECT *, row_number() OVER ({own} ORDER BY votes / (2 * k_ + 1) DESC, {key}, k_) AS at_ FROM {name}_o),
+{name}_c AS (SELECT {comma}{key}, count(*) AS won_ FROM {name}_w WHERE at_ <= rest_ GROUP BY ALL),
+{name} AS (SELECT {comma}{key}, lo_ + coalesce(won_, 0) AS got FROM {name}_r LEFT JOIN {name}_c USING ({comma}{key}))"""
 
 
 SQL = {
+    "op2_mixing": rf"""
+WITH rows_ AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS s FROM rows_ GROUP BY source),
+wt AS (SELECT *, (s - 1) % 3 + 1 AS w, 3 * source_size AS most FROM src),
+lv AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS level
+       FROM wt WINDOW b AS (ORDER BY most / CAST(w AS DOUBLE), s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tg AS (SELECT source, s, source_size, least(CAST(most AS DOUBLE), w * (SELECT level FROM lv WHERE level <= most / CAST(w AS DOUBLE) ORDER BY most / CAST(w AS DOUBLE), s LIMIT 1)) AS target FROM lv),
+pl AS (SELECT r.doc_id, r.size, t.s, t.source_size, t.target,
+              CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) % greatest(1, CAST(ceil(t.source_size / 200000.0) AS BIGINT)) AS shard
+       FROM rows_ r JOIN tg t ON r.source IS NOT DISTINCT FROM t.source),
+st AS (SELECT *, CAST(sum(size) OVER o AS BIGINT) AS stop_, row_number() OVER o AS r FROM pl
+       WINDOW o AS (PARTITION BY s, shard ORDER BY md5('43:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cut AS (SELECT s, shard, CAST(sum(size) AS BIGINT) AS words, shard // 256 AS team,
+               CAST(greatest(ceil(sum(size) / 256.0), least(sum(size), 64)) AS BIGINT) AS blocks FROM pl GROUP BY s, shard HAVING sum(size) > 0),
+v1 AS (SELECT s, blocks, target * blocks / source_size AS votes, 3 * blocks AS most FROM (SELECT s, CAST(sum(blocks) AS BIGINT) AS blocks FROM cut GROUP BY s) JOIN tg USING (s)),
+p1 AS (SELECT s, votes, most, CAST(round(sum(votes) OVER ()) AS BIGINT) AS seats FROM v1),
+{_apportion("a1", "p1", "", "s")},
+p2 AS (SELECT s, team, CAST(sum(blocks) AS DOUBLE) AS votes, 3 * CAST(sum(blocks) AS BIGINT) AS most, any_value(got) AS seats FROM cut JOIN a1 USING (s) GROUP BY s, team),
+{_apportion("a2", "p2", "s", "team")},
+p3 AS (SELECT s, team, shard, CAST(blocks AS DOUBLE) AS votes, 3 * blocks AS most, got AS seats FROM cut JOIN a2 USING (s, team)),
+{_apportion("a3", "p3", "s, team", "shard")},
+bl AS (SELECT s, shard, words, blocks, got AS quota, unnest(range(blocks)) AS k FROM cut JOIN a3 USING (s, team, shard)),
+bt AS (SELECT s, shard, k, k * words // blocks AS from_, (k + 1) * words // blocks AS to_,
+              quota // blocks + CASE WHEN row_number() OVER (PARTITION BY s, shard ORDER BY md5('44:' || s || ':' || shard || ':' || k)) <= quota % blocks THEN 1 ELSE 0 END AS times FROM bl)
+SELECT st.doc_id, st.size, st.source_size, st.target,
+       CAST(coalesce(sum((least(stop_, to_) - greatest(stop_ - size, from_)) * times) FILTER (WHERE least(stop_, to_) > greatest(stop_ - size, from_)), 0) AS BIGINT) AS taken
+FROM st LEFT JOIN bt ON st.s = bt.s AND st.shard = bt.shard AND bt.from_ < st.stop_ AND bt.to_ > st.stop_ - st.size
+GROUP BY st.s, st.shard, st.r, st.doc_id, st.size, st.source_size, st.target
+""",
     "op8_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
