@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
@@ -11,9 +12,11 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .mixing import mixed_sizes
 from .simhash import near_duplicates
+from .token_files import round_trip
 from .toxicity import toxicity
 
 
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -34,8 +37,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("tag")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op7_toxicity, op8_exact_dedup, op9_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files)}
 
 
 def _apportion(name: str, parties: str, within: str, key: str) -> str:
