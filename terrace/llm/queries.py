@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .mixing import mixed_sizes
 from .simhash import near_duplicates
+from .substring_dedup import substring_dedup
 from .token_files import round_trip
 from .toxicity import toxicity
 
@@ -25,6 +26,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -42,7 +47,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op4_substring_dedup, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files)}
 
 
 def _apportion(name: str, parties: str, within: str, key: str) -> str:
@@ -111,6 +116,16 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+SQL["op4_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, p, array_to_string(w[p : p + 49], ' ') AS k FROM win),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS a FROM h) WHERE a < doc_id),
+g AS (SELECT doc_id, list(DISTINCT p + o) AS gone FROM f, range(50) r(o) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
