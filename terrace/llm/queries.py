@@ -11,6 +11,7 @@ from .common import read_table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .mixing import mixed_sizes
+from .secrets import secret_scan
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 from .token_files import round_trip
@@ -30,6 +31,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -47,7 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op4_substring_dedup, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op4_substring_dedup, op6_secrets, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files)}
 
 
 def _apportion(name: str, parties: str, within: str, key: str) -> str:
@@ -128,5 +133,30 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+def _spans(kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""
+SELECT doc_id, text_row, '{kind}' AS kind, CAST(list_sum(g[1:i]) + coalesce(list_sum([len(x) FOR x IN m[1 : i - 1]]), 0) AS BIGINT) AS a_, m[i] AS hit, n[i] AS inner_
+FROM (SELECT doc_id, text_row, [len(x) FOR x IN string_split_regex(t, '{pattern}')] AS g, regexp_extract_all(t, '{pattern}') AS m,
+             regexp_extract_all(t, '{pattern}', {group}) AS n FROM d), range(1, 100000) r(i)
+WHERE i <= len(m) AND len(n[i]) >= {least}"""
+
+
+_KINDS = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0), ("hub", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
+)
+SQL["op6_secrets"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS text_row FROM documents),
+s AS ({' UNION ALL '.join(_spans(*k) for k in _KINDS)}),
+o AS (SELECT *, coalesce(a_, 0) AS a, list_position(['assign', 'access', 'hex', 'pem', 'hub'], kind) AS ord_ FROM s),
+c AS (SELECT text_row, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || a || ':' || (a + len(hit)), ',' ORDER BY a, ord_) FILTER (WHERE ord_ <= 3) AS base,
+             string_agg(kind || ':' || a || ':' || (a + len(hit)), ',' ORDER BY a, ord_) AS spans FROM o GROUP BY text_row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN c USING (text_row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
