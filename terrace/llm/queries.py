@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .html_text import main_text
 from .mixing import mixed_sizes
 from .secrets import secret_scan
 from .simhash import near_duplicates
@@ -31,6 +32,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read_table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op4_substring_dedup, op6_secrets, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op4_substring_dedup, op5_html_text, op6_secrets, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files)}
 
 
 def _apportion(name: str, parties: str, within: str, key: str) -> str:
