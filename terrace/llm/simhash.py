@@ -61,14 +61,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with fp the fingerprint's bits as a signed long."""
+    """(doc_id, tag, fp) with fp the fingerprint's bits as a signed long; tag is a hash of the whole row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fps)], ["doc_id", "tag", "fp"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(*(docs[c] for c in docs.columns)).alias("tag"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -253,13 +254,30 @@ def links(fps: DataFrame, distance: int = 3, hot: int = HOT) -> DataFrame:
     return edges
 
 
+def _components(rows: DataFrame, distance: int, hot: int) -> DataFrame:
+    """(fp, root) of each distinct fp of ``rows``."""
+    classes = written(rows.select("fp").distinct(), "classes")
+    roots = written(components(links(classes, distance, hot)), "roots")
+    return written(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "named")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row."""
     rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = written(components(links(classes.select("fp"), distance, hot)), "roots")
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = written(named, "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = _components(rows, distance, hot)
+    # a class first, so that a component's ids come together as one number for each class
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     answer = named.join(least, "root").select("fp", "component_id")
     return rows.join(answer, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = 3, distance: int = 3, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that of the least id, null ids last."""
+    rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    named = _components(rows, distance, hot)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
+    best = rows.groupBy("fp").agg(F.min(order).alias("best")).join(named, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    best = best.select(F.col("best.tag").alias("kept tag"), F.col("best.doc_id").alias("kept id"))
+    tagged = docs.withColumn("row tag", F.xxhash64(*(docs[c] for c in docs.columns)))
+    kept = tagged.join(best, (tagged["row tag"] == best["kept tag"]) & tagged[id_col].eqNullSafe(best["kept id"]), "left_semi")
+    return kept.dropDuplicates(["row tag", id_col]).select(*docs.columns)

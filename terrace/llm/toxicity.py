@@ -137,7 +137,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The given columns of ``docs`` with the score and the prediction of each whole text."""
     kept, bias, weights, factors = machine.kept, machine.bias, machine.weights, machine.factors
-    columns, taken = list(columns), docs.select(*(docs[c] for c in columns), docs[text_col].alias("scored text"))
+    columns = list(columns)
+    place_of_text = columns.index(text_col) if text_col in columns else len(columns)
+    taken = docs.select(*(docs[c] for c in columns), *([] if text_col in columns else [docs[text_col]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, slots = Machine(kept, bias, weights, factors), _slots()
@@ -145,7 +147,7 @@ def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id
         place[kept] = np.arange(len(kept))
         for batch in batches:
             z = []
-            for text in batch.column(len(columns)):
+            for text in batch.column(place_of_text):
                 at = place[slots(text.as_py())]
                 z.append(model.raw(at[at >= 0]))
             s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -60, 60)))
@@ -160,3 +162,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, learn(docs, labels))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without those predicted toxic."""
+    return score(docs, learn(docs, labels), tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
