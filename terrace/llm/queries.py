@@ -11,6 +11,7 @@ from .common import read_table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .html_text import main_text
+from .line_dedup import line_dedup
 from .mixing import mixed_sizes
 from .secrets import secret_scan
 from .simhash import near_duplicates
@@ -28,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(read_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op4_substring_dedup, op5_html_text, op6_secrets, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_line_dedup, op4_substring_dedup, op5_html_text, op6_secrets, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files)}
 
 
 def _apportion(name: str, parties: str, within: str, key: str) -> str:
@@ -161,6 +166,15 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN c USING (text_row)
 """
+SQL["op3_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, p, l[p] || chr(10) || l[p + 1] AS k FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS p FROM d)),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS c FROM r) WHERE c > 1),
+g AS (SELECT doc_id, list(DISTINCT p + o) AS gone FROM f, range(2) t(o) GROUP BY doc_id)
+SELECT doc_id, len(l) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(gone, i)) END, chr(10))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
