@@ -1 +1 @@
-"""plans of the engine."""
+"""Registered queries, their SQL equivalents, and whole builds."""
