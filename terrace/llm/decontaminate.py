@@ -35,7 +35,7 @@ def lower_ascii(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text in which A-Z may still be capital; no words for null."""
     split = F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    return F.filter(split, lambda w: w != "")
+    return F.array_remove(split, "")
 
 
 def windows_of(benchmark: DataFrame, size: int) -> DataFrame:
@@ -69,7 +69,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int, few: int = FEW) -> tu
 
     ordered = windows.select("window_id", "window", F.posexplode("window").alias("at", "word")).join(rarity, "word")
     prefix = ordered.groupBy("window_id").agg(F.min_by(F.struct("at", "key"), F.struct("n", "word", "at")).alias("p"), F.first("window").alias("window"))
-    prefix = written(prefix.select("window_id", "window", F.size("window").alias("len"), "p.at", "p.key"), "prefixes")
+    prefix = written(prefix.select("window_id", F.array_join("window", " ").alias("spelled"), F.size("window").alias("len"), "p.at", "p.key"), "prefixes")
 
     # segments of start positions, each with the words that its last window may still need
     n = F.size("w")
@@ -79,8 +79,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int, few: int = FEW) -> tu
     met = word.join(hinted(prefix, few), "key")
     start = F.col("p") - F.col("at")
     met = met.where((F.col("n_words") >= F.col("len")) & (start >= 0) & (start < SEGMENT) & (start + F.col("len") <= F.size("w")))
-    there = F.transform(F.expr("slice(w, p - at + 1, len)"), lower_ascii)
-    met = met.where(there == F.col("window"))
+    # no lambda here: with one, the words of a segment would be copied for each single word on the way to the join
+    there = lower_ascii(F.array_join(F.expr("slice(w, p - at + 1, len)"), " "))
+    met = met.where(there == F.col("spelled"))
     met = met.select("doc_id", "tag", (F.col("base") + start).alias("start"), (F.col("base") + start + F.col("len")).alias("stop"), "window_id")
     return words.select("doc_id", "tag", n.cast("long").alias("n_words")), written(met, "hits"), items
 
