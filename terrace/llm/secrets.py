@@ -36,11 +36,12 @@ class Rule:
     base: bool = True
 
 
-#: The three kinds of the contract, then kinds that add spans.
+#: The three kinds of the contract, then kinds that add spans. A run of one class of characters is found
+#: whole, so that its least length can stand in the pattern and shorter runs need not be listed.
 RULES = (
     Rule("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, False),
     Rule("hub", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, False),
 )
@@ -109,9 +110,9 @@ def row_tag(docs: DataFrame) -> Column:
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The index: (gram, tag), the place of a trigram among ``trigrams`` and a document that has it."""
-    text = F.lower(docs["text"])
-    there = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(g)), F.lit(i)) for i, g in enumerate(trigrams))))
-    return docs.select(row_tag(docs).alias("tag"), F.explode(there).alias("gram"))
+    folded = docs.select(row_tag(docs).alias("tag"), F.lower(docs["text"]).alias("low"))
+    there = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(trigrams))))
+    return folded.select("tag", F.explode(there).alias("gram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
