@@ -185,7 +185,7 @@ def _forest(distance: int):
             if not todo:
                 todo, rest = [rest[0]], rest[1:]
             at = todo.pop()
-            near = np.bitwise_count(rest ^ at) <= distance
+            near = np.bitwise_count((rest ^ at).view(np.uint64)) <= distance  # of signed numbers it would count the absolute value's bits
             found = rest[near]
             if len(found):
                 a.append(np.full(len(found), at, np.int64))
