@@ -64,17 +64,17 @@ def removals(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """``docs`` with text less its later copies, and n_lines and n_removed beside it."""
-    cut = removals(docs, min_lines).select(F.col("doc").alias("cut doc"), F.col("tag").alias("cut tag"), "spans")
+    cut = removals(docs, min_lines).select(F.col("doc").alias("cut doc"), F.col("tag").alias("cut tag"), F.col("spans").alias("cut spans"))
     keyed = docs.withColumn("row doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("row tag", F.xxhash64("text"))
     out = keyed.join(cut, (F.col("row doc") == F.col("cut doc")) & (F.col("row tag") == F.col("cut tag")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    los = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["hi"]))
-    his = F.concat(F.transform("spans", lambda s: s["lo"]), F.array(F.size(lines)))
+    los = F.concat(F.array(F.lit(0)), F.transform("cut spans", lambda s: s["hi"]))
+    his = F.concat(F.transform("cut spans", lambda s: s["lo"]), F.array(F.size(lines)))
     kept = F.flatten(F.transform(F.arrays_zip(los.alias("lo"), his.alias("hi")), lambda s: F.slice(F.col("lines of text"), s["lo"] + 1, s["hi"] - s["lo"])))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    removed = F.aggregate("cut spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
     out = out.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_removed", F.coalesce(removed, F.lit(0).cast("long")))
-    out = out.withColumn("lines of text", F.when(F.col("spans").isNotNull(), lines))
-    out = out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    out = out.withColumn("lines of text", F.when(F.col("cut spans").isNotNull(), lines))
+    out = out.withColumn("text", F.when(F.col("cut spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     return out.select(*docs.columns, "n_lines", "n_removed")
 
 
