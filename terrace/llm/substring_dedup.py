@@ -82,7 +82,7 @@ class _Words:
         self.one = xxhash.xxh64_intdigest
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         known, one = self.known, self.one
         for w in set(words):

@@ -41,8 +41,8 @@ CHECKPOINT = 1 << 17
 PART = 8 << 20
 LOW = np.uint64(1 << 31)
 FEW_PARTS = 100_000
-#: Entries of the per-process caches; beyond that a cache begins anew.
-CHUNKS, STEMS = 300_000, 500_000
+#: Entries of a generation of the per-process caches; what isn't met again in the next generation is forgotten.
+CHUNKS, STEMS = 70_000, 110_000
 #: Letters for which lower-casing and letter classes agree between the libraries.
 PLAIN = "".join(c for c in map(chr, range(0x41, 0x180)) if c.isalpha() and c not in "ªµºİıŉſ")
 
@@ -64,6 +64,8 @@ class Encoder:
         self.by_words = self._splits()
         self.chunks: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_stems: dict[str, bytes] = {}
         self.plain = frozenset(PLAIN)
         # the byte-to-character table of byte-level vocabularies, as the library itself gives it
         from tokenizers import pre_tokenizers
@@ -97,7 +99,7 @@ class Encoder:
         for part, encode in ((stem, self._word), (tail, self._whole)):
             if part:
                 if (got := self.stems.get(part)) is None:
-                    got = self.stems[part] = encode(part)
+                    got = self.stems[part] = self.old_stems.get(part) or encode(part)
                 out += got
         return out
 
@@ -105,14 +107,14 @@ class Encoder:
         """The ids, with the end id."""
         if self.by_words:
             if len(self.chunks) > CHUNKS:
-                self.chunks.clear()
+                self.chunks, self.old_chunks = {}, self.chunks
             if len(self.stems) > STEMS:
-                self.stems.clear()
-            known = self.chunks
+                self.stems, self.old_stems = {}, self.stems
+            known, old = self.chunks, self.old_chunks
             pieces = text.replace("\n", " ").split(" ")
             for p in set(pieces):
                 if p not in known:
-                    known[p] = self._piece(p)
+                    known[p] = old.get(p) or self._piece(p)
             raw = b"".join([known[p] for p in pieces])
         else:
             raw = self._whole(text)

@@ -40,7 +40,7 @@ def _slots():
     known: dict[str, int] = {}
 
     def slots(text: str | None) -> np.ndarray:
-        if len(known) > 1_000_000:
+        if len(known) > 200_000:
             known.clear()
         found = set(WORDS.findall((text or "").lower()))
         for w in [w for w in found if w not in known]:
