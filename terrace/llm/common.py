@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps from one task to the next."""
+    return sys.modules.setdefault("terrace_worker_state", types.ModuleType("terrace_worker_state")).__dict__
+
+
+def fresh_worker() -> None:
+    """Forget what an earlier operator left in this worker."""
+    sys.modules.pop("terrace_worker_state", None)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

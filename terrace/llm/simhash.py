@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, fresh_worker, written
 
 BITS = 64
 #: Fingerprints under one value beyond which members are not joined with each other.
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """(doc_id, tag, fp) with fp the fingerprint's bits as a signed long; tag is a hash of the whole row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fps)], ["doc_id", "tag", "fp"])

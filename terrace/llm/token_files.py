@@ -17,8 +17,6 @@ table gives an empty folder and an empty result; clashing extra columns are not
 
 from __future__ import annotations
 
-import sys
-import types as pytypes
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -30,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import is_small, scratch_path, written
+from .common import fresh_worker, is_small, scratch_path, worker_state, written
 
 SCALE = 18
 BLOCK = 1 << 18
@@ -42,7 +40,7 @@ PART = 8 << 20
 LOW = np.uint64(1 << 31)
 FEW_PARTS = 100_000
 #: Entries of a generation of the per-process caches; what isn't met again in the next generation is forgotten.
-CHUNKS, STEMS = 70_000, 110_000
+CHUNKS, STEMS = 100_000, 200_000
 #: Letters for which lower-casing and letter classes agree between the libraries.
 PLAIN = "".join(c for c in map(chr, range(0x41, 0x180)) if c.isalpha() and c not in "ªµºİıŉſ")
 
@@ -123,7 +121,7 @@ class Encoder:
 
 def _encoder(path: str, end: int) -> Encoder:
     """One encoder a process: a worker that is used again keeps it."""
-    held = sys.modules.setdefault("terrace_worker_state", pytypes.ModuleType("terrace_worker_state")).__dict__
+    held = worker_state()
     if (path, end) not in held:
         held[(path, end)] = Encoder(path, end)
     return held[(path, end)]
@@ -231,6 +229,7 @@ BLOCKS = f"part long, block long, start long, n int, payload binary, payload_crc
 
 def _blocks(freq: np.ndarray, dtype: str, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         part, no, number, start = TaskContext.get().partitionId(), 0, 0, 0
         held, pieces, size = [], [], 0
 
@@ -283,6 +282,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
     rows = written(tokenized(docs, tokenizer, end), "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             raw = [r.as_py() for r in batch.column("ids")]

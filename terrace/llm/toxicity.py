@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh_worker
+
 SLOTS = 1 << 20
 KEPT = 1024
 RANK = 4
@@ -37,6 +39,7 @@ def _slots():
     """A function from a text to the sorted distinct slots of its terms."""
     import xxhash
 
+    fresh_worker()
     known: dict[str, int] = {}
 
     def slots(text: str | None) -> np.ndarray:
