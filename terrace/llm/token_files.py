@@ -40,7 +40,7 @@ PART = 8 << 20
 LOW = np.uint64(1 << 31)
 FEW_PARTS = 100_000
 #: Entries of a generation of the per-process caches; what isn't met again in the next generation is forgotten.
-CHUNKS, STEMS = 100_000, 200_000
+CHUNKS, STEMS = 160_000, 200_000
 #: Letters for which lower-casing and letter classes agree between the libraries.
 PLAIN = "".join(c for c in map(chr, range(0x41, 0x180)) if c.isalpha() and c not in "ªµºİıŉſ")
 
@@ -88,18 +88,17 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """A piece without white space: a plain word, maybe with marks after it, or anything else."""
-        text = unicodedata.normalize("NFC", piece) if not piece.isascii() else piece
+        text = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
         stem = text.rstrip(".,;:!?")
-        if not stem or not self.plain.issuperset(stem):
+        if not stem.isalpha() or not (stem.isascii() or self.plain.issuperset(stem)):
             return self._whole(piece)
-        stem, tail = stem.lower(), text[len(stem) :]
-        out = b""
-        for part, encode in ((stem, self._word), (tail, self._whole)):
-            if part:
-                if (got := self.stems.get(part)) is None:
-                    got = self.stems[part] = self.old_stems.get(part) or encode(part)
-                out += got
-        return out
+        out = self._known(stem.lower(), self._word)
+        return out + self._known(text[len(stem) :], self._whole) if len(stem) < len(text) else out
+
+    def _known(self, part: str, encode) -> bytes:
+        if (got := self.stems.get(part)) is None:
+            got = self.stems[part] = self.old_stems.get(part) or encode(part)
+        return got
 
     def encode(self, text: str) -> np.ndarray:
         """The ids, with the end id."""
