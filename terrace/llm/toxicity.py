@@ -137,8 +137,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(rows, got.column("y").to_numpy().astype(np.int64))
 
 
-def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The given columns of ``docs`` with the score and the prediction of each whole text."""
+def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The given columns of ``docs`` with the score and the prediction of each whole text, called ``names``."""
     kept, bias, weights, factors = machine.kept, machine.bias, machine.weights, machine.factors
     columns = list(columns)
     place_of_text = columns.index(text_col) if text_col in columns else len(columns)
@@ -154,9 +154,9 @@ def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id
                 at = place[slots(text.as_py())]
                 z.append(model.raw(at[at >= 0]))
             s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -60, 60)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*columns, *names])
 
-    schema = T.StructType([*(taken.schema[c] for c in columns), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*(taken.schema[c] for c in columns), T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     return taken.mapInArrow(run, schema)
 
 
@@ -169,4 +169,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those predicted toxic."""
-    return score(docs, learn(docs, labels), tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    scored = score(docs, learn(docs, labels), tuple(docs.columns), names=("toxic score", "toxic class"))
+    return scored.where(F.col("toxic class") == 0).select(*docs.columns)
