@@ -139,17 +139,20 @@ def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document that is taken whole or in part once, twice or three times
     gives as many rows; a part's words are joined by one space, a whole text stays as it is."""
     columns = docs.columns
-    tagged = docs.withColumn("tag", F.xxhash64(*(docs[c] for c in columns)))
-    rows = written(tagged.select("doc_id", "source", word_count(F.col("text")).alias("size"), "tag"), "sizes")
+    tagged = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.xxhash64(*(docs[c] for c in columns)).alias("tag"))
+    was = F.col("row.text")
+    rows = written(tagged.select("row.doc_id", "row.source", word_count(was).alias("size"), "tag"), "sizes")
     plan = mix_rows(rows, seed).where("taken > 0").select("tag", "size", "parts")
     # rows that are wholly equal have one tag: their plans stand beside each other, and the row is read once
-    once = tagged.dropDuplicates(["tag"])
-    out = once.join(plan, "tag").withColumn("copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda p: p["times"])).cast("int"))))
+    out = tagged.dropDuplicates(["tag"]).join(plan, "tag")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda p: p["times"])).cast("int"))))
     out = out.withColumn("parts", F.filter("parts", lambda p: p["times"] >= F.col("copy")))
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["hi"] - p["lo"])
-    split = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(split, p["lo"].cast("int") + 1, (p["hi"] - p["lo"]).cast("int")))), " ")
-    out = out.withColumn("text", F.when(taken == F.col("size"), F.col("text")).otherwise(cut))
+    split = F.array_remove(F.split(was, r"[\x20\x09-\x0D]+"), "")
+    out = out.withColumn("whole", taken == F.col("size")).withColumn("words", F.when(~F.col("whole"), split))
+    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("words", p["lo"].cast("int") + 1, (p["hi"] - p["lo"]).cast("int")))), " ")
+    text = F.when(F.col("whole"), was).otherwise(cut)
+    kept = {c: F.col("row").getField(c) for c in columns} | {"text": text}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        kept["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(kept[c].alias(c) for c in columns))
