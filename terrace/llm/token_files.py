@@ -17,8 +17,11 @@ table gives an empty folder and an empty result; clashing extra columns are not
 
 from __future__ import annotations
 
+import re
+import string
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,31 +48,43 @@ CHUNKS, STEMS = 160_000, 200_000
 PLAIN = "".join(c for c in map(chr, range(0x41, 0x180)) if c.isalpha() and c not in "ªµºİıŉſ")
 
 
+#: Characters of which pieces are cut here; an apostrophe can begin an ending, so pieces with one are not.
+SAFE = frozenset(PLAIN + string.digits + string.punctuation) - {"'"}
+PART = re.compile(f"[{PLAIN}]+|[0-9]|[^{PLAIN}0-9]+")
+
+
+class _Pieces(dict):
+    """Ids of pieces; one that isn't there comes from the generation before or is encoded."""
+
+    def __init__(self, old: dict, encode):
+        super().__init__()
+        self.old, self.encode = old, encode
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = self.old.get(piece) or self.encode(piece)
+        return got
+
+
 class Encoder:
     """Ids of whole texts, a piece between spaces at a time; pieces seen before are not encoded again.
 
-    No id of this kind of vocabulary reaches over white space, and words of plain letters are one pre-token, so a
-    text's ids are those of its pieces in turn. A vocabulary of another kind is encoded text by text.
+    No id of this kind of vocabulary reaches over white space, and in a piece runs of letters, single digits and runs of
+    other characters are encoded apart, so a text's ids are those of such parts in turn. Pieces with characters
+    on which that could fail go to the library as they are. A vocabulary of another kind is encoded text by text.
     """
 
     def __init__(self, path: str, end: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        self.kind = "I" if self.tokenizer.get_vocab_size() > 1 << 16 else "H"
+        self.dtype = np.dtype("<u4" if self.kind == "I" else "<u2")
         self.by_words = self._splits()
-        self.chunks: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
-        self.old_stems: dict[str, bytes] = {}
-        self.plain = frozenset(PLAIN)
+        self.chunks, self.stems = _Pieces({}, self._piece), _Pieces({}, self._part)
         # the byte-to-character table of byte-level vocabularies, as the library itself gives it
-        from tokenizers import pre_tokenizers
-
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.visible = {c: level.pre_tokenize_str(c)[0][0] for c in set(PLAIN) | set(PLAIN.lower()) if c.strip()}
+        self.visible = {c: level.pre_tokenize_str(c)[0][0] for c in SAFE}
 
     def _splits(self) -> bool:
         import json
@@ -81,38 +96,29 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of lower-case plain letters."""
-        shown = word if word.isascii() else "".join([self.visible[c] for c in word])
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.dtype).tobytes()
+    def _part(self, part: str) -> bytes:
+        """Ids of lower-case letters, a digit or a run of marks."""
+        shown = part if part.isascii() else "".join([self.visible[c] for c in part])
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        """A piece without white space: a plain word, maybe with marks after it, or anything else."""
+        """A piece without spaces; special ids' names are left to the library."""
         text = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
-        stem = text.rstrip(".,;:!?")
-        if not stem.isalpha() or not (stem.isascii() or self.plain.issuperset(stem)):
+        if not SAFE.issuperset(text) or "<|" in text:
             return self._whole(piece)
-        out = self._known(stem.lower(), self._word)
-        return out + self._known(text[len(stem) :], self._whole) if len(stem) < len(text) else out
-
-    def _known(self, part: str, encode) -> bytes:
-        if (got := self.stems.get(part)) is None:
-            got = self.stems[part] = self.old_stems.get(part) or encode(part)
-        return got
+        text = text.lower()
+        if text.isalpha():
+            return self.stems[text]
+        return b"".join([self.stems[p] for p in PART.findall(text)])
 
     def encode(self, text: str) -> np.ndarray:
         """The ids, with the end id."""
         if self.by_words:
             if len(self.chunks) > CHUNKS:
-                self.chunks, self.old_chunks = {}, self.chunks
+                self.chunks = _Pieces(dict(self.chunks), self._piece)
             if len(self.stems) > STEMS:
-                self.stems, self.old_stems = {}, self.stems
-            known, old = self.chunks, self.old_chunks
-            pieces = text.replace("\n", " ").split(" ")
-            for p in set(pieces):
-                if p not in known:
-                    known[p] = old.get(p) or self._piece(p)
-            raw = b"".join([known[p] for p in pieces])
+                self.stems = _Pieces(dict(self.stems), self._part)
+            raw = b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
         else:
             raw = self._whole(text)
         return np.append(np.frombuffer(raw, self.dtype), np.array([self.end], self.dtype))
