@@ -50,7 +50,7 @@ PLAIN = "".join(c for c in map(chr, range(0x41, 0x180)) if c.isalpha() and c not
 
 #: Characters of which pieces are cut here; an apostrophe can begin an ending, so pieces with one are not.
 SAFE = frozenset(PLAIN + string.digits + string.punctuation) - {"'"}
-PART = re.compile(f"[{PLAIN}]+|[0-9]|[^{PLAIN}0-9]+")
+CUT = re.compile(f"[{PLAIN}]+|[0-9]|[^{PLAIN}0-9]+")
 
 
 class _Pieces(dict):
@@ -109,7 +109,7 @@ class Encoder:
         text = text.lower()
         if text.isalpha():
             return self.stems[text]
-        return b"".join([self.stems[p] for p in PART.findall(text)])
+        return b"".join([self.stems[p] for p in CUT.findall(text)])
 
     def encode(self, text: str) -> np.ndarray:
         """The ids, with the end id."""
