@@ -54,7 +54,8 @@ def runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 def removals(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc, tag, spans): for each document that loses lines its maximal runs (lo, hi) of later copies, in order."""
     found = runs(docs, min_lines)
-    first = found.groupBy("rank").agg(F.min(F.struct("doc", "tag", "at")).alias("first"))
+    # written, so that the join reads a plain table on each side and a rank with very many places can be split
+    first = written(found.groupBy("rank").agg(F.min(F.struct("doc", "tag", "at")).alias("first")), "first")
     late = found.join(first, "rank").where(F.struct("doc", "tag", "at") > F.col("first"))
     gone = late.select("doc", "tag", F.explode(F.sequence(F.col("at"), F.col("at") + (min_lines - 1))).alias("at")).distinct()
     island = F.col("at") - F.row_number().over(W.partitionBy("doc", "tag").orderBy("at"))
