@@ -1,7 +1,7 @@
 """Content audit: duplicate groups by hash, conflicts between annotations, canonical members, dispositions.
 
 ``assets`` has content_sha256, scan_ord, annotator, has_path and signature (null: no valid annotation). A group's facts are
-aggregates with map-side combine and come back by a join on the hash, which adaptive execution may split.
+aggregates with map-side combine and come back by a join on the hash.
 """
 
 from __future__ import annotations
