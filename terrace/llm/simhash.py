@@ -272,13 +272,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, hot: int
     return rows.join(answer, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, words: int = 3, distance: int = 3, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that of the least id, null ids last."""
-    rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    named = _components(rows, distance, hot)
+def first_of_each(docs: DataFrame, rows: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
+    """Of ``docs`` the row of the least id of each root; ``rows(doc_id, tag, fp)`` are their classes, ``named(fp, root)`` the classes' roots."""
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
     best = rows.groupBy("fp").agg(F.min(order).alias("best")).join(named, "fp").groupBy("root").agg(F.min("best").alias("best"))
     best = best.select(F.col("best.tag").alias("kept tag"), F.col("best.doc_id").alias("kept id"))
     tagged = docs.withColumn("row tag", F.xxhash64(*(docs[c] for c in docs.columns)))
     kept = tagged.join(best, (tagged["row tag"] == best["kept tag"]) & tagged[id_col].eqNullSafe(best["kept id"]), "left_semi")
     return kept.dropDuplicates(["row tag", id_col]).select(*docs.columns)
+
+
+def deduplicated(docs: DataFrame, words: int = 3, distance: int = 3, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that of the least id, null ids last."""
+    rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    named = _components(rows, distance, hot)
+    return first_of_each(docs, rows, named, id_col)

@@ -167,3 +167,53 @@ def test_pipeline(spark, data):
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in last) == sorted(plain_tokens(before.collect()))
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, docs.limit(0), data).count() == 0, name
+
+
+def plain_near_duplicates(rows):
+    """Ids of the first of each component; sets of five words linked at 4/5."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("sample", [1, 20_000])
+def test_near_duplicates_of_the_pipeline(spark, sample):
+    """Copies with words changed, on both sides of 0.8; chains of copies; a passage in many texts; odd texts."""
+    import corpus_pipeline as P
+    from terrace.llm import jaccard as J
+
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(900)}"
+    passage = [f"p{i}" for i in range(30)]
+    texts = ["", None, " \n", "one two", "One  two", "one two three", "a a a a a a a a a"]
+    for k in range(40):
+        base = [word() for _ in range(rng.choice([5, 9, 24, 60, 200]))] + (passage if k % 2 else [])
+        for _ in range(rng.choice([1, 3, 12])):
+            texts.append(" ".join(base))
+            base = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                base[rng.randrange(len(base))] = word()
+            if rng.random() < 0.3:
+                base += [word() for _ in range(len(base) // 9)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_near_duplicates(rows)
+    out = P.drop_near_duplicates(spark, docs, None) if sample > 1 else J.deduplicated(docs, sample=sample)
+    assert sorted(r["doc_id"] for r in out.collect()) == want and len(want) < len(rows) - 20
