@@ -235,7 +235,7 @@ def uncross_two_opt(spark, d):
 
 @query
 def remove_consecutive_vertices(spark, d):
-    rows = read_table(spark, d, "events").where("user_id < 200").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", F.floor(F.col("value") / 50).cast("double").alias("v")))).alias("e"))
+    rows = read_table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", F.floor(F.col("value") / 50).cast("double").alias("v")))).alias("e"))
     rings = rows.select("user_id", F.transform("e", lambda e: F.struct(e["v"].alias("x"), F.lit(0.0).alias("y"))).alias("ring"))
     out = rings.withColumn("kept", F.expr(G.distinct_neighbours("ring")))
     return out.select("user_id", F.size("ring").alias("n"), F.size("kept").alias("kept"), F.concat_ws(",", F.expr("transform(filter(sequence(0, size(ring) - 1), i -> i > 0 AND ring[i] = ring[i - 1]), i -> CAST(i AS STRING))")).alias("removed"))

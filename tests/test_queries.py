@@ -22,3 +22,10 @@ def test_entry_and_registry(spark):
     assert e.entry(spark).count() == 200
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(QUERIES) <= set(e.queries())
+
+
+def test_consecutive_vertices_of_all_users(spark, tmp_path):
+    rows = [(i, user, value) for i, (user, value) in enumerate((u, v) for u in (7, 200, 5000) for v in (10.0, 20.0, 120.0))]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, QUERIES["remove_consecutive_vertices"](spark, str(tmp_path)).collect()))
+    assert got == [(u, 3, 2, "1") for u in (7, 200, 5000)]
