@@ -33,6 +33,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup_lone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read_table(spark, sf_dir, "documents"), lone=True)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_line_dedup, op4_substring_dedup, op5_html_text, op6_secrets, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files)}
 
 
+def variants() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Further queries of the same operators, beside the one of each."""
+    return {f.__name__: f for f in (op3_line_dedup_lone,)}
+
+
 def _apportion(name: str, parties: str, within: str, key: str) -> str:
     """CTEs for seats by highest quotients among ``parties(within, key, votes, most, seats)``."""
     own = f"PARTITION BY {within}" if within else ""
@@ -175,7 +184,17 @@ SELECT doc_id, len(l) AS n_lines, coalesce(len(gone), 0) AS n_removed,
        sha256(array_to_string(CASE WHEN gone IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(gone, i)) END, chr(10))) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id)
 """
+VARIANT_SQL = {"op3_line_dedup_lone": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, p, 2 AS n, l[p] || chr(10) || l[p + 1] AS k FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS p FROM d)
+      UNION ALL SELECT doc_id, p, 1, l[p] FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d) WHERE regexp_matches(l[p], '[^\x20\x09-\x0D]')),
+f AS (SELECT doc_id, p, n FROM (SELECT doc_id, p, n, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, p) AS c FROM r) WHERE c > 1),
+g AS (SELECT doc_id, list(DISTINCT p + o) AS gone FROM f, range(2) t(o) WHERE o < n GROUP BY doc_id)
+SELECT doc_id, len(l) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(gone, i)) END, chr(10))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | VARIANT_SQL

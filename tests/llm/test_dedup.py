@@ -204,3 +204,14 @@ def test_lines(spark, extra, none, rows, least):
         assert L.deduplicated(extra).count() == extra.count()
         assert L.deduplicated(docs).where("doc_id = 50").first()["text"] is None
         assert L.deduplicated(docs.select("*", F.lit(1).alias("rank"))).count() == len(data)
+
+
+def test_lone_lines(spark, same):
+    """A repeated line goes though its neighbours differ; a blank one only as part of a run; the query is held against its SQL."""
+    from terrace.llm import queries as Q
+
+    data = [(1, "a\nsame line\nb\n\nc"), (2, "d\nsame line\ne\n\nf"), (3, "x\n\nc"), (4, " \nsame line"), (5, " \ng\n\nc")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in L.deduplicated(docs, lone=True).collect()}
+    assert got == {1: data[0][1], 2: "d\ne\n\nf", 3: "x", 4: " ", 5: " \ng"}
+    same(Q.variants()["op3_line_dedup_lone"], Q.oracle_sql()["op3_line_dedup_lone"])
