@@ -31,7 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, and a lost executor costs a reread."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = [path]
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``written`` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in getattr(df, "_scratch", []):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def worker_state() -> dict:
@@ -68,7 +79,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, edges = edges, written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == sign:
             break

@@ -12,8 +12,8 @@ and total / (seats - S / 2), which leaves some three rows a party. Windows run o
 the groups of a source, over the shards of a group and over the documents of a shard; none holds a source's rows.
 
 Defined cases: null text has size 0, and so has empty text; size 0 is never taken; null source is a source, the
-last; null doc_id hashes like a text of its own; repeated rows are told apart only by their place in the stream;
-an empty table, or no words at all, gives targets of 0. Clashing extra columns are not read.
+last; a row without doc_id is placed by the digest of its text; repeated rows are told apart only by their place in the
+stream; an empty table, or no words at all, gives targets of 0. Clashing extra columns are not read.
 """
 
 from __future__ import annotations
@@ -79,33 +79,37 @@ def apportion(parties: DataFrame, within: list[str], key: str) -> DataFrame:
 
 
 def mix_rows(rows: DataFrame, seed: int = 42, cap: int = CAP, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """For each of ``rows(doc_id, source, size, tag)``: source_size, target, taken and parts.
+    """For each of ``rows(doc_id, key, source, size, tag)``: source_size, target, taken and parts.
 
-    parts: (lo, hi, times) of the row's words, in order; words [lo, hi) are taken so many times.
+    key seeds the order of a source's rows; rows that agree in key and size are in the order of tag. parts: (lo, hi, times)
+    of the row's words, in order; words [lo, hi) are taken so many times.
     """
     sources = written(with_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), cap), "sources")
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
     known = sources.select(F.col("source").alias("named"), "s", shards.alias("shards"), "source_size", "target")
     if is_small(known, FEW_SOURCES):
         known = F.broadcast(known)
-    hashed = F.conv(F.substring(seeded(seed, F.col("doc_id")), 1, 15), 16, 10).cast("long")
-    placed = rows.join(known, rows["source"].eqNullSafe(known["named"])).withColumn("shard", F.pmod(hashed, F.col("shards")))
-    stream = W.partitionBy("s", "shard").orderBy(seeded(seed + 1, F.col("doc_id")), "doc_id", "size", "tag")
+    hashed = F.conv(F.substring(seeded(seed, F.col("key")), 1, 15), 16, 10).cast("long")
+    of_source = rows.join(known, rows["source"].eqNullSafe(known["named"]))
+    # rows without words are never taken; they stay out of the streams, so that a source of nothing else is no single shard
+    idle = of_source.where("size = 0")
+    placed = of_source.where("size > 0").withColumn("shard", F.pmod(hashed, F.col("shards")))
+    stream = W.partitionBy("s", "shard").orderBy(seeded(seed + 1, F.col("key")), "doc_id", "size", "tag")
     placed = placed.withColumn("r", F.row_number().over(stream))
     placed = placed.withColumn("stop", F.sum("size").over(stream.rowsBetween(W.unboundedPreceding, 0))).withColumn("start", F.col("stop") - F.col("size"))
     placed = written(placed.select("doc_id", "tag", "size", "source_size", "target", "s", "shard", "r", "start", "stop"), "streams")
 
-    words = placed.groupBy("s", "shard").agg(F.sum("size").alias("words")).where("words > 0")
+    words = placed.groupBy("s", "shard").agg(F.sum("size").alias("words"))
     cut = words.withColumn("blocks", F.greatest(F.ceil(F.col("words") / block_words), F.least(F.col("words"), F.lit(LEAST_BLOCKS))).cast("long"))
     cut = written(cut.withColumn("team", F.floor(F.col("shard") / GROUP)), "shards")
     by_source = cut.groupBy("s").agg(F.sum("blocks").alias("blocks")).join(sources, "s")
     votes = by_source.select("s", "blocks", (F.col("target") * F.col("blocks") / F.col("source_size")).alias("votes"), (cap * F.col("blocks")).alias("most"))
     votes = votes.withColumn("seats", F.round(F.sum("votes").over(W.partitionBy(F.lit(0)))).cast("long"))
-    seats = apportion(votes, [], "s").select("s", F.col("got").alias("seats"))
+    seats = written(apportion(votes, [], "s").select("s", F.col("got").alias("seats")), "source-seats")
     teams = cut.groupBy("s", "team").agg(F.sum("blocks").alias("votes")).withColumn("most", cap * F.col("votes")).join(seats, "s")
-    seats = apportion(teams, ["s"], "team").select("s", "team", F.col("got").alias("seats"))
+    seats = written(apportion(teams, ["s"], "team").select("s", "team", F.col("got").alias("seats")), "team-seats")
     quota = apportion(cut.withColumn("votes", F.col("blocks")).withColumn("most", cap * F.col("blocks")).join(seats, ["s", "team"]), ["s", "team"], "shard")
-    quota = quota.select("s", "shard", "words", "blocks", F.col("got").alias("quota"))
+    quota = written(quota.select("s", "shard", "words", "blocks", F.col("got").alias("quota")), "quotas")
 
     block = quota.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     order = W.partitionBy("s", "shard").orderBy(seeded(seed + 2, F.col("s"), F.col("shard"), F.col("k")))
@@ -114,14 +118,14 @@ def mix_rows(rows: DataFrame, seed: int = 42, cap: int = CAP, block_words: int =
         "s", "shard", "k", F.expr("k * words div blocks").alias("from_"), F.expr("(k + 1) * words div blocks").alias("to_"),
         (F.expr("quota div blocks") + extra).alias("times"),
     )
-    of = placed.join(cut.select("s", "shard", "words", "blocks"), ["s", "shard"], "left")
-    spans = F.when(F.col("size") > 0, F.sequence(F.expr("((start + 1) * blocks - 1) div words"), F.expr("(stop * blocks - 1) div words")))
-    of = of.select(*placed.columns, F.explode_outer(spans).alias("k"))
-    met = of.join(block, ["s", "shard", "k"], "left")
+    of = placed.join(cut.select("s", "shard", "words", "blocks"), ["s", "shard"])
+    spans = F.sequence(F.expr("((start + 1) * blocks - 1) div words"), F.expr("(stop * blocks - 1) div words"))
+    met = of.select(*placed.columns, F.explode(spans).alias("k")).join(block, ["s", "shard", "k"])
     met = met.withColumn("lo", F.greatest("start", "from_") - F.col("start")).withColumn("hi", F.least("stop", "to_") - F.col("start"))
-    got = F.coalesce(F.sum((F.col("hi") - F.col("lo")) * F.col("times")), F.lit(0)).alias("taken")
+    got = F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken")
     parts = F.sort_array(F.collect_list(F.when(F.col("times") > 0, F.struct("lo", "hi", "times")))).alias("parts")
-    return met.groupBy("s", "shard", "r", "doc_id", "tag", "size", "source_size", "target").agg(got, parts).drop("s", "shard", "r")
+    out = met.groupBy("s", "shard", "r", "doc_id", "tag", "size", "source_size", "target").agg(got, parts).drop("s", "shard", "r")
+    return out.unionByName(idle.select("doc_id", "tag", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.array().cast(out.schema["parts"].dataType).alias("parts")))
 
 
 def word_count(text: Column) -> Column:
@@ -129,9 +133,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What seeds a row's place: its id, or the digest of the text of a row without one."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
 def mixed_sizes(docs: DataFrame, seed: int = 42) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row."""
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), F.lit(0).cast("long").alias("tag"))
+    doc_id, text = docs["doc_id"], docs["text"]
+    rows = docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("key"), docs["source"].alias("source"), word_count(text).alias("size"), F.lit(0).cast("long").alias("tag"))
     return mix_rows(written(rows, "sizes"), seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -139,20 +149,24 @@ def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document that is taken whole or in part once, twice or three times
     gives as many rows; a part's words are joined by one space, a whole text stays as it is."""
     columns = docs.columns
-    tagged = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.xxhash64(*(docs[c] for c in columns)).alias("tag"))
-    was = F.col("row.text")
-    rows = written(tagged.select("row.doc_id", "row.source", word_count(was).alias("size"), "tag"), "sizes")
-    plan = mix_rows(rows, seed).where("taken > 0").select("tag", "size", "parts")
-    # rows that are wholly equal have one tag: their plans stand beside each other, and the row is read once
-    out = tagged.dropDuplicates(["tag"]).join(plan, "tag")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda p: p["times"])).cast("int"))))
-    out = out.withColumn("parts", F.filter("parts", lambda p: p["times"] >= F.col("copy")))
-    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["hi"] - p["lo"])
-    split = F.array_remove(F.split(was, r"[\x20\x09-\x0D]+"), "")
-    out = out.withColumn("whole", taken == F.col("size")).withColumn("words", F.when(~F.col("whole"), split))
-    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("words", p["lo"].cast("int") + 1, (p["hi"] - p["lo"]).cast("int")))), " ")
-    text = F.when(F.col("whole"), was).otherwise(cut)
-    kept = {c: F.col("row").getField(c) for c in columns} | {"text": text}
+    # numbered and written, so that a plan finds its row again whatever the columns are and however often it is repeated
+    numbered = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(columns)), F.monotonically_increasing_id().alias("row"))
+    numbered = written(numbered, "mix-rows")
+    at = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
+    key = row_key(at["doc_id"], at["text"])
+    rows = numbered.select(at["doc_id"].alias("doc_id"), key.alias("key"), at["source"].alias("source"), word_count(at["text"]).alias("size"), F.struct(F.xxhash64(at["text"]).alias("text"), "row").alias("tag"))
+    plan = mix_rows(written(rows, "sizes"), seed).where("taken > 0").select("tag.row", "size", "parts")
+    out = numbered.join(plan, "row")
+    split = F.array_remove(F.split(at["text"], r"[\x20\x09-\x0D]+"), "")
+    cuts = (F.size("parts") > 1) | (F.col("parts")[0]["hi"] - F.col("parts")[0]["lo"] < F.col("size"))
+    copies = F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda p: p["times"])).cast("int"))
+    # words before the explode: were both in one projection, each part would split the text again
+    out = out.withColumn("words", F.when(cuts, split)).withColumn("copy", F.explode(copies))
+    own = F.filter("parts", lambda p: p["times"] >= F.col("copy"))
+    taken = F.aggregate(own, F.lit(0).cast("long"), lambda n, p: n + p["hi"] - p["lo"])
+    cut = F.array_join(F.flatten(F.transform(own, lambda p: F.slice("words", p["lo"].cast("int") + 1, (p["hi"] - p["lo"]).cast("int")))), " ")
+    out = out.withColumn("cut text", F.when(taken == F.col("size"), at["text"]).otherwise(cut))
+    kept = dict(at) | {"text": F.col("cut text")}
     if "n_chars" in columns:
-        kept["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+        kept["n_chars"] = F.length("cut text").cast(docs.schema["n_chars"].dataType)
     return out.select(*(kept[c].alias(c) for c in columns))

@@ -61,7 +61,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tag, fp) with fp the fingerprint's bits as a signed long; tag is a hash of the whole row."""
+    """(doc_id, tag, fp) with fp the fingerprint's bits as a signed long; tag is a hash of the id and the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fps)], ["doc_id", "tag", "fp"])
 
-    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(*(docs[c] for c in docs.columns)).alias("tag"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[id_col], docs[text_col]).alias("tag"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
@@ -272,18 +272,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, hot: int
     return rows.join(answer, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, rows: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
-    """Of ``docs`` the row of the least id of each root; ``rows(doc_id, tag, fp)`` are their classes, ``named(fp, root)`` the classes' roots."""
+def first_of_each(docs: DataFrame, rows: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of ``docs`` the row of the least id of each root; ``rows(doc_id, tag, fp)`` are their classes, ``named(fp, root)`` the classes' roots.
+
+    Of rows that agree in id and text one stays, whichever comes first.
+    """
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
     best = rows.groupBy("fp").agg(F.min(order).alias("best")).join(named, "fp").groupBy("root").agg(F.min("best").alias("best"))
     best = best.select(F.col("best.tag").alias("kept tag"), F.col("best.doc_id").alias("kept id"))
-    tagged = docs.withColumn("row tag", F.xxhash64(*(docs[c] for c in docs.columns)))
+    tagged = docs.withColumn("row tag", F.xxhash64(docs[id_col], docs[text_col]))
     kept = tagged.join(best, (tagged["row tag"] == best["kept tag"]) & tagged[id_col].eqNullSafe(best["kept id"]), "left_semi")
-    return kept.dropDuplicates(["row tag", id_col]).select(*docs.columns)
+    # whole rows are compared only if a row is there twice
+    if rows.groupBy("doc_id", "tag").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["row tag", id_col])
+    return kept.select(*docs.columns)
 
 
 def deduplicated(docs: DataFrame, words: int = 3, distance: int = 3, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of the least id, null ids last."""
     rows = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     named = _components(rows, distance, hot)
-    return first_of_each(docs, rows, named, id_col)
+    return first_of_each(docs, rows, named, id_col, text_col)

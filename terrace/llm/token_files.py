@@ -11,7 +11,7 @@ crc32 sums guard the payload and the ids. A part is a range of documents written
 are numbered, so all of them can be decoded in any order.
 
 Defined cases: null text counts as empty and gives the end id alone; null doc_id comes first; repeated rows stand
-beside each other in the order of their ids; a document longer than a block goes on in the next ones; an empty
+beside each other in an order of their ids, so that an id with very many rows may go on in the next part; a document longer than a block goes on in the next ones; an empty
 table gives an empty folder and an empty result; clashing extra columns are not read.
 """
 
@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import re
 import string
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -42,35 +42,42 @@ CHECKPOINT = 1 << 17
 PART = 8 << 20
 LOW = np.uint64(1 << 31)
 FEW_PARTS = 100_000
-#: Entries of a generation of the per-process caches; what isn't met again in the next generation is forgotten.
-CHUNKS, STEMS = 160_000, 200_000
-#: Letters for which lower-casing and letter classes agree between the libraries.
+#: Entries of a generation of the per-process cache, and characters of a part in it; what isn't met again in the next generation is forgotten.
+HELD, HELD_CHARACTERS = 200_000, 64
+#: Bytes of texts that are split together.
+TOGETHER = 8 << 20
+#: Letters for which lower-casing and letter classes agree between the libraries, and which normalisation leaves alone.
 PLAIN = "".join(c for c in map(chr, range(0x41, 0x180)) if c.isalpha() and c not in "ªµºİıŉſ")
+#: What parts are cut from here; an apostrophe can begin an ending, so pieces with one are not cut.
+MARKS = "".join(c for c in string.punctuation if c != "'")
+SAFE = frozenset(PLAIN + string.digits + MARKS)
+ONLY_SAFE = f"^[{PLAIN}0-9{re.escape(MARKS)}]*$"
+RUNS = f"([{PLAIN}]+|[0-9])"
 
 
-#: Characters of which pieces are cut here; an apostrophe can begin an ending, so pieces with one are not.
-SAFE = frozenset(PLAIN + string.digits + string.punctuation) - {"'"}
-CUT = re.compile(f"[{PLAIN}]+|[0-9]|[^{PLAIN}0-9]+")
-
-
-class _Pieces(dict):
-    """Ids of pieces; one that isn't there comes from the generation before or is encoded."""
+class _Held(dict):
+    """Ids of parts; one that isn't there comes from the generation before or is encoded."""
 
     def __init__(self, old: dict, encode):
         super().__init__()
         self.old, self.encode = old, encode
 
-    def __missing__(self, piece: str) -> bytes:
-        got = self[piece] = self.old.get(piece) or self.encode(piece)
+    def __missing__(self, part: str) -> bytes:
+        got = self.old.get(part)
+        if got is None:
+            got = self.encode(part)
+        if len(part) <= HELD_CHARACTERS:
+            self[part] = got
         return got
 
 
 class Encoder:
-    """Ids of whole texts, a piece between spaces at a time; pieces seen before are not encoded again.
+    """Ids of whole texts, by the distinct parts of many texts at a time.
 
-    No id of this kind of vocabulary reaches over white space, and in a piece runs of letters, single digits and runs of
-    other characters are encoded apart, so a text's ids are those of such parts in turn. Pieces with characters
-    on which that could fail go to the library as they are. A vocabulary of another kind is encoded text by text.
+    No id of this kind of vocabulary reaches over white space, and in a piece between spaces runs of letters, single digits
+    and runs of other characters are encoded apart; so each distinct part is encoded once, by the library's model, and a
+    text's ids are those of its parts in turn. Pieces with characters on which that could fail go to the library as they
+    are. A vocabulary of another kind is encoded text by text.
     """
 
     def __init__(self, path: str, end: int):
@@ -78,10 +85,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end
-        self.kind = "I" if self.tokenizer.get_vocab_size() > 1 << 16 else "H"
-        self.dtype = np.dtype("<u4" if self.kind == "I" else "<u2")
+        self.dtype = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         self.by_words = self._splits()
-        self.chunks, self.stems = _Pieces({}, self._piece), _Pieces({}, self._part)
+        self.held = _Held({}, self._part)
         # the byte-to-character table of byte-level vocabularies, as the library itself gives it
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.visible = {c: level.pre_tokenize_str(c)[0][0] for c in SAFE}
@@ -97,31 +103,70 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _part(self, part: str) -> bytes:
-        """Ids of lower-case letters, a digit or a run of marks."""
+        """Ids of lower-case letters, a digit, a run of marks, or a piece that isn't cut."""
+        if not SAFE.issuperset(part) or "<|" in part:
+            return self._whole(part)
         shown = part if part.isascii() else "".join([self.visible[c] for c in part])
-        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        """A piece without spaces; special ids' names are left to the library."""
-        text = piece if piece.isascii() else unicodedata.normalize("NFC", piece)
-        if not SAFE.issuperset(text) or "<|" in text:
-            return self._whole(piece)
-        text = text.lower()
-        if text.isalpha():
-            return self.stems[text]
-        return b"".join([self.stems[p] for p in CUT.findall(text)])
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids, with the end id."""
-        if self.by_words:
-            if len(self.chunks) > CHUNKS:
-                self.chunks = _Pieces(dict(self.chunks), self._piece)
-            if len(self.stems) > STEMS:
-                self.stems = _Pieces(dict(self.stems), self._part)
-            raw = b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
-        else:
-            raw = self._whole(text)
-        return np.append(np.frombuffer(raw, self.dtype), np.array([self.end], self.dtype))
+        return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes() if part else b""
+
+    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts one after the other, and where each text's end."""
+        if len(self.held) > HELD:
+            self.held = _Held(dict(self.held), self._part)
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        flat = pieces.flatten().dictionary_encode()
+        safe = pc.and_not(pc.match_substring_regex(flat.dictionary, ONLY_SAFE), pc.match_substring(flat.dictionary, "<|"))
+        cut = pc.replace_substring_regex(pc.utf8_lower(flat.dictionary), RUNS, r" \1 ")
+        parts = pc.split_pattern(pc.if_else(safe, cut, flat.dictionary), " ")
+        named = parts.flatten().dictionary_encode()
+        held = self.held
+        coded = pa.array([held[p] for p in named.dictionary.to_pylist()], pa.binary())
+        # parts in place, so pieces are runs of their bytes; pieces in place, and texts are
+        of_piece = _joined(coded.take(named.indices), parts)
+        of_text = of_piece.take(flat.indices)
+        width = self.dtype.itemsize
+        starts = np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False)))
+        at = np.frombuffer(of_text.buffers()[1], np.int32)
+        ids = np.frombuffer(of_text.buffers()[2], self.dtype, at[len(of_text)] // width) if at[len(of_text)] else np.zeros(0, self.dtype)
+        return ids, at[starts[1:]] // width
+
+    def _long(self, text: str) -> np.ndarray:
+        """The ids of a text that is too long to be split at once."""
+        out, at = [], 0
+        while at < len(text):
+            stop = at + TOGETHER
+            if stop < len(text):
+                cuts = [c for c in (text.find(" ", stop), text.find("\n", stop)) if c >= 0]
+                stop = min(cuts) + 1 if cuts else len(text)
+            out.append(self._together(pa.array([text[at:stop]]))[0])
+            at = stop
+        return np.concatenate(out)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of the texts, each with the end id, in slices: ids, and the numbers of ids of the slice's texts."""
+        texts = pc.fill_null(texts, "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        end = np.array([self.end], self.dtype)
+        at = 0
+        while at < len(texts):
+            if not self.by_words or sizes[at] > TOGETHER:
+                text = texts[at].as_py()
+                ids = self._long(text) if self.by_words else np.frombuffer(self._whole(text), self.dtype)
+                yield np.append(ids, end), np.array([len(ids) + 1])
+                at += 1
+                continue
+            held = np.cumsum(sizes[at:])
+            stop = at + max(1, int(np.searchsorted(held, TOGETHER, "right")))
+            ids, stops = self._together(texts[at:stop])
+            yield np.insert(ids, stops, self.end), np.diff(stops, prepend=0) + 1
+            at = stop
+
+
+def _joined(values: pa.Array, lists: pa.Array) -> pa.Array:
+    """The binary values of each list as one."""
+    starts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    at = np.frombuffer(values.buffers()[1], np.int32)[starts].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at), values.buffers()[2] or pa.py_buffer(b"")])
 
 
 def _encoder(path: str, end: int) -> Encoder:
@@ -270,9 +315,14 @@ def tokenized(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, end)
+        width = encoder.dtype.itemsize
         for batch in batches:
-            ids = [encoder.encode(t.as_py() or "").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            at = 0
+            for ids, counts in encoder.encode(batch.column("text")):
+                places = np.append(0, np.cumsum(counts) * width).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(places), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(counts)), raw], ["doc_id", "ids"])
+                at += len(counts)
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -303,7 +353,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
     freq = scaled(counts)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
     parts = max(1, -(-int(counts.sum()) // part))
-    rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(_blocks(freq, dtype, block), BLOCKS).write.parquet(f"{path}/blocks")
+    rows.withColumn("mixed", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "mixed").sortWithinPartitions("doc_id", "mixed", "ids").select("doc_id", "ids").mapInArrow(_blocks(freq, dtype, block), BLOCKS).write.parquet(f"{path}/blocks")
     sizes = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.col("n").cast("long")).alias("ids"))
     before = F.coalesce(F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes.select("part", "ids", before.alias("before")).write.parquet(f"{path}/parts")

@@ -1,11 +1,16 @@
 """Mixing and token files: targets, whole documents, exact round trips; and the pipeline that ends in them."""
 
+import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -13,6 +18,7 @@ from terrace.llm import mixing as M
 from terrace.llm import token_files as K
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+ENCODER = K.Encoder(WORDS, 2)
 
 
 def plain_targets(sizes):
@@ -72,19 +78,45 @@ def test_highest_quotients(spark):
         assert got == {k: sum(x == k for _, x in best) for k in range(len(votes))}, case
 
 
-def test_mix_rows_are_what_was_taken(corpus, docs, extra, none):
-    sizes = M.mixed_sizes(corpus).agg(F.sum("taken")).first()[0]
-    out = M.mixed(corpus)
-    assert out.columns == corpus.columns
-    dropped = corpus.dropDuplicates()
-    assert out.agg(F.sum(M.word_count(F.col("text")))).first()[0] == sizes or dropped.count() < corpus.count()
-    again = corpus.join(out.select("doc_id", F.col("text").alias("t")), "doc_id")
-    assert again.where("t = text").count() > 0
+def plain_mix(spark, docs, **sizes):
+    """Texts of the mix: every row's words cut in a plain loop by the parts that the plan names."""
+    held = docs.collect()
+    rows = [(r["doc_id"], str(r["doc_id"]) if r["doc_id"] is not None else "null:" + hashlib.md5((r["text"] or "").encode()).hexdigest(), r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), k) for k, r in enumerate(held)]
+    plan = M.mix_rows(spark.createDataFrame(rows, "doc_id long, key string, source string, size long, tag long"), **sizes).collect()
+    assert sorted(p["tag"] for p in plan) == list(range(len(held)))
+    out = []
+    for p in plan:
+        text = held[p["tag"]]["text"]
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        spans = [tuple(x) for x in p["parts"]]
+        assert sum((b - a) * t for a, b, t in spans) == p["taken"] and all(0 <= a < b <= p["size"] and t <= 3 for a, b, t in spans)
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+        for copy in range(1, max((t for _, _, t in spans), default=0) + 1):
+            own = [w for a, b, t in spans if t >= copy for w in words[a:b]]
+            out.append((p["doc_id"], text if len(own) == len(words) else " ".join(own)))
+    return sorted(out, key=repr)
+
+
+def test_mix_rows_are_what_was_taken(spark, corpus, docs, extra, none):
+    for given in (corpus, docs):  # the texts of repeated rows are equal, so whichever of them a plan meets
+        out = M.mixed(given)
+        assert out.columns == given.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == plain_mix(spark, given)
+    cut = M.mixed(docs).select("doc_id", "text", "n_chars").collect()
+    assert all(r["n_chars"] == len(r["text"]) for r in cut)
+    assert M.mixed(corpus).agg(F.sum(M.word_count(F.col("text")))).first()[0] == M.mixed_sizes(corpus).agg(F.sum("taken")).first()[0]
     assert M.mixed(extra).columns == extra.columns and M.mixed(none).count() == 0 and M.mixed_sizes(none).count() == 0
     assert M.mixed_sizes(docs).count() == docs.count()
     assert M.mixed_sizes(docs.where("text IS NULL")).agg(F.sum("taken"), F.max("target")).first() == (0, 0.0)
 
 
+def test_mix_of_rows_with_maps(spark):
+    """Rows are told apart by their number, so columns that can't be hashed or compared go through."""
+    rows = [(k % 4, " ".join(f"w{j}" for j in range(300)), "ab"[k % 2], {"k": k}) for k in range(12)]
+    out = M.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>"))
+    assert {r["more"]["k"] for r in out.collect()} <= set(range(12)) and out.count() > 0
+
+
 @pytest.mark.parametrize("n,lanes,every", [(0, 4, 8), (1, 4, 8), (7, 4, 4), (5000, 16, 64), (5000, 16, 1 << 20)])
 def test_coder_round_trip(n, lanes, every):
     rng = np.random.default_rng(n)
@@ -122,8 +154,32 @@ def test_ids_are_the_library_s(spark, data):
     t = e.tokenizer
     odd = ["", " ", "It's 'll DON'T x's", "É́ ǅ İstanbul ſ K ﬁ", "a.b,c;d:e!f?...", "12 3a4 ½ ²", "日本語 テスト", "\U0001f600\U0001f600 é ́x", "a b c\x1cd\x85e", "<|endoftext|> x <|startoftext|>y", "tab\tsep\r\nline", "w" * 3000, "A.B. C.,", "x'", "'s"]
     odd += [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").limit(120).collect()]
-    for text in odd:
-        assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids + [2], text[:80]
+    ids = encoded(e, odd)
+    for text, got in zip(odd, ids, strict=True):
+        assert got == t.encode(text or "", add_special_tokens=False).ids + [2], text[:80]
+
+
+def encoded(e, texts):
+    """Lists of ids from the slices that an encoder gives."""
+    return [p.tolist() for ids, counts in e.encode(pa.array(texts, pa.string())) for p in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+TEXTS = st.lists(st.one_of(st.text(max_size=60), st.text(alphabet=st.sampled_from(list("aAbZ09'\"<|>.,- \n\t\r\x0b\x1c\x85\xa0\u2028\u3000éÉe\u0301ſİıßΣςǅﬁ日本가\u1100\u1161½²\U0001f600")), max_size=80), st.none()), max_size=8)
+
+
+@settings(max_examples=400, deadline=None)
+@given(TEXTS)
+def test_ids_of_any_text_are_the_library_s(texts):
+    e = ENCODER
+    for got, text in zip(encoded(e, texts), texts, strict=True):
+        assert got == e.tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def test_long_texts_are_cut_at_spaces(monkeypatch):
+    monkeypatch.setattr(K, "TOGETHER", 50)
+    texts = [" ".join(f"word{i}" for i in range(200)), "x" * 300, "", "a b\nc " * 30 + "y" * 80, None, "tail"]
+    for got, text in zip(encoded(ENCODER, texts), texts, strict=True):
+        assert got == ENCODER.tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def test_token_files(spark, docs, extra, none, tmp_path):
