@@ -155,9 +155,9 @@ FROM d LEFT JOIN g USING (doc_id)
 def _spans(kind: str, pattern: str, group: int, least: int) -> str:
     return f"""
 SELECT doc_id, text_row, '{kind}' AS kind, CAST(list_sum(g[1:i]) + coalesce(list_sum([len(x) FOR x IN m[1 : i - 1]]), 0) AS BIGINT) AS a_, m[i] AS hit, n[i] AS inner_
-FROM (SELECT doc_id, text_row, [len(x) FOR x IN string_split_regex(t, '{pattern}')] AS g, regexp_extract_all(t, '{pattern}') AS m,
-             regexp_extract_all(t, '{pattern}', {group}) AS n FROM d), range(1, 100000) r(i)
-WHERE i <= len(m) AND len(n[i]) >= {least}"""
+FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT doc_id, text_row, [len(x) FOR x IN string_split_regex(t, '{pattern}')] AS g, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS n FROM d))
+WHERE len(n[i]) >= {least}"""
 
 
 _KINDS = (

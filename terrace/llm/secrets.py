@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import is_small, written
 
 FEW = 200_000
+#: Matches of one kind in a text that are placed by one fold.
+SHORT = 64
 
 
 @dataclass(frozen=True)
@@ -141,22 +143,43 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
-    """Sorted array of (start, stop, kind) of a rule's matches: between matches stand the parts of a split."""
+    """Array of (start, stop, kind) of a rule's matches, in order: between matches stand the parts of a split."""
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     sizes = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
     rows = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), F.transform(found, F.length).alias("len"), F.transform(sizes, F.length).alias("inner"))
-    span = "struct<start:int,stop:int,kind:string>"
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{span}>").alias("out"))
+    none = F.array().cast("array<struct<start:int,stop:int,kind:string>>")
+    return F.when(F.size(found) > 0, F.transform(F.array(rows), lambda r: in_place(r, rule))[0]).otherwise(none)
+
+
+def in_place(rows: Column, rule: Rule) -> Column:
+    """``rows(gap, len, inner)``, at least one, as spans in order.
+
+    A fold that appends copies what it has, so matches are folded in about sqrt(n) chunks of sqrt(n): first the
+    chunks' starts, then each chunk's spans from its start.
+    """
+    n = F.size(rows)
+    chunk = F.when(n <= SHORT, n).otherwise(F.ceil(F.sqrt(n))).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), lambda c: F.slice(rows, c * chunk + 1, chunk))
+    spans = "array<struct<start:int,stop:int,inner:int>>"
+
+    def start_next(a: Column, of: Column) -> Column:
+        end = F.aggregate(of, a["end"], lambda e, r: e + r["gap"] + r["len"])
+        one = F.array(F.struct(a["end"].alias("start"), of.alias("rows")))
+        return F.struct(end.alias("end"), F.concat(a["out"], one).alias("out"))
 
     def add(a: Column, r: Column) -> Column:
         start = a["end"] + r["gap"]
         stop = start + r["len"]
-        one = F.array(F.struct(start.alias("start"), stop.alias("stop"), F.lit(rule.kind).alias("kind")))
-        return F.struct(stop.alias("end"), F.when(r["inner"] >= rule.least, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
-
-    return F.when(F.size(found) > 0, F.aggregate(rows, zero, add, lambda a: a["out"])).otherwise(F.array().cast(f"array<{span}>"))
+        one = F.array(F.struct(start.alias("start"), stop.alias("stop"), r["inner"].alias("inner")))
+        return F.struct(stop.alias("end"), F.concat(a["out"], one).alias("out"))
+
+    held = F.array().cast("array<struct<start:int,rows:array<struct<gap:int,len:int,inner:int>>>>")
+    begun = F.aggregate(chunks, F.struct(F.lit(0).alias("end"), held.alias("out")), start_next, lambda a: a["out"])
+    each = F.transform(begun, lambda c: F.aggregate(c["rows"], F.struct(c["start"].alias("end"), F.array().cast(spans).alias("out")), add, lambda a: a["out"]))
+    kept = F.filter(F.flatten(each), lambda s: s["inner"] >= rule.least)
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(rule.kind).alias("kind")))
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
