@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that end a word where a contract says ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch in jobs that write intermediate tables.
+ARROW_ROWS = 2_500
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,10 +33,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int = ARROW_ROWS) -> Iterator[None]:
+    """Fewer rows in an Arrow batch while a job of our own runs: buffers for whole texts stand outside the heap on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most if int(before) <= 0 else min(most, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, and a lost executor costs a reread."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with arrow_rows(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = [path]
     return out
@@ -45,6 +64,28 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that gives memory back: after each batch what Arrow's pool holds unused, at its end what malloc does.
+
+    Workers are used again and wait between tasks; what they hold then counts against the executor.
+    """
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, given = pa.default_memory_pool(), 0
+        for out in run(batches):
+            yield out
+            given += out.nbytes
+            if given > 1 << 20:
+                pool.release_unused()
+                given = 0
+        pool.release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return freed
+
+
 def worker_state() -> dict:
     """What a Python worker keeps from one task to the next."""
     return sys.modules.setdefault("terrace_worker_state", types.ModuleType("terrace_worker_state")).__dict__

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 #: Bytes of distinct content that one map-side table may hold before it starts anew.
 COMBINE_BYTES = 24 << 20
@@ -126,13 +126,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), text.cast("binary").alias("content"), F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("sha"))
-    spilled = rows.mapInArrow(_combine(combine_bytes), "doc_id long, sha string, h long, row long, local long, content binary")
+    spilled = rows.mapInArrow(lean(_combine(combine_bytes)), "doc_id long, sha string, h long, row long, local long, content binary")
     spilled = written(spilled, "grace")
     sent = spilled.where("content is not null").select("local", "h", "content", F.length("content").cast("long").alias("size"))
     leaves, buckets = _leaves(sent, bucket_bytes)
     parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = leaves.select("leaf", "h", "content", "local").repartition(parts, "leaf").sortWithinPartitions("leaf")
-    groups = written(dealt.mapInArrow(_match, "local long, group long"), "groups")
+    groups = written(dealt.mapInArrow(lean(_match), "local long, group long"), "groups")
     best = F.max(F.struct("doc_id", "row"))
     members = spilled.groupBy("local").agg(F.count("*").alias("n"), best.alias("best"))
     whole = groups.join(members, "local").groupBy("group").agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))

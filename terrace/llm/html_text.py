@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, written
+from .common import is_small, lean, written
 
 # Kinds of HTML elements, and words in class, id and role that mark what is not main text.
 RAW = "script|style|noscript|template|iframe|svg|math|object|select|textarea|button|title|head"
@@ -272,13 +272,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     spark = pages.sparkSession
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), F.xxhash64(pages[id_col], pages[url_col], pages[html_col]).alias("tag"))
     schema = "page_id long, url string, tag long, host string, path string, texts array<string>, hashes array<long>, state array<int>"
-    parsed = written(rows.mapInArrow(_parse, schema), "lines")
+    parsed = written(rows.mapInArrow(lean(_parse), schema), "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["host", "path", "page_id", "tag"]
     dealt = parsed.select(*order, "hashes", "state").repartitionByRange(parts, *order[:3]).sortWithinPartitions(*order)
-    found = written(dealt.select("tag", "host", "path", "hashes", "state").mapInArrow(_pair, f"{ROW}, part int, place long, gone array<int>"), "pairs")
+    found = written(dealt.select("tag", "host", "path", "hashes", "state").mapInArrow(lean(_pair), f"{ROW}, part int, place long, gone array<int>"), "pairs")
     ends = found.where("gone is null").select("tag", "host", "path", "hashes", "state", "part", "place")
-    ends = ends.repartition(1).sortWithinPartitions("part", "place").mapInArrow(_join_ends, "tag long, gone array<int>")
+    ends = ends.repartition(1).sortWithinPartitions("part", "place").mapInArrow(lean(_join_ends), "tag long, gone array<int>")
     gone = written(found.where("gone is not null").select("tag", "gone").union(ends).dropDuplicates(["tag"]), "gone")
     gone = F.broadcast(gone) if is_small(gone, 100_000) else gone
     out = parsed.select("page_id", "url", "tag", "texts").join(gone, "tag", "left")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh_worker, written
+from .common import components, fresh_worker, lean, written
 
 BITS = 64
 #: Fingerprints under one value beyond which members are not joined with each other.
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fps)], ["doc_id", "tag", "fp"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[id_col], docs[text_col]).alias("tag"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tag long, fp long")
+    return rows.mapInArrow(lean(run), "doc_id long, tag long, fp long")
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -86,7 +86,7 @@ def bit_counts(fps: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "n"])
 
     out = np.zeros((BITS, BITS))
-    for r in fps.select("fp").mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in fps.select("fp").mapInArrow(lean(run), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         out[r["i"], r["j"]] = r["n"]
     return out
 
@@ -251,7 +251,7 @@ def links(fps: DataFrame, distance: int = 3, hot: int = HOT) -> DataFrame:
         dense = members.select("fp", F.explode(cases).alias("run"))
         n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dense = dense.repartition(n, "run").sortWithinPartitions("run")
-        edges = edges.union(dense.mapInArrow(_forest(distance), "a long, b long"))
+        edges = edges.union(dense.mapInArrow(lean(_forest(distance)), "a long, b long"))
     return edges
 
 

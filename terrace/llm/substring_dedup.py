@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, written
+from .common import is_small, lean, written
 
 WINDOW = 50
 MER = 8
@@ -269,7 +269,7 @@ def _windows(window: int):
 def removals(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, doc, tag, n_words, sha) of each row, and (doc, tag, kept, n_removed) of each text that loses words."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("tag"), docs["text"].alias("text"))
-    scanned = rows.mapInArrow(_scan(window, mer), "doc_id long, tag long, n_words long, sha string, start array<int>, n array<int>, minimiser array<long>")
+    scanned = rows.mapInArrow(lean(_scan(window, mer)), "doc_id long, tag long, n_words long, sha string, start array<int>, n array<int>, minimiser array<long>")
     scanned = written(scanned.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))), "super-k-mers")
     runs = scanned.select("doc", "tag", F.explode(F.arrays_zip("start", "n", "minimiser")).alias("r")).select("doc", "tag", "r.*")
     shared = runs.groupBy("minimiser").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("minimiser")
@@ -277,7 +277,7 @@ def removals(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = H
     texts = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "tag", "text").join(runs, ["doc", "tag"])
     texts = written(texts, "texts")
 
-    packed = texts.mapInArrow(_pack(window), "minimiser long, key binary, packed binary, doc long, tag long, start int, n int")
+    packed = texts.mapInArrow(lean(_pack(window)), "minimiser long, key binary, packed binary, doc long, tag long, start int, n int")
     packed = written(packed, "packed")
     strings = packed.groupBy("minimiser", "key", "packed").agg(F.min("doc").alias("doc"))
     strings = written(strings, "strings")
@@ -285,12 +285,12 @@ def removals(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = H
     few = F.broadcast(crowded) if is_small(crowded, FEW) else crowded
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = strings.join(few, "minimiser", "left_anti").repartition(parts, "minimiser").sortWithinPartitions("minimiser")
-    least = dealt.mapInArrow(_least(window), "minimiser long, key binary, least array<long>")
+    least = dealt.mapInArrow(lean(_least(window)), "minimiser long, key binary, least array<long>")
     met = packed.select("minimiser", "key", "doc", "tag", "start").join(least, ["minimiser", "key"])
-    gone = met.select("doc", "tag", "start", "least").mapInArrow(_spans(window), "doc long, tag long, lo int, hi int")
+    gone = met.select("doc", "tag", "start", "least").mapInArrow(lean(_spans(window)), "doc long, tag long, lo int, hi int")
 
     if crowded.limit(1).count():
-        each = packed.join(few, "minimiser").mapInArrow(_windows(window), "minimiser long, hash long, words binary, doc long, tag long, start int")
+        each = packed.join(few, "minimiser").mapInArrow(lean(_windows(window)), "minimiser long, hash long, words binary, doc long, tag long, start int")
         twice = each.groupBy("minimiser", "hash").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("minimiser", "hash")
         twice = written(twice, "twice")
         each = written(each.join(F.broadcast(twice) if is_small(twice, FEW) else twice, ["minimiser", "hash"], "left_semi"), "windows")
@@ -301,7 +301,7 @@ def removals(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = H
 
     spans = gone.groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     cut = texts.select("doc", "tag", "text").dropDuplicates(["doc", "tag"]).join(spans, ["doc", "tag"])
-    cut = cut.mapInArrow(_remove, "doc long, tag long, kept string, n_removed long")
+    cut = cut.mapInArrow(lean(_remove), "doc long, tag long, kept string, n_removed long")
     return scanned.select("doc_id", "doc", "tag", "n_words", "sha"), cut
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_worker, is_small, scratch_path, worker_state, written
+from .common import arrow_rows, fresh_worker, is_small, lean, scratch_path, worker_state, written
 
 SCALE = 18
 BLOCK = 1 << 18
@@ -324,7 +324,7 @@ def tokenized(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(counts)), raw], ["doc_id", "ids"])
                 at += len(counts)
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), "doc_id long, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2, block: int = BLOCK, part: int = PART) -> None:
@@ -346,14 +346,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], ["id", "n"])
 
-    table = rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    table = rows.select("ids").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(vocabulary, np.int64)
     for r in table.collect():  # as many rows as the vocabulary has ids
         counts[r["id"]] = r["n"]
     freq = scaled(counts)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
     parts = max(1, -(-int(counts.sum()) // part))
-    rows.withColumn("mixed", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "mixed").sortWithinPartitions("doc_id", "mixed", "ids").select("doc_id", "ids").mapInArrow(_blocks(freq, dtype, block), BLOCKS).write.parquet(f"{path}/blocks")
+    dealt = rows.withColumn("mixed", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "mixed").sortWithinPartitions("doc_id", "mixed", "ids").select("doc_id", "ids").mapInArrow(lean(_blocks(freq, dtype, block)), BLOCKS)
+    with arrow_rows(spark):
+        dealt.write.parquet(f"{path}/blocks")
     sizes = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.col("n").cast("long")).alias("ids"))
     before = F.coalesce(F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes.select("part", "ids", before.alias("before")).write.parquet(f"{path}/parts")
@@ -389,7 +391,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     blocks = spark.read.parquet(f"{path}/blocks").join(parts, "part")
-    pieces = blocks.mapInArrow(run, "part long, no long, doc_id long, piece int, start long, n long, crc long")
+    pieces = blocks.mapInArrow(lean(run), "part long, no long, doc_id long, piece int, start long, n long, crc long")
     whole = pieces.groupBy("part", "no").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("piece", "n", "crc"))).alias("pieces")
     )
@@ -404,7 +406,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 sums.append(crc)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return whole.select("doc_id", "start", "n_tokens", "pieces").mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return whole.select("doc_id", "start", "n_tokens", "pieces").mapInArrow(lean(join), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -111,6 +112,19 @@ def test_secrets(spark, rows):
     assert X.secret_scan(docs.limit(0)).count() == 0
 
 
+def test_time_follows_the_number_of_secrets(spark):
+    """100,000 spans in one text: quadratic work would take many minutes."""
+    text = " ".join(f"token=abcdef{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "token=abcdef " * 65)], "doc_id long, text string")
+    X.secret_scan(docs.limit(0)).count()
+    began = time.time()
+    got = {r["doc_id"]: r for r in X.secret_scan(docs).collect()}
+    assert time.time() - began < 60
+    for i, t in ((1, text), (2, "token=abcdef " * 65)):
+        spans, n = plain_secrets(t)
+        assert [got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]] == n and got[i]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+
+
 def test_trigram_queries_never_miss():
     assert X.trigram_query(r"[0-9a-f]+") is None and X.trigram_query(r"ab|cde") is None
     assert X.trigram_query(r"abcd[0-9]+xy") == {frozenset({"abc", "bcd"})}
@@ -146,6 +160,46 @@ def test_toxicity(spark, docs, extra, none):
     assert T.clean(extra, labels).columns == extra.columns
 
 
+def test_score_and_gradient_are_the_plain_sums():
+    """Every pair of slots in a double loop, and the loss moved a little along each parameter."""
+    rng = np.random.default_rng(3)
+    w, v, bias = rng.normal(0, 1, 9), rng.normal(0, 1, (9, 4)), 0.3
+    rows = [np.array(r, np.int64) for r in ([0, 3, 5], [], [8], [1, 2, 3, 4, 7], [0, 8])]
+    y, weight = np.array([1.0, 0, 1, 0, 1]), np.array([2.0, 1, 2, 1, 0.5])
+
+    def plain(r, w, v, bias):
+        pairs = sum(float(v[i] @ v[j]) for k, i in enumerate(r) for j in r[:k])
+        return bias + sum(float(w[i]) for i in r) + pairs
+
+    def loss(w, v, bias):
+        z = [plain(r, w, v, bias) for r in rows]
+        return sum(g * (np.log1p(np.exp(a)) - t * a) for a, t, g in zip(z, y, weight)) / len(rows)
+
+    model = T.Machine(np.arange(9), bias, w, v)
+    for r in rows:
+        assert abs(model.raw(r) - plain(r, w, v, bias)) < 1e-9
+    gb, gw, gv = T.gradient(np.concatenate(rows), np.repeat(np.arange(5), [len(r) for r in rows]), y, weight, bias, w, v)
+    h = 1e-6
+    assert abs(gb[0] - (loss(w, v, bias + h) - loss(w, v, bias - h)) / 2 / h) < 1e-6
+    for i in range(9):
+        d = np.eye(9)[i] * h
+        assert abs(gw[i] - (loss(w + d, v, bias) - loss(w - d, v, bias)) / 2 / h) < 1e-6
+        for f in range(4):
+            d = np.zeros((9, 4))
+            d[i, f] = h
+            assert abs(gv[i, f] - (loss(w, v + d, bias) - loss(w, v - d, bias)) / 2 / h) < 1e-6
+
+
+def test_repeated_ids_keep_the_bound(spark, monkeypatch):
+    """However often an id is repeated, no more documents are learnt from than the sample's bound."""
+    docs = spark.createDataFrame([(i % 7, f"bad{i} word") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda rows, y: seen.append(len(rows)))
+    T.learn(docs, labels, sample=3)
+    assert seen == [3]
+
+
 def test_labels_held_out_are_never_read(spark):
     """Turning the held-out labels round changes no score."""
     ids = list(range(400))
