@@ -248,12 +248,13 @@ def plain_near_duplicates(rows):
     return sorted(least.values())
 
 
-@pytest.mark.parametrize("sample", [1, 20_000])
-def test_near_duplicates_of_the_pipeline(spark, sample):
+@pytest.mark.parametrize("every,block", [(1, 3), (8, 2000)])
+def test_near_duplicates_of_the_pipeline(spark, monkeypatch, every, block):
     """Copies with words changed, on both sides of 0.8; chains of copies; a passage in many texts; odd texts."""
     import corpus_pipeline as P
     from terrace.llm import jaccard as J
 
+    monkeypatch.setattr(J, "BLOCK", block)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(900)}"
     passage = [f"p{i}" for i in range(30)]
@@ -271,5 +272,5 @@ def test_near_duplicates_of_the_pipeline(spark, sample):
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = plain_near_duplicates(rows)
-    out = P.drop_near_duplicates(spark, docs, None) if sample > 1 else J.deduplicated(docs, sample=sample)
+    out = P.drop_near_duplicates(spark, docs, None) if every > 1 else J.deduplicated(docs, every=every)
     assert sorted(r["doc_id"] for r in out.collect()) == want and len(want) < len(rows) - 20
