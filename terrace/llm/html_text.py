@@ -4,11 +4,11 @@ Pages of a host stand in order of their URL's path; a page is paired with the ne
 own for longest. The text lines (blocks) of the two are aligned by their longest common subsequence, and lines that
 both have are deleted: they belong to the site, not to the page.
 
-Two things that differencing alone gets wrong are settled by the markup. Lines in an element that says what it is
-(menu, footer, advert, form, comments ...) are never text, shared or not. Lines inside <article>, or <main> where there
-is no article, are the page's own even if a neighbour carries the same article or passage, and nothing outside is
-text then. Differencing so decides on the unmarked lines of pages without either; a page all of whose lines are shared
-is a copy and keeps them.
+Every page with a neighbour is differenced. The markup then settles what differencing alone gets wrong. Lines inside
+<article>, or <main> where there is no article, stay even if a neighbour carries the same passage; of lines that a page has
+for itself those go that stand in an element which says what it is (menu, footer, advert, form, comments ...), or outside
+the article of a page that has one: a menu or footer may differ from page to page. A page all of whose lines are
+shared is a copy and keeps them. ``reasons`` counts what decided each line.
 
 Blocks are separated by block-level tags, white space in a block, <br> included, is one space, and character
 references are decoded. Pairing sorts line hashes by (host, path, page) in ranges; the pages at the ends of ranges
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import html as html_module
 import re
-import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, lean, written
+from .common import discard, is_small, lean, written
 
 # Kinds of HTML elements, and words in class, id and role that mark what is not main text.
 RAW = "script|style|noscript|template|iframe|svg|math|object|select|textarea|button|title|head"
@@ -47,11 +46,17 @@ MARKS = frozenset(
     "commentlist disqus cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended "
     "pagination pager skip masthead toolbar search copyright".split()
 )
+#: Words that say no more than that an element holds something: "ad-slot" is an advert, "social-policy" isn't a share bar.
+HOLDERS = frozenset(
+    "area articles bar block box buttons column container content form group header icons inner item items label left links list module outer overlay panel posts region right row section "
+    "slot stories strip top bottom unit wrap wrapper zone".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
+# a quote is one only where a value begins; anywhere else in a tag it is a character like any other
+ATTRIBUTES = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<[!?/][^>]*>",
     re.S | re.I,
 )
 LABEL = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -60,18 +65,26 @@ PART = re.compile(r"[a-z0-9]+")
 OPEN, OWN, NOT = 0, 1, 2
 
 
+def _names(token: str) -> bool:
+    """Whether a class or id names a part that isn't main text: by its last word, or by its first with words that only hold."""
+    words = [w for w in PART.findall(token) if not w.isdigit()]
+    return bool(words) and (words[-1] in MARKS or words[0] in MARKS and all(w in HOLDERS or w in MARKS for w in words[1:]))
+
+
 def _marked(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element says that it is not main text."""
     if tag in NEVER or tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "article", "main") and not inside:
         return False
-    if re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
+    if re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", "=", attributes)):
         return True
     for name, *values in LABEL.findall(attributes):
         value = "".join(values).lower()
-        words = set(PART.findall(value))
-        if name.lower() == "role" and words & ROLES or name.lower() != "role" and words & MARKS:
+        if name.lower() == "role":
+            if set(PART.findall(value)) & ROLES:
+                return True
+        elif any(_names(token) for token in value.split()):
             return True
     return False
 
@@ -121,16 +134,42 @@ def lines(html: str | None) -> list[tuple[str, int]]:
                         break
         elif tag != "hr" and not m[4].rstrip().endswith("/"):
             stack.append((tag, own, marked))
-            if tag == own_tag:
-                own += 1
             if marks or _marked(tag, m[4], own > 0):
                 marked += 1
+            if tag == own_tag:
+                own += 1
     if at < len(html):
         held.append(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", html[at:]))
     close()
     return out
 
 
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``x`` with each beginning of ``y``."""
+    last = np.zeros(len(y) + 1, np.int32)
+    for v in x:
+        last[1:] = np.maximum(last[1:], np.where(y == v, last[:-1] + 1, 0))
+        np.maximum.accumulate(last, out=last)
+    return last
+
+
+def _matched(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places of ``x`` in a longest common subsequence with ``y``, in memory of one row: halves of ``x`` with their share of ``y``."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a >= b or c >= d:
+            continue
+        if b - a == 1:
+            if (y[c:d] == x[a]).any():
+                out.append(a)
+            continue
+        mid = (a + b) // 2
+        cut = c + int(np.argmax(_lengths(x[a:mid], y[c:d]) + _lengths(x[mid:b][::-1], y[c:d][::-1])[::-1]))
+        todo += [(a, mid, c, cut), (mid, b, cut, d)]
+    return out
+
+
 def shared(a: list[int], b: list[int]) -> list[bool]:
     """Which of ``a`` are in a longest common subsequence with ``b``; equal ends are matched first."""
     lo, hi = 0, 0
@@ -143,23 +182,8 @@ def shared(a: list[int], b: list[int]) -> list[bool]:
     # lines that only one side has cannot be in it
     both = set(x) & set(y)
     places = [i for i, v in enumerate(x) if v in both]
-    x, y = np.array([x[i] for i in places], np.int64), np.array([v for v in y if v in both], np.int64)
-    if not len(x) or not len(y):
-        return out
-    rows = [np.zeros(len(y) + 1, np.int32)]
-    for v in x[::-1]:
-        last = rows[-1]
-        now = np.maximum(last, np.append(np.where(y == v, last[1:] + 1, 0), 0))
-        rows.append(np.maximum.accumulate(now[::-1])[::-1])
-    rows.reverse()
-    j = 0
-    for i, v in enumerate(x):
-        while j < len(y) and rows[i][j] == rows[i][j + 1]:
-            j += 1
-        if j < len(y) and rows[i][j] > rows[i + 1][j]:
-            out[lo + places[i]] = True
-            j += 1
-        del v
+    for k in _matched(np.array([x[i] for i in places], np.int64), np.array([v for v in y if v in both], np.int64)):
+        out[lo + places[k]] = True
     return out
 
 
@@ -173,15 +197,16 @@ def _common(a: str, b: str) -> int:
 
 
 def _decide(before: dict | None, page: dict, after: dict | None) -> list[int]:
-    """Places of the open lines that go; none for a page with lines of its own."""
-    if OWN in page["state"] or OPEN not in page["state"]:
-        return []
+    """Places of the lines that the nearest page has too, less those of an article; none if that's every line of the text."""
     near = [p for p in (before, after) if p is not None and p["host"] == page["host"]]
     if not near:
         return []
     other = max(near, key=lambda p: _common(p["path"], page["path"]))
-    gone = [i for i, (s, hit) in enumerate(zip(page["state"], shared(page["hashes"], other["hashes"]), strict=True)) if hit and s == OPEN]
-    return [] if len(gone) == page["state"].count(OPEN) else gone
+    state = page["state"]
+    gone = [i for i, (s, hit) in enumerate(zip(state, shared(page["hashes"], other["hashes"]), strict=True)) if hit and s != OWN]
+    if OWN not in state and sum(state[i] == OPEN for i in gone) == state.count(OPEN):
+        gone = [i for i in gone if state[i] == NOT]
+    return gone
 
 
 KEYS = "tag long, host string, path string"
@@ -189,6 +214,8 @@ ROW = f"{KEYS}, hashes array<long>, state array<int>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
     for batch in batches:
         host, path, texts, hashes, state = [], [], [], [], []
         for url, html in zip(batch.column("url"), batch.column("html"), strict=True):
@@ -200,9 +227,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host.append("")
                 path.append("")
             got = lines(html.as_py())
-            own = any(s == OWN for _, s in got)
-            texts.append([t if s == (OWN if own else OPEN) else None for t, s in got])
-            hashes.append([zlib.crc32(t.encode("utf-8", "surrogatepass")) << 31 ^ hash_length(t) for t, _ in got])
+            texts.append([t for t, _ in got])
+            hashes.append(np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _ in got], np.uint64).view(np.int64))
             state.append([s for _, s in got])
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("page_id", "url", "tag")), pa.array(host), pa.array(path), pa.array(texts, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(state, pa.list_(pa.int32()))],
@@ -210,10 +236,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def hash_length(text: str) -> int:
-    return len(text) & 0x7FFFFFFF
-
-
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Decisions for the rows inside a sorted range; its first and last two rows go on to the second pass."""
     part, place = TaskContext.get().partitionId(), 0
@@ -267,8 +289,9 @@ def _join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["tag", "gone"])
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) for each row."""
+def differenced(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, url, texts, state, gone) for each row: its lines, what the markup says of each, and the places of those that
+    differencing deletes."""
     spark = pages.sparkSession
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), F.xxhash64(pages[id_col], pages[url_col], pages[html_col]).alias("tag"))
     schema = "page_id long, url string, tag long, host string, path string, texts array<string>, hashes array<long>, state array<int>"
@@ -280,8 +303,23 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ends = found.where("gone is null").select("tag", "host", "path", "hashes", "state", "part", "place")
     ends = ends.repartition(1).sortWithinPartitions("part", "place").mapInArrow(lean(_join_ends), "tag long, gone array<int>")
     gone = written(found.where("gone is not null").select("tag", "gone").union(ends).dropDuplicates(["tag"]), "gone")
+    discard(found)
     gone = F.broadcast(gone) if is_small(gone, 100_000) else gone
-    out = parsed.select("page_id", "url", "tag", "texts").join(gone, "tag", "left")
-    left = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda t, i: ~F.array_contains("gone", i)))
-    text = F.array_join(F.array_compact(left), "\n")
+    none = F.array().cast("array<int>")
+    return parsed.select("page_id", "url", "tag", "texts", "state").join(gone, "tag", "left").select("page_id", "url", "texts", "state", F.coalesce("gone", none).alias("gone"))
+
+
+def reasons(pages: DataFrame) -> DataFrame:
+    """(reason, lines): how many lines were deleted as shared, as marked or as outside the article, and how many stay."""
+    rows = differenced(pages).select("gone", "state", F.posexplode("state").alias("i", "s"))
+    why = F.when(F.array_contains("gone", F.col("i")), "shared").when(F.col("s") == NOT, "marked").when((F.col("s") == OPEN) & F.array_contains("state", OWN), "outside").otherwise("stays")
+    return rows.groupBy(why.alias("reason")).agg(F.count("*").alias("lines"))
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, url, text, n_chars) for each row."""
+    out = differenced(pages, id_col, url_col, html_col).withColumn("wanted", F.when(F.array_contains("state", OWN), OWN).otherwise(OPEN))
+    line = F.arrays_zip(F.col("texts").alias("text"), F.col("state").alias("state"))
+    left = F.filter(line, lambda x, i: ~F.array_contains("gone", i) & (x["state"] == F.col("wanted")))
+    text = F.array_join(F.transform(left, lambda x: x["text"]), "\n")
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

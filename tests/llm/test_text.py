@@ -1,9 +1,11 @@
 """Main text, secrets, toxicity and decontamination against brute force and on odd rows."""
 
 import hashlib
+import os
 import re
 import time
 import zlib
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -29,6 +31,8 @@ def body(html):
         ("<div class='site-sidebar'>no<div>no</div></div><div class='badge'>yes</div>", ["yes"]), ("<article><p>one<section id=comments><p>no</section><p>two</article>", ["one", "two"]),
         ("<article>a<article class=comment>c</article></article>", ["a"]), ("<ul><li>1<li>2</ul>", ["1", "2"]), ("<p>cut <b", ["cut"]), ("<p title='>'>q</p>", ["q"]), ("<p hidden>no</p><p>yes", ["yes"]), ("a < b", ["a < b"]),
         ("<div><form>f<input><p>f</form>k</div>", ["k"]), ("<p>a<span class=ad>no</span>b</p>", ["a", "b"]), ("<![CDATA[x<y]]>", ["x<y"]), ("<title>no</title><p>y</p>", ["y"]),
+        ("<article class='post related-posts'><p>body</p></article>", ["body"]), ("<div class='social-policy'><p>on social policy</p></div>", ["on social policy"]), ("<p class=it's>hello</p>", ["hello"]), ("<p title=\"cut>x</p>", ["x"]),
+        ("<div class='ad-slot'>no</div><div class='cookie-banner'>no</div><ul class='related-posts'><li>no</ul><p data-a='>' b=\">\">q</p>", ["q"]), ("<main class=sidebar-left><p>k<div id=comments-list>no</div></main>", ["k"]),
     ],
 )
 def test_lines(html, want):
@@ -68,6 +72,83 @@ def test_differencing(spark, parts, rows):
     assert got[22, None] == "z" and got[23, "http://[bad"] == "" and got[None, "http://c.example/1"] == "k"
 
 
+def test_long_pages_take_memory_of_a_row():
+    """Shared lines in another order, 6,000 of them, some repeated: a table of all pairs would take 140 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 4000, 6000).tolist()
+    b = rng.permutation(a).tolist()
+    tracemalloc.start()
+    hit = H.shared(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert sum(hit) == H._lengths(np.array(a), np.array(b))[-1] > 50
+
+
+def plain_main_text(pages):
+    """Pages of a host in order, the neighbour with the longer common path first, lines deleted in plain loops."""
+    hosts = {}
+    for r in pages:
+        try:
+            u = urlsplit(r["url"] or "")
+            host, path = u.netloc.lower(), u.path
+        except ValueError:
+            host, path = "", ""
+        hosts.setdefault(host, []).append((path, r["page_id"], H.lines(r["html"])))
+    out, lost = {}, {"shared": 0, "marked": 0, "outside": 0, "stays": 0}
+    for rows in hosts.values():
+        rows.sort(key=lambda r: (r[0], r[1]))
+        for k, (path, page, got) in enumerate(rows):
+            near = [rows[j] for j in (k - 1, k + 1) if 0 <= j < len(rows)]
+            same = [False] * len(got)
+            if near:
+                other = max(near, key=lambda r: len(os.path.commonprefix([r[0], path])))
+                same = H.shared([hash(t) for t, _ in got], [hash(t) for t, _ in other[2]])
+            article = any(s == H.OWN for _, s in got)
+            open_ = [h for (_, s), h in zip(got, same) if s == H.OPEN]
+            copy = not article and all(open_)
+            left = []
+            for (t, s), h in zip(got, same):
+                shared = h and s != H.OWN and not (copy and s == H.OPEN)
+                why = "shared" if shared else "marked" if s == H.NOT else "outside" if article and s == H.OPEN else "stays"
+                lost[why] += 1
+                if why == "stays":
+                    left.append(t)
+            out[page] = "\n".join(left)
+    return out, {k: n for k, n in lost.items() if n}
+
+
+@pytest.mark.parametrize("parts", ["1", "3", "20"])
+@pytest.mark.parametrize("renamed", [False, True])
+def test_whole_sites(spark, data, parts, renamed):
+    """All pages against plain loops, however they are dealt; with the article's tag and with none that says what it is."""
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    known = {r["page_id"]: r["text"] for r in H.main_text(pages).collect()}
+    if renamed:
+        pages = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    # a site's own lines around the pages, the same everywhere
+    pages = pages.withColumn("html", F.regexp_replace("html", "<body>", "<body><div>Welcome to the site</div>")).withColumn("html", F.regexp_replace("html", "</body>", "<div>All rights</div></body>"))
+    want, why = plain_main_text(pages.collect())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["page_id"]: r["text"] for r in H.main_text(pages).collect()}
+        assert got == want and {r["reason"]: r["lines"] for r in H.reasons(pages).collect()} == why
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    hosts = {}
+    for r in pages.collect():
+        hosts.setdefault(urlsplit(r["url"] or "").netloc, []).append(r["page_id"])
+    paired = [k for ids in hosts.values() if len(ids) > 1 for k in ids]  # a page alone on its host has nothing to differ from
+    assert len(paired) > 10
+    lines = {k: set(known[k].split("\n")) for k in paired}
+    found = {k: set(got[k].split("\n")) for k in paired}
+    recall = sum(len(lines[k] & found[k]) for k in lines) / sum(map(len, lines.values()))
+    precision = sum(len(lines[k] & found[k]) for k in lines) / sum(map(len, found.values()))
+    assert (recall, precision) == (1, 1) if not renamed else recall > 0.93 and precision > 0.93, (recall, precision)
+
+
 def test_articles_of_the_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = {r["page_id"]: r for r in H.main_text(pages).collect()}
