@@ -7,7 +7,8 @@ after the token (positional bound) and in the document as a whole (length bound)
 
 Documents are cut into segments of ``SEGMENT`` start positions with the following words of a window, so no row
 carries a long text's words while single words are looked up. The benchmark's windows and words are broadcast
-while there are at most ``FEW`` of them, else joined by shuffle.
+while there are at most ``FEW`` of them, else joined by shuffle: of hashes and places of words first, then of segments
+that have candidates.
 
 Defined cases: null or empty text has no words, is not hit and hits nothing; null doc_id is kept as it is;
 repeated documents each give a row (rows are told apart by id and text); items with equal windows are all
@@ -75,8 +76,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int, few: int = FEW) -> tu
     n = F.size("w")
     segment = words.select("doc_id", "tag", n.alias("n_words"), F.explode(F.sequence(F.lit(0), F.greatest((n - 1), F.lit(0)), F.lit(SEGMENT))).alias("base"), "w")
     segment = segment.select("doc_id", "tag", "n_words", "base", F.expr(f"slice(w, base + 1, {SEGMENT + size - 1})").alias("w"))
-    word = segment.select("doc_id", "tag", "n_words", "base", "w", F.posexplode("w").alias("p", "raw")).withColumn("key", F.lower("raw"))
-    met = word.join(hinted(prefix, few), "key")
+    if is_small(prefix, few):
+        word = segment.select("doc_id", "tag", "n_words", "base", "w", F.posexplode("w").alias("p", "raw")).withColumn("key", F.lower("raw"))
+        met = word.join(F.broadcast(prefix), "key")
+    else:
+        # what is shuffled for each word is a hash, its segment's hash and its place; segments come back for candidates alone
+        segment = segment.withColumn("segment", F.xxhash64("doc_id", "tag", "base"))
+        word = segment.select("segment", F.posexplode("w").alias("p", "raw")).select("segment", "p", F.xxhash64(F.lower("raw")).alias("hash"))
+        met = word.join(prefix.withColumn("hash", F.xxhash64("key")).drop("key"), "hash").drop("hash").join(segment, "segment")
     start = F.col("p") - F.col("at")
     met = met.where((F.col("n_words") >= F.col("len")) & (start >= 0) & (start < SEGMENT) & (start + F.col("len") <= F.size("w")))
     # no lambda here: with one, the words of a segment would be copied for each single word on the way to the join
