@@ -20,12 +20,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 2_500
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named in ``spark.checkpoint.dir``; a folder of our own only where that is unset and all tasks run here."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="terrace-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="terrace-")
+        named = _OWN[context.applicationId]
     return named.rstrip("/")
 
 
@@ -33,6 +40,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results not yet read can't be read any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark) + f"/{spark.sparkContext.applicationId}-*")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(where) or []:
+        files.delete(status.getPath(), True)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int = ARROW_ROWS) -> Iterator[None]:
     """Fewer rows in an Arrow batch while a job of our own runs: buffers for whole texts stand outside the heap on both sides."""

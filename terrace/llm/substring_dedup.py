@@ -6,8 +6,8 @@ but minimisers: only those met in two documents can hold a shared window, and on
 sent. Equal packed strings are combined before the shuffle into one with the least document id; in a bucket the
 windows of all strings are sorted, which tells equal ones exactly, and each gets the least id of its equals.
 
-A bucket with over ``HOT`` distinct strings (a passage in very many different surroundings) is dealt out by window
-instead: a count by window hash leaves the windows met in two documents, and these are grouped by their words.
+A bucket with over ``HOT`` distinct strings (a passage in very many different surroundings) is cut finer by the same
+steps: with runs of a whole window in place of ``MER`` words each window is its own super-k-mer with a bucket of its own.
 
 Defined cases: null or empty text has no words (its digest is that of no bytes); null doc_id counts as larger than any
 other, and null ids as equal; of repeated rows none counts as smaller; words of a text are in no window if it has
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, lean, written
+from .common import discard, is_small, lean, written
 
 WINDOW = 50
 MER = 8
@@ -246,58 +246,63 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), pa.array(kept, pa.string()), pa.array(n, pa.int64())], ["doc", "tag", "kept", "n_removed"])
 
 
-def _windows(window: int):
-    """Packed strings to their windows, each with a hash."""
+def _finer(window: int):
+    """Packed strings to super-k-mers whose minimisers are runs of a whole window: (doc, tag, start, n, minimiser)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = _Words()
         for batch in batches:
-            for minimiser, packed, doc, tag, start in zip(*(batch.column(c) for c in ("minimiser", "packed", "doc", "tag", "start")), strict=True):
-                words = packed.as_py().split(b" ")
-                m = len(words) - window + 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([minimiser.as_py()] * m, pa.int64()), pa.array(run_hashes(hashed(words), window).view(np.int64)), pa.array([b" ".join(words[i : i + window]) for i in range(m)], pa.binary()),
-                        pa.array([doc.as_py()] * m, pa.int64()), pa.array([tag.as_py()] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int32) + start.as_py()),
-                    ],
-                    ["minimiser", "hash", "words", "doc", "tag", "start"],
-                )
+            held: list[list[np.ndarray]] = [[], [], [], [], []]
+            for packed, *own in zip(*(batch.column(c) for c in ("packed", "doc", "tag", "start")), strict=True):
+                doc, tag, start = (x.as_py() for x in own)
+                starts, n, minimisers = super_kmers(hashed(packed.as_py().split(b" ")), window, window)
+                for column, x in zip(held, (np.full(len(n), doc), np.full(len(n), tag), starts + np.int32(start), n, minimisers), strict=True):
+                    column.append(x)
+            if held[0]:
+                kinds = (np.int64, np.int64, np.int32, np.int32, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(held, kinds, strict=True)], ["doc", "tag", "start", "n", "minimiser"])
 
     return run
 
 
+def _bucketed(texts: DataFrame, runs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ``texts`` with ``runs`` whose minimiser two documents have, (minimiser, key, packed, doc, tag, start, n) of such runs, and each
+    string's least doc."""
+    shared = runs.groupBy("minimiser").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("minimiser")
+    runs = runs.join(shared, "minimiser").groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "n", "minimiser")).alias("runs"))
+    texts = written(texts.join(runs, ["doc", "tag"]), "texts")
+    packed = texts.mapInArrow(lean(_pack(window)), "minimiser long, key binary, packed binary, doc long, tag long, start int, n int")
+    packed = written(packed, "packed")
+    return texts, packed, written(packed.groupBy("minimiser", "key", "packed").agg(F.min("doc").alias("doc")), "strings")
+
+
+def _covered(packed: DataFrame, strings: DataFrame, window: int) -> DataFrame:
+    """(doc, tag, lo, hi): spans of windows that ``strings`` show to start in a smaller document too."""
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = strings.repartition(parts, "minimiser").sortWithinPartitions("minimiser")
+    least = dealt.mapInArrow(lean(_least(window)), "minimiser long, key binary, least array<long>")
+    met = packed.select("minimiser", "key", "doc", "tag", "start").join(least, ["minimiser", "key"])
+    return met.select("doc", "tag", "start", "least").mapInArrow(lean(_spans(window)), "doc long, tag long, lo int, hi int")
+
+
 def removals(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, doc, tag, n_words, sha) of each row, and (doc, tag, kept, n_removed) of each text that loses words."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("tag"), docs["text"].alias("text"))
     scanned = rows.mapInArrow(lean(_scan(window, mer)), "doc_id long, tag long, n_words long, sha string, start array<int>, n array<int>, minimiser array<long>")
     scanned = written(scanned.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))), "super-k-mers")
+    texts = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "tag", "text")
     runs = scanned.select("doc", "tag", F.explode(F.arrays_zip("start", "n", "minimiser")).alias("r")).select("doc", "tag", "r.*")
-    shared = runs.groupBy("minimiser").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("minimiser")
-    runs = runs.join(shared, "minimiser").groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "n", "minimiser")).alias("runs"))
-    texts = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "tag", "text").join(runs, ["doc", "tag"])
-    texts = written(texts, "texts")
-
-    packed = texts.mapInArrow(lean(_pack(window)), "minimiser long, key binary, packed binary, doc long, tag long, start int, n int")
-    packed = written(packed, "packed")
-    strings = packed.groupBy("minimiser", "key", "packed").agg(F.min("doc").alias("doc"))
-    strings = written(strings, "strings")
+    texts, packed, strings = _bucketed(texts, runs, window)
     crowded = written(strings.groupBy("minimiser").count().where(F.col("count") > hot).select("minimiser"), "crowded")
     few = F.broadcast(crowded) if is_small(crowded, FEW) else crowded
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = strings.join(few, "minimiser", "left_anti").repartition(parts, "minimiser").sortWithinPartitions("minimiser")
-    least = dealt.mapInArrow(lean(_least(window)), "minimiser long, key binary, least array<long>")
-    met = packed.select("minimiser", "key", "doc", "tag", "start").join(least, ["minimiser", "key"])
-    gone = met.select("doc", "tag", "start", "least").mapInArrow(lean(_spans(window)), "doc long, tag long, lo int, hi int")
-
+    gone = written(_covered(packed, strings.join(few, "minimiser", "left_anti"), window), "spans")
     if crowded.limit(1).count():
-        each = packed.join(few, "minimiser").mapInArrow(lean(_windows(window)), "minimiser long, hash long, words binary, doc long, tag long, start int")
-        twice = each.groupBy("minimiser", "hash").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("minimiser", "hash")
-        twice = written(twice, "twice")
-        each = written(each.join(F.broadcast(twice) if is_small(twice, FEW) else twice, ["minimiser", "hash"], "left_semi"), "windows")
-        first = written(each.groupBy("minimiser", "hash", "words").agg(F.min("doc").alias("least")), "first")
-        first = F.broadcast(first) if is_small(first, FEW // 10) else first
-        late = each.join(first, ["minimiser", "hash", "words"]).where("least < doc")
-        gone = gone.union(late.select("doc", "tag", F.col("start").alias("lo"), (F.col("start") + window).alias("hi")))
+        finer = written(packed.join(few, "minimiser").mapInArrow(lean(_finer(window)), "doc long, tag long, start int, n int, minimiser long"), "finer")
+        discard(packed, strings)
+        again, packed, strings = _bucketed(texts.drop("runs"), finer, window)
+        gone = gone.union(written(_covered(packed, strings, window), "finer-spans"))
+        discard(finer, again)
+    discard(packed, strings, crowded)
 
     spans = gone.groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     cut = texts.select("doc", "tag", "text").dropDuplicates(["doc", "tag"]).join(spans, ["doc", "tag"])

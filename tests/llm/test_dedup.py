@@ -193,7 +193,7 @@ def plain_lines(source, least):
     return sorted(repr((r["doc_id"], *out[r["doc_id"], r["text"]])) for r in source)
 
 
-@pytest.mark.parametrize("least", [1, 2, 3])
+@pytest.mark.parametrize("least", [1, 2, 3, 8])
 def test_lines(spark, extra, none, rows, least):
     rng = random.Random(least)
     data = [(i, "\n".join(rng.choice("abcde") for _ in range(rng.randint(0, 9)))) for i in range(40)] + [(50, None), (51, ""), (None, "a\nb\nc\na\nb\nc"), (3000, "x\n" * 300), (3000, "x\n" * 300)]
