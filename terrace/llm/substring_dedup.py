@@ -6,8 +6,9 @@ but minimisers: only those met in two documents can hold a shared window, and on
 sent. Equal packed strings are combined before the shuffle into one with the least document id; in a bucket the
 windows of all strings are sorted, which tells equal ones exactly, and each gets the least id of its equals.
 
-A bucket with over ``HOT`` distinct strings (a passage in very many different surroundings) is cut finer by the same
-steps: with runs of a whole window in place of ``MER`` words each window is its own super-k-mer with a bucket of its own.
+A bucket with too many distinct strings to be sorted in one task (a passage in very many different surroundings) is cut
+finer by the same steps, with minimisers of more words: those have shorter super-k-mers and more buckets, and with runs of a
+whole window each window has a bucket of its own.
 
 Defined cases: null or empty text has no words (its digest is that of no bytes); null doc_id counts as larger than any
 other, and null ids as equal; of repeated rows none counts as smaller; words of a text are in no window if it has
@@ -30,7 +31,8 @@ WINDOW = 50
 MER = 8
 #: Windows in one packed string at most; longer runs of one minimiser are cut.
 RUN = 256
-HOT = 500
+#: Words of a minimiser, and distinct strings up to which its bucket is sorted at once; what is over goes on to the next.
+LEVELS = ((MER, 500), (25, 8_000), (WINDOW, None))
 FEW = 200_000
 #: Windows sorted together.
 SORTED = 20_000
@@ -246,8 +248,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), pa.array(kept, pa.string()), pa.array(n, pa.int64())], ["doc", "tag", "kept", "n_removed"])
 
 
-def _finer(window: int):
-    """Packed strings to super-k-mers whose minimisers are runs of a whole window: (doc, tag, start, n, minimiser)."""
+def _finer(window: int, mer: int):
+    """Packed strings to super-k-mers of longer minimisers: (doc, tag, start, n, minimiser)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = _Words()
@@ -255,7 +257,7 @@ def _finer(window: int):
             held: list[list[np.ndarray]] = [[], [], [], [], []]
             for packed, *own in zip(*(batch.column(c) for c in ("packed", "doc", "tag", "start")), strict=True):
                 doc, tag, start = (x.as_py() for x in own)
-                starts, n, minimisers = super_kmers(hashed(packed.as_py().split(b" ")), window, window)
+                starts, n, minimisers = super_kmers(hashed(packed.as_py().split(b" ")), window, mer)
                 for column, x in zip(held, (np.full(len(n), doc), np.full(len(n), tag), starts + np.int32(start), n, minimisers), strict=True):
                     column.append(x)
             if held[0]:
@@ -285,27 +287,32 @@ def _covered(packed: DataFrame, strings: DataFrame, window: int) -> DataFrame:
     return met.select("doc", "tag", "start", "least").mapInArrow(lean(_spans(window)), "doc long, tag long, lo int, hi int")
 
 
-def removals(docs: DataFrame, window: int = WINDOW, mer: int = MER, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, window: int = WINDOW, levels: tuple = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, doc, tag, n_words, sha) of each row, and (doc, tag, kept, n_removed) of each text that loses words."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("tag"), docs["text"].alias("text"))
-    scanned = rows.mapInArrow(lean(_scan(window, mer)), "doc_id long, tag long, n_words long, sha string, start array<int>, n array<int>, minimiser array<long>")
+    scanned = rows.mapInArrow(lean(_scan(window, levels[0][0])), "doc_id long, tag long, n_words long, sha string, start array<int>, n array<int>, minimiser array<long>")
     scanned = written(scanned.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))), "super-k-mers")
     texts = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "tag", "text")
     runs = scanned.select("doc", "tag", F.explode(F.arrays_zip("start", "n", "minimiser")).alias("r")).select("doc", "tag", "r.*")
     texts, packed, strings = _bucketed(texts, runs, window)
-    crowded = written(strings.groupBy("minimiser").count().where(F.col("count") > hot).select("minimiser"), "crowded")
-    few = F.broadcast(crowded) if is_small(crowded, FEW) else crowded
-    gone = written(_covered(packed, strings.join(few, "minimiser", "left_anti"), window), "spans")
-    if crowded.limit(1).count():
-        finer = written(packed.join(few, "minimiser").mapInArrow(lean(_finer(window)), "doc long, tag long, start int, n int, minimiser long"), "finer")
-        discard(packed, strings)
-        again, packed, strings = _bucketed(texts.drop("runs"), finer, window)
-        gone = gone.union(written(_covered(packed, strings, window), "finer-spans"))
+    gone, first = None, texts
+    for k, (_, most) in enumerate(levels):
+        crowded = strings.groupBy("minimiser").count().where(F.col("count") > most if most is not None else F.lit(False)).select("minimiser")
+        crowded = written(crowded, "crowded")
+        few = F.broadcast(crowded) if is_small(crowded, FEW) else crowded
+        spans = written(_covered(packed, strings.join(few, "minimiser", "left_anti"), window), "spans")
+        gone = spans if gone is None else gone.union(spans)
+        if not crowded.limit(1).count():
+            break
+        finer = packed.join(few, "minimiser").mapInArrow(lean(_finer(window, levels[k + 1][0])), "doc long, tag long, start int, n int, minimiser long")
+        finer = written(finer, "finer")
+        discard(packed, strings, crowded)
+        again, packed, strings = _bucketed(first.drop("runs"), finer, window)
         discard(finer, again)
     discard(packed, strings, crowded)
 
     spans = gone.groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    cut = texts.select("doc", "tag", "text").dropDuplicates(["doc", "tag"]).join(spans, ["doc", "tag"])
+    cut = first.select("doc", "tag", "text").dropDuplicates(["doc", "tag"]).join(spans, ["doc", "tag"])
     cut = cut.mapInArrow(lean(_remove), "doc long, tag long, kept string, n_removed long")
     return scanned.select("doc_id", "doc", "tag", "n_words", "sha"), cut
 

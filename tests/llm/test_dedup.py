@@ -156,12 +156,13 @@ def plain_substring(source, window=50):
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize("hot", [0, 500])
+@pytest.mark.parametrize("hot", [0, 1, 500])
 def test_substring(docs, extra, none, rows, hot, monkeypatch):
-    monkeypatch.setattr(B.removals, "__defaults__", (B.WINDOW, B.MER, hot))
+    """At 0 every bucket goes through all levels, at 1 the shared ones."""
+    monkeypatch.setattr(B.removals, "__defaults__", (B.WINDOW, ((8, hot), (25, min(hot, 1) if hot < 500 else 8000), (50, None))))
     want = plain_substring(docs.collect())
     assert rows(B.substring_dedup(docs)) == want
-    if hot:
+    if hot == 500:
         assert rows(B.substring_dedup(extra)) == want
         assert B.substring_dedup(none).count() == 0
         assert B.deduplicated(extra).columns == extra.columns and B.deduplicated(extra).count() == extra.count()
