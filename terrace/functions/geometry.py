@@ -100,15 +100,15 @@ def polygon_error(p: str, w: str, h: str) -> str:
     b = box(p)
     inside = f"forall({p}, v_ -> v_.x BETWEEN 0 AND {w} AND v_.y BETWEEN 0 AND {h})"
     return (
-        f"CASE WHEN size({p}) < 3 THEN 'fewer than three vertices' WHEN NOT {finite(p)} THEN 'non-finite coordinate' WHEN NOT {inside} THEN 'coordinate outside image' "
-        f"WHEN {area(p)} <= 0 OR {b}.x2 <= {b}.x1 OR {b}.y2 <= {b}.y1 THEN 'zero-area polygon or bounding box' END"
+        f"CASE WHEN size({p}) < 3 THEN 'under three vertices' WHEN NOT {finite(p)} THEN 'coordinate not finite' WHEN NOT {inside} THEN 'point off the image' "
+        f"WHEN {area(p)} <= 0 OR {b}.x2 <= {b}.x1 OR {b}.y2 <= {b}.y1 THEN 'no area' END"
     )
 
 
 def validity_error(p: str, w: str, h: str) -> str:
     """``polygon_error``, then repeated vertices and self-intersection of the ring; null if valid."""
     q = unclosed(p)
-    return f"coalesce({polygon_error(p, w, h)}, CASE WHEN size(array_distinct({q})) < size({q}) THEN 'repeated polygon vertex' WHEN {intersects_itself(q)} THEN 'self-intersecting polygon' END)"
+    return f"coalesce({polygon_error(p, w, h)}, CASE WHEN size(array_distinct({q})) < size({q}) THEN 'vertex used twice' WHEN {intersects_itself(q)} THEN 'edges cross' END)"
 
 
 def two_opt(p: str, i: str, j: str) -> str:

@@ -30,17 +30,17 @@ def row_status(required: DataFrame, answers: DataFrame, strict: bool = False, pr
         allowed = allowed | ((F.col("issue_type") == kind) & d.isin(*choices))
     source = F.when(d == "KEEP_A", F.col("annotation_a")).when(d == "KEEP_B", F.col("annotation_b"))
     errors = [
-        (~known, "Unknown review ID"),
-        (known & ~answered, "Required review ID missing"),
-        (known & answered & ~(F.col("content").eqNullSafe(F.col("content_sha256")) & F.col("type").eqNullSafe(F.col("issue_type"))), "Identity columns do not match catalog"),
-        (known & (F.col("times") > 1), "Duplicate review ID"),
-        (known & (d != "") & ~allowed, "Decision not allowed for issue type"),
-        (known & (F.coalesce("selected", F.lit("")) != "") & ~d.isin("KEEP_A", "KEEP_B", "MANUAL_FIX"), "selected_annotation is not used by this decision"),
-        (known & d.isin("KEEP_A", "KEEP_B") & source.isNull(), "Invalid conflict alternative"),
-        (known & source.isNotNull() & (F.col("selected") != "") & (F.col("selected") != source), "selected_annotation disagrees with KEEP choice"),
+        (~known, "not in the catalog"),
+        (known & ~answered, "no answer"),
+        (known & answered & ~(F.col("content").eqNullSafe(F.col("content_sha256")) & F.col("type").eqNullSafe(F.col("issue_type"))), "answers another case"),
+        (known & (F.col("times") > 1), "answered twice"),
+        (known & (d != "") & ~allowed, "choice not offered here"),
+        (known & (F.coalesce("selected", F.lit("")) != "") & ~d.isin("KEEP_A", "KEEP_B", "MANUAL_FIX"), "selection without use"),
+        (known & d.isin("KEEP_A", "KEEP_B") & source.isNull(), "chosen side is empty"),
+        (known & source.isNotNull() & (F.col("selected") != "") & (F.col("selected") != source), "selection is the other side"),
     ]
     if strict:
-        errors.append((known & (F.col("issue_type") == "GEOMETRY") & (d != "") & (d != "EXCLUDE"), "Strict geometry policy requires EXCLUDE for remaining invalid geometry"))
+        errors.append((known & (F.col("issue_type") == "GEOMETRY") & (d != "") & (d != "EXCLUDE"), "bad geometry must be excluded"))
     found = F.array_compact(F.array(*(F.when(c, F.lit(e)) for c, e in errors)))
     out = both.select(
         F.coalesce("review_id", F.concat(F.lit("UNKNOWN:"), "answer_id")).alias("review_id"), F.coalesce("issue_type", F.lit("UNKNOWN")).alias("issue_type"), "content_sha256",
@@ -75,7 +75,7 @@ def resolved(status: DataFrame) -> DataFrame:
     clash = F.coalesce("disagree", F.lit(False)) & (F.col("issue_type") != "UNKNOWN")
     return out.select(
         "review_id", "issue_type", "content_sha256", "decision", "source",
-        F.when(clash, "INVALID").otherwise(F.col("status")).alias("status"), F.when(clash, "Conflicting source selections").otherwise(F.col("errors")).alias("errors"),
+        F.when(clash, "INVALID").otherwise(F.col("status")).alias("status"), F.when(clash, "choices for one content differ").otherwise(F.col("errors")).alias("errors"),
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,45 +9,73 @@ from pyspark.sql import functions as F
 from ..schema import SHARES, SPLITS
 
 
-def contiguous(rows: DataFrame, order: str, key: str) -> DataFrame:
-    """``rows`` with split: the first 70 % by ``order`` train, the next 15 % val, the rest test; both shares round down.
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` of these columns with rn, their rank from 1; ranks come from counts of sorted ranges, so no task sees all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    ids = dealt.select(*order, F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    sizes = ids.groupBy("range").agg(F.count("*").alias("size"))
+    before = sizes.select("range", F.coalesce(F.sum("size").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ids.join(F.broadcast(before), "range").select(*order, (F.col("before") + F.col("at") + 1).alias("rn"))
 
-    Ranks come from counts of sorted ranges, so no task sees all rows.
-    """
+
+def contiguous(rows: DataFrame, order: str, key: str) -> DataFrame:
+    """``rows`` with split: the first 70 % by ``order`` train, the next 15 % val, the rest test; both shares round down."""
     n = rows.count()
     first, second = int(n * SHARES[0]), int(n * SHARES[0]) + int(n * SHARES[1])
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(key, order).repartitionByRange(parts, order, key).sortWithinPartitions(order, key).withColumn("id", F.monotonically_increasing_id())
-    ids = dealt.select(key, F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")).persist()
-    sizes = ids.groupBy("range").agg(F.count("*").alias("size"))
-    before = sizes.select("range", F.coalesce(F.sum("size").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = ids.join(F.broadcast(before), "range").select(key, (F.col("before") + F.col("at") + 1).alias("rn"))
     split = F.when(F.col("rn") <= first, SPLITS[0]).when(F.col("rn") <= second, SPLITS[1]).otherwise(SPLITS[2])
-    return rows.join(ranked.select(key, split.alias("split")), key)
+    return rows.join(ranked(rows, order, key).select(key, split.alias("split")), key)
+
+
+def _shares_of(size: int, groups: int, left: int, room: list[float], used: list[bool]) -> list[int]:
+    """How many of ``groups`` groups of one size each split gets; ``room`` is what each lacks, ``left`` the groups from here on.
+
+    A group belongs where most is lacking. Many at once: they level what the splits lack, so each gets what it has above that
+    level, less one to be safe; the others are given one by one.
+    """
+    got = [0] * len(room)
+    spare = groups - 8 * len(room)
+    if spare > 0:
+        lo, hi = min(room) - size * (groups + 1.0), max(room)
+        for _ in range(200):
+            level = (lo + hi) / 2
+            if sum(max(0.0, (r - level) / size) for r in room) > spare:
+                lo = level
+            else:
+                hi = level
+        got = [max(0, int((r - hi) / size) - 1) for r in room]
+    for k in range(sum(got), groups):
+        bare = [i for i in range(len(room)) if not used[i] and not got[i]]
+        open_ = bare if left - k == len(bare) else range(len(room))
+        got[max(open_, key=lambda i: (room[i] - size * got[i], -i))] += 1
+    return got
 
 
 def grouped(rows: DataFrame, group: str, seed: int = 42) -> DataFrame:
-    """``rows`` with split, no group in two: large groups first, each to the split whose squared distance from its share grows least.
+    """``rows`` with split, no group in two: groups from large to small, each to the split that lacks most of its share.
 
-    Groups of one size keep the order of a seeded shuffle. Only the groups' names and sizes come to the driver, since
-    each choice depends on all before it.
+    That is the split whose squared distance from its share grows least; if no more groups are left than splits without
+    any, these get them. Groups of one size are in the order of a seeded digest of their name, so it's enough to settle how
+    many of them each split gets. Only the sizes and the numbers of groups of each come to the driver: at most sqrt(2n) for n rows.
     """
-    items = sorted((r[group], r["n"]) for r in rows.groupBy(group).agg(F.count("*").alias("n")).collect())
-    if len(items) < len(SPLITS):
+    names = rows.groupBy(group).agg(F.count("*").alias("n")).withColumn("mixed", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(group).cast("string"), F.lit("")))))
+    profile = sorted(((r["n"], r["groups"]) for r in names.groupBy("n").agg(F.count("*").alias("groups")).collect()), reverse=True)
+    left = sum(m for _, m in profile)
+    if left < len(SPLITS):
         raise ValueError("at least three groups are needed")
-    random.Random(seed).shuffle(items)
-    items.sort(key=lambda x: -x[1])
-    total = sum(n for _, n in items)
-    goal, have, chosen = dict(zip(SPLITS, (s * total for s in SHARES), strict=True)), dict.fromkeys(SPLITS, 0), []
-    for left, (name, n) in zip(range(len(items), 0, -1), items, strict=True):
-        empty = [s for s in SPLITS if not have[s]]
-        among = empty if left == len(empty) else SPLITS
-        best = min(among, key=lambda s: (have[s] + n - goal[s]) ** 2 - (have[s] - goal[s]) ** 2)
-        have[best] += n
-        chosen.append((name, best))
-    table = rows.sparkSession.createDataFrame(chosen, rows.select(group, F.lit("").alias("split")).schema)
-    return rows.join(table, group)
+    total = sum(n * m for n, m in profile)
+    room, used, bounds, rank = [share * total for share in SHARES], [False] * len(SPLITS), [], 0
+    for size, groups in profile:
+        got = _shares_of(size, groups, left, room, used)
+        bounds.append((size, rank + got[0], rank + got[0] + got[1]))
+        room = [r - size * k for r, k in zip(room, got, strict=True)]
+        used = [u or k > 0 for u, k in zip(used, got, strict=True)]
+        left, rank = left - groups, rank + groups
+    cuts = rows.sparkSession.createDataFrame(bounds, "n long, first long, second long")
+    places = ranked(names.withColumn("less", -F.col("n")), "less", "mixed", group).withColumn("n", -F.col("less")).join(cuts, "n")
+    split = F.when(F.col("rn") <= F.col("first"), SPLITS[0]).when(F.col("rn") <= F.col("second"), SPLITS[1]).otherwise(SPLITS[2])
+    places = places.select(F.col(group).alias("group of split"), split.alias("split"))
+    return rows.join(places, rows[group].eqNullSafe(places["group of split"])).drop("group of split")
 
 
 def hashed(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -21,6 +21,7 @@ MANIFEST = """man AS (SELECT *, CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN
   FROM (SELECT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS image_id, sha256(text) AS content_sha256, source AS source_dataset, 1024 AS width, 1024 AS height,
   CAST(n_chars % 40 AS INTEGER) AS number_of_objects, 'frame' || doc_id % 97 || '_' || doc_id AS asset_name,
   row_number() OVER (ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS rn, count(*) OVER () AS n FROM documents))"""
+PARENTS = r"SELECT image_id, lower(regexp_replace(asset_name, '_\d+$', '')) AS parent FROM man"
 
 
 def _cross(a: str, b: str, c: str) -> str:
@@ -56,13 +57,13 @@ one AS (SELECT review_id AS answer_id, count(*) AS times, any_value(issue_type)
 bo AS (SELECT r.*, o.*, CASE o.decision WHEN 'KEEP_A' THEN annotation_a WHEN 'KEEP_B' THEN annotation_b END AS source,
   (issue_type = 'ANNOTATION_CONFLICT' AND o.decision IN ('KEEP_A', 'KEEP_B', 'EXCLUDE')) OR (issue_type = 'GEOMETRY' AND o.decision IN ('KEEP_AS_IS', 'AUTO_FIX_APPROVED', 'MANUAL_FIX', 'EXCLUDE')) AS allowed
   FROM req r FULL JOIN one o ON r.review_id = o.answer_id),
-er AS (SELECT *, concat_ws('; ', CASE WHEN review_id IS NULL THEN 'Unknown review ID' END, CASE WHEN answer_id IS NULL THEN 'Required review ID missing' END,
-  CASE WHEN review_id IS NOT NULL AND answer_id IS NOT NULL AND (content <> content_sha256 OR type <> issue_type) THEN 'Identity columns do not match catalog' END,
-  CASE WHEN review_id IS NOT NULL AND times > 1 THEN 'Duplicate review ID' END,
-  CASE WHEN review_id IS NOT NULL AND decision <> '' AND NOT allowed THEN 'Decision not allowed for issue type' END,
-  CASE WHEN review_id IS NOT NULL AND selected <> '' AND decision NOT IN ('KEEP_A', 'KEEP_B', 'MANUAL_FIX') THEN 'selected_annotation is not used by this decision' END,
-  CASE WHEN review_id IS NOT NULL AND decision IN ('KEEP_A', 'KEEP_B') AND source IS NULL THEN 'Invalid conflict alternative' END,
-  CASE WHEN review_id IS NOT NULL AND source IS NOT NULL AND selected <> '' AND selected <> source THEN 'selected_annotation disagrees with KEEP choice' END) AS errors FROM bo),
+er AS (SELECT *, concat_ws('; ', CASE WHEN review_id IS NULL THEN 'not in the catalog' END, CASE WHEN answer_id IS NULL THEN 'no answer' END,
+  CASE WHEN review_id IS NOT NULL AND answer_id IS NOT NULL AND (content <> content_sha256 OR type <> issue_type) THEN 'answers another case' END,
+  CASE WHEN review_id IS NOT NULL AND times > 1 THEN 'answered twice' END,
+  CASE WHEN review_id IS NOT NULL AND decision <> '' AND NOT allowed THEN 'choice not offered here' END,
+  CASE WHEN review_id IS NOT NULL AND selected <> '' AND decision NOT IN ('KEEP_A', 'KEEP_B', 'MANUAL_FIX') THEN 'selection without use' END,
+  CASE WHEN review_id IS NOT NULL AND decision IN ('KEEP_A', 'KEEP_B') AND source IS NULL THEN 'chosen side is empty' END,
+  CASE WHEN review_id IS NOT NULL AND source IS NOT NULL AND selected <> '' AND selected <> source THEN 'selection is the other side' END) AS errors FROM bo),
 st AS (SELECT coalesce(review_id, 'UNKNOWN:' || answer_id) AS review_id, coalesce(issue_type, 'UNKNOWN') AS issue_type, content_sha256, coalesce(decision, '') AS decision, source,
   CASE WHEN errors <> '' AND answer_id IS NOT NULL THEN 'INVALID' WHEN errors <> '' OR coalesce(decision, '') = '' THEN 'PENDING' ELSE 'COMPLETE' END AS status, errors FROM er),
 cp AS (SELECT content_sha256, CASE WHEN NOT bool_and(status = 'COMPLETE') THEN 'INCOMPLETE' WHEN bool_or(decision = 'EXCLUDE') THEN 'EXCLUDE' WHEN min(source) <> max(source) THEN 'INVALID' ELSE 'KEEP' END AS plan,
@@ -122,8 +123,8 @@ f AS (SELECT vec_id, vec_id % 4 AS m, CASE WHEN vec_id % 4 = 3 THEN c4.n ELSE c.
 g AS (SELECT vec_id, m, CASE m WHEN 0 THEN '' WHEN 1 THEN 'A' WHEN 2 THEN 'B' ELSE 'C' END AS category, CASE WHEN m = 2 THEN 1 ELSE 0 END AS consecutive, m = 1 AS closing, m = 3 AS elsewhere, CAST(n_crossings AS INTEGER) AS n_crossings, area = 0 OR m = 3 OR n_crossings > 0 AS invalid FROM f)
 SELECT vec_id, category, consecutive, closing, elsewhere, n_crossings, invalid, CASE WHEN category = 'A' AND NOT invalid THEN 'CLOSING_VERTEX_ONLY' WHEN consecutive > 0 AND NOT invalid THEN 'SAFE_REMOVE_DUPLICATE_VERTEX' ELSE 'MANUAL_REVIEW' END AS recommended FROM g""",
     "ring_validity": f"""WITH {LISTS}, {_crossings('cr', 'rl')}, x AS (SELECT vec_id, bool_or(NOT back) AS hit FROM cr GROUP BY vec_id)
-SELECT vec_id, CASE WHEN list_max([v.x FOR v IN p]) > 600 OR list_max([v.y FOR v IN p]) > 1024 OR list_min([v.x FOR v IN p]) < 0 OR list_min([v.y FOR v IN p]) < 0 THEN 'coordinate outside image' WHEN {_area('p')} <= 0 THEN 'zero-area polygon or bounding box'
-  WHEN coalesce(hit, false) THEN 'self-intersecting polygon' ELSE 'valid' END AS verdict FROM rl LEFT JOIN x USING (vec_id)""",
+SELECT vec_id, CASE WHEN list_max([v.x FOR v IN p]) > 600 OR list_max([v.y FOR v IN p]) > 1024 OR list_min([v.x FOR v IN p]) < 0 OR list_min([v.y FOR v IN p]) < 0 THEN 'point off the image' WHEN {_area('p')} <= 0 THEN 'no area'
+  WHEN coalesce(hit, false) THEN 'edges cross' ELSE 'valid' END AS verdict FROM rl LEFT JOIN x USING (vec_id)""",
     "uncross_two_opt": f"""WITH {LISTS}, {_crossings('cr', 'rl')}, c AS (SELECT vec_id, count(i) AS n, any_value(i) AS i, any_value(j) AS j, any_value(proper) AS proper FROM rl LEFT JOIN cr USING (vec_id) GROUP BY vec_id),
 fx AS (SELECT vec_id, p[1:i] || list_reverse(p[i + 1 : j]) || p[j + 1 : len(p)] AS p FROM rl JOIN c USING (vec_id) WHERE n = 1 AND proper), {_crossings('cq', 'fx')},
 ok AS (SELECT vec_id, {_area('p')} AS area FROM fx WHERE vec_id NOT IN (SELECT vec_id FROM cq))
@@ -138,6 +139,19 @@ SELECT user_id, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE last
     "decision_resolved": f"WITH {_REQUIRED} SELECT CASE WHEN plan = 'INVALID' AND issue_type <> 'UNKNOWN' THEN 'INVALID' ELSE status END AS status, count(*) AS n FROM st LEFT JOIN cp USING (content_sha256) GROUP BY 1",
     "decision_gate": f"WITH {_REQUIRED}, g AS (SELECT count(*) FILTER (WHERE status = 'COMPLETE') AS complete, count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'INVALID') AS invalid FROM st) SELECT *, pending = 0 AND invalid = 0 AS safe_to_build FROM g",
     "split_contiguous": f"WITH {MANIFEST} SELECT image_id, split FROM man",
+    "split_grouped": f"""WITH RECURSIVE {MANIFEST},
+gr AS (SELECT parent, count(*) AS n FROM ({PARENTS}) GROUP BY parent),
+od AS (SELECT parent, n, row_number() OVER (ORDER BY n DESC, md5('42:' || parent), parent) AS i, count(*) OVER () AS c, sum(n) OVER () AS t FROM gr),
+st AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS s, 0.7::DOUBLE * max(t) AS a, 0.15::DOUBLE * max(t) AS b, 0.15::DOUBLE * max(t) AS d, 0 AS ua, 0 AS ub, 0 AS ud FROM od
+  UNION ALL SELECT q.i, q.n, q.s, q.a - CASE WHEN q.s = 'train' THEN q.n ELSE 0 END, q.b - CASE WHEN q.s = 'val' THEN q.n ELSE 0 END, q.d - CASE WHEN q.s = 'test' THEN q.n ELSE 0 END,
+    greatest(q.ua, CAST(q.s = 'train' AS INT)), greatest(q.ub, CAST(q.s = 'val' AS INT)), greatest(q.ud, CAST(q.s = 'test' AS INT))
+  FROM (SELECT od.i, od.n, st.a, st.b, st.d, ua, ub, ud,
+          CASE WHEN od.c - st.i = 3 - ua - ub - ud THEN CASE WHEN ua = 0 AND (ub = 1 OR a >= b) AND (ud = 1 OR a >= d) THEN 'train' WHEN ub = 0 AND (ud = 1 OR b >= d) THEN 'val' ELSE 'test' END
+               ELSE CASE WHEN a >= b AND a >= d THEN 'train' WHEN b >= d THEN 'val' ELSE 'test' END END AS s
+        FROM st JOIN od ON od.i = st.i + 1) q),
+ct AS (SELECT n, count(*) FILTER (WHERE s = 'train') AS tr, count(*) FILTER (WHERE s = 'val') AS va FROM st WHERE i > 0 GROUP BY n),
+pl AS (SELECT parent, CASE WHEN r <= tr THEN 'train' WHEN r <= tr + va THEN 'val' ELSE 'test' END AS split FROM (SELECT parent, n, row_number() OVER (PARTITION BY n ORDER BY i) AS r FROM od) JOIN ct USING (n))
+SELECT image_id, parent, split FROM ({PARENTS}) JOIN pl USING (parent)""",
     "split_group_leakage": f"WITH {MANIFEST} SELECT source_dataset, count(DISTINCT split) AS splits, count(*) AS n FROM man GROUP BY source_dataset HAVING count(DISTINCT split) > 1",
     "split_intersect": f"WITH {MANIFEST} SELECT content_sha256 FROM man WHERE split = 'train' INTERSECT SELECT content_sha256 FROM man WHERE split = 'test'",
     "set_except": f"WITH {MANIFEST} SELECT content_sha256 FROM man WHERE split = 'val' EXCEPT ALL SELECT content_sha256 FROM man WHERE split = 'train'",
@@ -145,7 +159,7 @@ SELECT user_id, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE last
     "prefix_collisions": "SELECT substr(sha256(text), 1, 2) AS prefix, count(DISTINCT text) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT text) > 1",
     "coco_ids": f"WITH {MANIFEST} SELECT image_id, split, row_number() OVER (PARTITION BY split ORDER BY image_id) AS coco_id FROM man",
     "coco_annotation_rows": f"""WITH {LISTS}, m AS (SELECT vec_id, p, list_max([v.x FOR v IN p]) - list_min([v.x FOR v IN p]) AS w, list_max([v.y FOR v IN p]) - list_min([v.y FOR v IN p]) AS h, {_area('p')} AS area, len(list_filter(p, lambda v: NOT (v.x BETWEEN 0 AND 900 AND v.y BETWEEN 0 AND 900))) AS outside FROM rl),
-e AS (SELECT *, CASE WHEN outside > 0 THEN 'coordinate outside image' WHEN area <= 0 OR w <= 0 OR h <= 0 THEN 'zero-area polygon or bounding box' ELSE 'ok' END AS error FROM m)
+e AS (SELECT *, CASE WHEN outside > 0 THEN 'point off the image' WHEN area <= 0 OR w <= 0 OR h <= 0 THEN 'no area' ELSE 'ok' END AS error FROM m)
 SELECT vec_id, error, CASE WHEN error = 'ok' THEN w END AS w, CASE WHEN error = 'ok' THEN round(area, 6) END AS area FROM e""",
     "dataset_fingerprint": f"WITH {MANIFEST} SELECT sha256(string_agg(content_sha256 || chr(31) || height || chr(31) || image_id || chr(31) || number_of_objects || chr(31) || source_dataset || chr(31) || width, chr(10) ORDER BY image_id)) AS fingerprint FROM man",
     "bbox_iou_pairs": f"""WITH {DET}, p AS (SELECT d.image_id, d.category_id, d.vec_id AS det_id, t.vec_id AS truth_id, greatest(0, least(d.x2, t.x2) - greatest(d.x1, t.x1)) * greatest(0, least(d.y2, t.y2) - greatest(d.y1, t.y1)) AS i, (d.x2 - d.x1) * (d.y2 - d.y1) AS a, (t.x2 - t.x1) * (t.y2 - t.y1) AS b

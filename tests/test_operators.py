@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from terrace.schema import SHARES
 from terrace.operators import archive, audit, decisions, evaluation, matching, results, rules, splits
 from terrace.plans import build
 
@@ -35,8 +36,8 @@ def status_of(spark, answers, required=None, **more):
 @pytest.mark.parametrize(
     "change,status,error",
     [
-        ({}, "COMPLETE", ""), ({"human_decision": " "}, "PENDING", ""), ({"human_decision": None}, "PENDING", ""), ({"human_decision": "KEEP_AS_IS"}, "INVALID", "not allowed"), ({"content_sha256": "c2"}, "INVALID", "Identity"),
-        ({"issue_type": "GEOMETRY"}, "INVALID", "Identity"), ({"selected_annotation": "b.json"}, "INVALID", "disagrees"), ({"human_decision": "EXCLUDE", "selected_annotation": "a.json"}, "INVALID", "not used"),
+        ({}, "COMPLETE", ""), ({"human_decision": " "}, "PENDING", ""), ({"human_decision": None}, "PENDING", ""), ({"human_decision": "KEEP_AS_IS"}, "INVALID", "not offered"), ({"content_sha256": "c2"}, "INVALID", "another case"),
+        ({"issue_type": "GEOMETRY"}, "INVALID", "another case"), ({"selected_annotation": "b.json"}, "INVALID", "other side"), ({"human_decision": "EXCLUDE", "selected_annotation": "a.json"}, "INVALID", "without use"),
     ],
 )
 def test_one_broken_field(spark, change, status, error):
@@ -80,6 +81,31 @@ def test_splits(spark):
         splits.grouped(rows.where("g < 'g1'"), "g")
 
 
+def test_groups_go_where_most_is_lacking(spark):
+    """Numbers of groups of each size in each split against one group at a time; sizes with very many groups too."""
+    rng = random.Random(4)
+    for case in range(12):
+        sizes = [rng.choice([1, 1, 2, 3, 7, 40, 1000]) for _ in range(rng.choice([3, 4, 9, 60, 900]))]
+        total, left = sum(sizes), len(sizes)
+        have, want = [0] * 3, {}
+        for n in sorted(sizes, reverse=True):
+            bare = [i for i in range(3) if not have[i]]
+            best = min(bare if left == len(bare) else range(3), key=lambda i: (have[i] + n - SHARES[i] * total) ** 2 - (have[i] - SHARES[i] * total) ** 2)
+            have[best] += n
+            left -= 1
+            want.setdefault(n, [0] * 3)[best] += 1
+        room, used, left, got = [s * total for s in SHARES], [False] * 3, len(sizes), {}
+        for n in sorted(set(sizes), reverse=True):
+            got[n] = splits._shares_of(n, sizes.count(n), left, room, used)
+            room = [r - n * k for r, k in zip(room, got[n])]
+            used = [u or k > 0 for u, k in zip(used, got[n])]
+            left -= sizes.count(n)
+        assert all(n * abs(a - b) <= n for n in got for a, b in zip(got[n], want[n])), (case, got, want)
+        assert all(used) and [sum(got[n]) for n in got] == [sizes.count(n) for n in got]
+    many = splits._shares_of(1, 10_000_000, 10_000_000, [7e6, 1.5e6, 1.5e6], [False] * 3)
+    assert many == [7_000_000, 1_500_000, 1_500_000]
+
+
 def test_matching(spark):
     a, b = spark.createDataFrame([("a",), ("b",), ("b",)], "k string"), spark.createDataFrame([("b",), ("c",)], "k string")
     assert {r["k"]: r["status"] for r in matching.match(a, b, "k").collect()} == {"a": "missing_annotation", "b": "matched", "c": "orphan_annotation"}

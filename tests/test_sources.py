@@ -61,7 +61,7 @@ def test_coco_round_trip(spark, tmp_path):
     manifest = spark.createDataFrame([("i1", "train", "x/I1.png", 16, 16), ("i2", "train", "x/i2.png", 16, 16), ("i3", "val", "x/i3.png", 16, 16)], "image_id string, split string, file_name string, width int, height int")
     objects = spark.createDataFrame([("i1", 0, 0, ring), ("i3", 0, 1, ring), ("i3", 1, 1, ring[:2])], "image_id string, ordinal int, class_id int, polygon array<struct<x:double,y:double>>")
     docs, issues = coco.export(manifest, objects)
-    assert [tuple(r) for r in issues.collect()] == [("val", "i3", 1, "fewer than three vertices")]
+    assert [tuple(r) for r in issues.collect()] == [("val", "i3", 1, "under three vertices")]
     text = {r["split"]: json.loads(r["json"]) for r in docs.collect()}
     assert [i["id"] for i in text["train"]["images"]] == [1, 2]
     note = text["val"]["annotations"][0]
