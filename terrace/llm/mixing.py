@@ -120,7 +120,8 @@ def mix_rows(rows: DataFrame, seed: int = 42, cap: int = CAP, block_words: int =
     )
     of = placed.join(cut.select("s", "shard", "words", "blocks"), ["s", "shard"])
     spans = F.sequence(F.expr("((start + 1) * blocks - 1) div words"), F.expr("(stop * blocks - 1) div words"))
-    met = of.select(*placed.columns, F.explode(spans).alias("k")).join(block, ["s", "shard", "k"])
+    # blocks are many for each row of quotas, which the planner's estimate doesn't know: never broadcast them
+    met = of.select(*placed.columns, F.explode(spans).alias("k")).join(block.hint("merge"), ["s", "shard", "k"])
     met = met.withColumn("lo", F.greatest("start", "from_") - F.col("start")).withColumn("hi", F.least("stop", "to_") - F.col("start"))
     got = F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken")
     parts = F.sort_array(F.collect_list(F.when(F.col("times") > 0, F.struct("lo", "hi", "times")))).alias("parts")
