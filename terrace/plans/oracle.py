@@ -104,7 +104,7 @@ SELECT measure, value FROM (UNPIVOT s ON images, objects, mean, median, least, m
     "counts_by_split": f"WITH {MANIFEST} SELECT split, source_dataset, count(*) AS images, CAST(sum(number_of_objects) AS BIGINT) AS objects, max(number_of_objects) AS most FROM man GROUP BY ALL",
     "size_distribution": f"WITH {MANIFEST} SELECT width, height, count(*) AS n FROM man GROUP BY ALL",
     "object_histogram": f"WITH {MANIFEST} SELECT CAST(floor(number_of_objects / (40.0::DOUBLE / 30)) AS BIGINT) + 1 AS bin, count(*) AS n FROM man GROUP BY 1",
-    "class_distribution_zero_filled": "SELECT c AS class_id, count(label) AS n FROM range(10) t(c) LEFT JOIN embeddings ON label = c AND label < 7 GROUP BY c",
+    "class_distribution_zero_filled": "SELECT c AS class_id, count(label) AS n FROM range(15) t(c) LEFT JOIN embeddings ON label = c GROUP BY c",
     "label_counts_by_folder": "SELECT source, string_agg(lang || '=' || n, ',' ORDER BY lang) AS counts FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source",
     "integrity_checks": """WITH v AS (SELECT 'duplicate document id' AS k, (SELECT count(*) FROM (SELECT 1 FROM documents GROUP BY doc_id HAVING count(*) > 1)) AS n
 UNION ALL SELECT 'label without document', (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))
