@@ -48,6 +48,21 @@ def _area(p: str) -> str:
     return f"abs(list_sum([{p}[k].x * {p}[k % len({p}) + 1].y - {p}[k % len({p}) + 1].x * {p}[k].y FOR k IN range(1, len({p}) + 1)])) / 2"
 
 
+#: Greedy matches of detections with truths: one level of the recursion for each rank.
+MATCHES = (
+    DET
+    + """, lv AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS threshold),
+tp AS (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, vec_id) AS rank FROM det WHERE NOT is_truth QUALIFY rank <= 100),
+pr AS (SELECT d.vec_id AS det_id, t.vec_id AS truth_id, greatest(0, least(d.x2, t.x2) - greatest(d.x1, t.x1)) * greatest(0, least(d.y2, t.y2) - greatest(d.y1, t.y1)) AS i, (d.x2 - d.x1) * (d.y2 - d.y1) AS a, (t.x2 - t.x1) * (t.y2 - t.y1) AS b
+  FROM tp d JOIN det t USING (image_id, category_id) WHERE t.is_truth),
+nr AS (SELECT det_id, list({'iou': i / (a + b - i), 'truth_id': truth_id} ORDER BY i / (a + b - i) DESC, truth_id DESC) AS near FROM pr WHERE i > 0 GROUP BY det_id),
+fo AS (SELECT image_id, category_id, CAST(rank AS INTEGER) AS rank, vec_id AS det_id, score, near FROM tp LEFT JOIN nr ON vec_id = det_id),
+ml AS (SELECT DISTINCT image_id, category_id, threshold, 0 AS rank, CAST(NULL AS BIGINT) AS det_id, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS BIGINT) AS truth_id, CAST([] AS BIGINT[]) AS used FROM fo, lv
+  UNION ALL SELECT image_id, category_id, threshold, rank, det_id, score, truth_id, list_append(used, truth_id) FROM (SELECT fo.*, threshold, used, list_filter(near, lambda c: c.iou >= threshold AND NOT coalesce(list_contains(used, c.truth_id), false))[1].truth_id AS truth_id
+    FROM ml JOIN fo ON fo.image_id = ml.image_id AND fo.category_id = ml.category_id AND fo.rank = ml.rank + 1)),
+mt AS (SELECT * FROM ml WHERE rank > 0)"""
+)
+
 _REQUIRED = """req AS (SELECT 'R-' || doc_id AS review_id, CASE WHEN quality = 1 THEN 'ANNOTATION_CONFLICT' ELSE 'GEOMETRY' END AS issue_type, 'c' || doc_id % 60 AS content_sha256,
   'a' || doc_id % 2 AS annotation_a, CASE WHEN doc_id % 5 <> 0 THEN 'b' END AS annotation_b, doc_id FROM labels JOIN documents USING (doc_id)),
 an0 AS (SELECT review_id, issue_type, CASE WHEN doc_id % 31 = 0 THEN 'other' ELSE content_sha256 END AS content, CASE doc_id % 7 WHEN 0 THEN 'EXCLUDE' WHEN 1 THEN 'KEEP_A' WHEN 2 THEN 'KEEP_B'
@@ -129,7 +144,7 @@ SELECT vec_id, CASE WHEN list_max([v.x FOR v IN p]) > 600 OR list_max([v.y FOR v
 fx AS (SELECT vec_id, p[1:i] || list_reverse(p[i + 1 : j]) || p[j + 1 : len(p)] AS p FROM rl JOIN c USING (vec_id) WHERE n = 1 AND proper), {_crossings('cq', 'fx')},
 ok AS (SELECT vec_id, {_area('p')} AS area FROM fx WHERE vec_id NOT IN (SELECT vec_id FROM cq))
 SELECT vec_id, n AS n_crossings, area IS NOT NULL AND area > 0 AS fixable, round(area, 6) AS area FROM c LEFT JOIN ok USING (vec_id)""",
-    "remove_consecutive_vertices": """WITH e AS (SELECT user_id, floor(value / 50) AS v, row_number() OVER w - 1 AS i, lag(floor(value / 50)) OVER w AS last FROM events WHERE user_id < 200 WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    "remove_consecutive_vertices": """WITH e AS (SELECT user_id, floor(value / 50) AS v, row_number() OVER w - 1 AS i, lag(floor(value / 50)) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE last IS NULL OR v <> last) AS INTEGER) AS kept, coalesce(string_agg(i, ',' ORDER BY i) FILTER (WHERE v = last), '') AS removed FROM e GROUP BY user_id""",
     "percent_to_pixel": "SELECT vec_id, (CAST(embedding[1] AS DOUBLE) + 1) * 50 * 1200 / 100 AS x, (CAST(embedding[2] AS DOUBLE) + 1) * 50 * 300 / 100 AS y FROM embeddings",
     "bbox_convert": f"WITH {DET} SELECT vec_id, x2 - x1 AS w, y2 - y1 AS h, greatest(0, x1 - 20) AS crop_x1, least(1024, y2 + 20) AS crop_y2, round(x2, 6) AS x2 FROM det",
@@ -166,8 +181,18 @@ SELECT vec_id, error, CASE WHEN error = 'ok' THEN w END AS w, CASE WHEN error =
 FROM det d JOIN det t USING (image_id, category_id) WHERE NOT d.is_truth AND t.is_truth) SELECT image_id, category_id, det_id, truth_id, round(i / (a + b - i), 9) AS iou FROM p WHERE i > 0""",
     "pr_curve_ap": f"""WITH {DET}, s AS (SELECT category_id, score, vec_id, vec_id % 3 <> 0 AS hit FROM det WHERE NOT is_truth), n AS (SELECT category_id, count(*) AS n FROM s GROUP BY 1),
 c AS (SELECT category_id, score, vec_id, count(*) FILTER (WHERE hit) OVER w / n::DOUBLE AS recall, count(*) FILTER (WHERE hit) OVER w / CAST(count(*) OVER w AS DOUBLE) AS prec FROM s JOIN n USING (category_id) WINDOW w AS (PARTITION BY category_id ORDER BY score DESC, vec_id)),
-g AS (SELECT n.category_id, i, (SELECT coalesce(max(prec), 0) FROM c WHERE c.category_id = n.category_id AND c.recall >= i / 100.0::DOUBLE) AS v FROM n, range(101) t(i))
+g AS (SELECT n.category_id, i, (SELECT coalesce(max(prec), 0) FROM c WHERE c.category_id = n.category_id AND c.recall >= i * 0.01::DOUBLE) AS v FROM n, range(101) t(i))
 SELECT category_id, round(sum(v) / 101, 9) AS ap, round((SELECT max(recall) FROM c WHERE c.category_id = g.category_id), 9) AS ar FROM g GROUP BY category_id""",
+    "coco_greedy_match": f"WITH RECURSIVE {MATCHES} SELECT image_id, category_id, threshold, det_id, score, rank, truth_id FROM mt",
+    "coco_summary": f"""WITH RECURSIVE {MATCHES}, n AS (SELECT category_id, count(*) AS n FROM det WHERE is_truth GROUP BY 1), nl AS (SELECT * FROM n, lv),
+c AS (SELECT category_id, threshold, count(truth_id) OVER w / n::DOUBLE AS recall, count(truth_id) OVER w / CAST(count(*) OVER w AS DOUBLE) AS prec FROM mt JOIN n USING (category_id) WINDOW w AS (PARTITION BY category_id, threshold ORDER BY score DESC, det_id)),
+s AS (SELECT nl.category_id, nl.threshold, i, coalesce(max(prec), 0) AS v FROM nl CROSS JOIN range(101) t(i) LEFT JOIN c ON c.category_id = nl.category_id AND c.threshold = nl.threshold AND c.recall >= i * 0.01::DOUBLE GROUP BY ALL),
+a AS (SELECT category_id, threshold, sum(v) / 101 AS ap FROM s GROUP BY ALL),
+r AS (SELECT category_id, count(truth_id) FILTER (WHERE rank <= 1) AS h1, count(truth_id) FILTER (WHERE rank <= 10) AS h10, count(truth_id) FILTER (WHERE rank <= 100) AS h100 FROM mt GROUP BY 1),
+e AS (SELECT n.category_id, (SELECT avg(ap) FROM a WHERE a.category_id = n.category_id) AS ap, (SELECT ap FROM a WHERE a.category_id = n.category_id AND threshold = 0.5) AS ap50,
+  (SELECT ap FROM a WHERE a.category_id = n.category_id AND threshold = 0.75) AS ap75, coalesce(h1, 0) / (n * 10.0::DOUBLE) AS ar1, coalesce(h10, 0) / (n * 10.0::DOUBLE) AS ar10, coalesce(h100, 0) / (n * 10.0::DOUBLE) AS ar100 FROM n LEFT JOIN r USING (category_id)),
+o AS (SELECT k.category_id, ap, ap50, ap75, ar1, ar10, ar100 FROM (SELECT unnest([1, 2, 3])::INTEGER AS category_id) k LEFT JOIN e USING (category_id) UNION ALL SELECT NULL, avg(ap), avg(ap50), avg(ap75), avg(ar1), avg(ar10), avg(ar100) FROM e)
+SELECT category_id, round(ap, 9) AS ap, round(ap50, 9) AS ap50, round(ap75, 9) AS ap75, round(ar1, 9) AS ar1, round(ar10, 9) AS ar10, round(ar100, 9) AS ar100 FROM o""",
     "confidence_filter": f"WITH {DET} SELECT vec_id, image_id, score FROM det WHERE NOT is_truth AND score >= 0.1::DOUBLE",
     "top_k_detections": f"WITH {DET} SELECT image_id, category_id, vec_id, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, vec_id) AS rank FROM det WHERE NOT is_truth QUALIFY rank <= 2",
     "first_by_name": f"WITH {MANIFEST} SELECT asset_name, image_id FROM man ORDER BY asset_name LIMIT 25",

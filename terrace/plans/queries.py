@@ -385,7 +385,8 @@ def coco_greedy_match(spark, d):
 @query
 def coco_summary(spark, d):
     det = fixtures.boxes(spark, d)
-    return evaluation.summary(det.where("NOT is_truth"), det.where("is_truth"))
+    out = evaluation.summary(det.where("NOT is_truth"), det.where("is_truth"), categories=spark.range(1, 4).select(F.col("id").cast("int").alias("category_id")))
+    return out.select("category_id", *(F.round(c, 9).alias(c) for c in out.columns[1:]))
 
 
 @query

@@ -121,7 +121,7 @@ def plain_ap(hits, positives):
     for i, h in enumerate(hits, 1):
         tp += h
         best.append((tp / positives, tp / i))
-    return sum(max([p for r, p in best if r >= k / 100.0], default=0.0) for k in range(101)) / 101
+    return sum(max([p for r, p in best if r >= k * 0.01], default=0.0) for k in range(101)) / 101
 
 
 def test_average_precision_equals_a_plain_loop(spark):
@@ -147,7 +147,47 @@ def test_greedy_takes_the_best_free_truth(spark):
     s = {r["category_id"]: r for r in evaluation.summary(found, truth).collect()}
     assert s[1]["ap50"] == pytest.approx(1.0) and s[None]["ap50"] == pytest.approx(1.0)
     empty = evaluation.summary(found.where("false"), truth).where("category_id = 1").first()
-    assert empty["ap"] == 0.0
+    assert empty["ap"] == 0.0 and empty["ar100"] == 0.0
+
+
+def test_of_equal_overlaps_the_last_truth_is_taken(spark):
+    kind = "vec_id long, image_id long, category_id int, score double, box struct<x1:double,y1:double,x2:double,y2:double>"
+    box = (0.0, 0.0, 10.0, 10.0)
+    truth = spark.createDataFrame([(1, 0, 1, None, box), (2, 0, 1, None, box)], kind)
+    found = spark.createDataFrame([(11, 0, 1, 0.9, box), (12, 0, 1, 0.9, box), (13, 0, 1, 0.9, box)], kind)
+    got = {r["det_id"]: (r["rank"], r["truth_id"]) for r in evaluation.greedy_matches(found, truth, [0.5]).collect()}
+    assert got == {11: (1, 2), 12: (2, 1), 13: (3, None)}
+
+
+def test_masks_subset_and_categories_without_truth(spark):
+    """A perfect mask, none, an image left out, and a category without truth: 1, 0, unseen and null."""
+    kind = "vec_id long, image_id long, category_id int, score double, mask array<bigint>"
+    whole = [0, 1024]
+    truth = spark.createDataFrame([(1, 1, 1, None, whole)], kind)
+    found = spark.createDataFrame([(11, 1, 1, 0.9, whole), (12, 2, 1, 0.95, whole)], kind)
+    classes = spark.createDataFrame([(1,), (2,)], "category_id int")
+    image = spark.createDataFrame([(1,)], "image_id long")
+    rows = {r["category_id"]: r.asDict() for r in evaluation.summary(found, truth, "mask", classes, image).collect()}
+    assert all(rows[1][c] == pytest.approx(1.0) for c in ("ap", "ap50", "ap75", "ar1", "ar10", "ar100"))
+    assert all(rows[2][c] is None for c in ("ap", "ap50", "ar100")) and rows[None]["ap50"] == pytest.approx(1.0)
+    both = {r["category_id"]: r["ap50"] for r in evaluation.summary(found, truth, "mask", classes).collect()}
+    assert both[1] == pytest.approx(0.5)  # the better-scored one stands on an image without truth
+    none = {r["category_id"]: r.asDict() for r in evaluation.summary(found.where("false"), truth, "mask", classes, image).collect()}
+    assert none[1]["ap50"] == none[1]["ar100"] == 0.0 and none[None]["ap"] == 0.0 and none[2]["ap"] is None
+    assert evaluation.summary(found, truth.where("false"), "mask", classes).where("category_id IS NULL").first()["ap"] is None
+
+
+def test_curve_over_many_ranges_equals_a_plain_loop(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2]), rng.choice([0.1, 0.5, 0.5, 0.9]), i, rng.random() < 0.4) for i in range(3000)]
+    positives = spark.createDataFrame([(1, 5000), (2, 700)], "c int, n long")
+    got = {r["det_id"]: (r["tp"], r["seen"]) for r in evaluation.curve(spark.createDataFrame(rows, "c int, score double, det_id int, hit boolean").repartition(7), ["c"], positives).collect()}
+    want, counts = {}, {1: [0, 0], 2: [0, 0]}
+    for c, _, i, hit in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+        counts[c][0] += hit
+        counts[c][1] += 1
+        want[i] = tuple(counts[c])
+    assert got == want
 
 
 def test_fingerprint_is_free_of_order(spark):
