@@ -17,6 +17,17 @@ def round8(x: Column) -> Column:
     return F.arrow_udf(_round8, "double")(x)
 
 
+def _round8_all(values: pa.Array) -> pa.Array:
+    flat = _round8(values.flatten())
+    ends = np.concatenate(([0], np.cumsum(np.nan_to_num(values.value_lengths().to_numpy(zero_copy_only=False)))))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat, mask=values.is_null())
+
+
+def round8_all(xs: Column) -> Column:
+    """``round8`` of each of an array's values."""
+    return F.arrow_udf(_round8_all, "array<double>")(xs)
+
+
 def rle_counts(mask: np.ndarray) -> list[int]:
     """Lengths of runs of 0 and 1 in turn, 0 first, down the columns."""
     flat = np.asarray(mask, np.uint8).ravel(order="F")

@@ -149,6 +149,13 @@ def box_iou(a: str, b: str) -> str:
     return f"try_divide({inter}, {size.format(a)} + {size.format(b)} - {inter})"
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with these columns computed here: a generator stands between, so that filters and columns further on read the
+    values and the optimiser doesn't put the whole kernel in the place of each reference."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("settled")).select(*rest, "settled.*")
+
+
 def with_geometry(df: DataFrame, ring: str = "ring") -> DataFrame:
     """``df`` with closing, consecutive, clean, elsewhere, crossings, category and invalid of its ring.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import audit, decisions, evaluation, matching, results, rules, splits
+from ..operators import audit, decisions, evaluation, matching, results, review, rules, splits
 from ..schema import class_dimension
 from ..sources import fixtures
 from ..sources.tables import read_table
@@ -440,6 +440,68 @@ def milliseconds_per_item(spark, d):
     return ev.select("user_id", F.round(results.per_item(F.col("total"), F.col("n")), 6).alias("ms"))
 
 
+# -- review -------------------------------------------------------------------------------------------------------
+
+
+def _reviewed(spark, d):
+    """Conflict rows of every fourth content, and rows of polygons of which those that mend themselves are repaired."""
+    shapes = fixtures.shapes(spark, d)
+    members = shapes.select("content_sha256", F.col("number").alias("place"), "annotation", F.concat(F.lit("p"), (F.col("number") % 3).cast("string")).alias("annotator")).distinct()
+    conflicts = review.conflict_rows(members, members.where("CAST(substring(content_sha256, 2) AS INT) % 4 = 0"), {"first two": frozenset({"p0", "p1"})})
+    geometry = review.geometry_rows(shapes)
+    return conflicts, review.geometry_status(geometry, geometry.where("recommended = 'SAFE_REMOVE_DUPLICATE_VERTEX'"))
+
+
+@query
+def review_conflict_rows(spark, d):
+    return _reviewed(spark, d)[0].drop("issue_type", "recommended")
+
+
+@query
+def review_geometry_rows(spark, d):
+    rows = review.geometry_rows(fixtures.shapes(spark, d))
+    return rows.select("review_id", "content_sha256", "label", F.col("raw.category").alias("category"), F.col("raw.invalid").alias("invalid"), "assessment", "recommended")
+
+
+@query
+def review_overlaps(spark, d):
+    return review.overlap_rows(*_reviewed(spark, d))
+
+
+@query
+def review_unresolved(spark, d):
+    return review.unresolved_rows(*_reviewed(spark, d))
+
+
+@query
+def review_workload(spark, d):
+    return review.workload(*_reviewed(spark, d))
+
+
+@query
+def annotation_stats(spark, d):
+    out = review.annotation_stats(fixtures.shapes(spark, d))
+    return out.withColumn("area", F.round("area", 5))
+
+
+@query
+def duplicate_vertex_repairs(spark, d):
+    shapes = fixtures.shapes(spark, d)
+    events, _ = review.repair_events(shapes, review.geometry_rows(shapes).where("recommended = 'SAFE_REMOVE_DUPLICATE_VERTEX'"))
+    return events.select("review_id", "repair_type", "space", "before", "after", F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"))
+
+
+@query
+def source_selection_plan(spark, d):
+    conflicts, geometry = _reviewed(spark, d)
+    columns = ["review_id", "issue_type", "content_sha256", "annotation_a", "annotation_b"]
+    catalog = conflicts.where("pair = 1").select(*columns).unionByName(geometry.select("review_id", "issue_type", "content_sha256", F.col("annotation").alias("annotation_a"), F.lit(None).cast("string").alias("annotation_b")))
+    number = F.expr("CAST(substring(content_sha256, 2) AS INT)")
+    answers = catalog.select("review_id", F.when(F.col("issue_type") == "GEOMETRY", F.when(number % 3 == 0, "KEEP_AS_IS").when(number % 7 == 0, "EXCLUDE").otherwise("")).when(number % 8 == 0, "KEEP_B").when(number % 5 == 0, "").otherwise("KEEP_A").alias("human_decision"), F.lit("").alias("selected_annotation"), F.lit(None).cast("string").alias("geometry_decisions"))
+    plans, _, _ = review.source_plan(catalog, answers, geometry.where("review_status <> 'UNRESOLVED'"))
+    return plans.select("content_sha256", "status", "source")
+
+
 # -- submissions, names, search -----------------------------------------------------------------------------------
 
 

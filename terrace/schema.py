@@ -18,6 +18,12 @@ ALLOWED = {
     "ANNOTATION_CONFLICT": ("KEEP_A", "KEEP_B", "EXCLUDE"),
     "GEOMETRY": ("KEEP_AS_IS", "AUTO_FIX_APPROVED", "MANUAL_FIX", "EXCLUDE"),
 }
+# Severities, the status of what repairs itself, kinds of repair with their space, decisions on polygons.
+SEVERITY = {"minor/local": "MINOR", "clearly erroneous": "ERRONEOUS", "complex/ambiguous": "AMBIGUOUS"}
+REPAIRED = "AUTO_REPAIRED_DUPLICATE_VERTEX"
+BOTH_REPAIRS = (("RAW_CONSECUTIVE_DUPLICATE", "raw_pixels"), ("EXPORT_ROUNDING_CONSECUTIVE_DUPLICATE", "generated_pixels_after_8_decimal_normalized_rounding"))
+LINKED = ("KEEP_AS_IS", "MANUAL_FIX", "AUTO_FIX_APPROVED", "EXCLUDE")
+WAITS = ("MANUAL_FIX", "AUTO_FIX_APPROVED")
 #: Columns of the result log, in order; unknown columns of a row are ignored and missing ones are null.
 RESULT_COLUMNS = (
     "run_id model split images instances epochs seed image_size batch_size learning_rate precision recall map50 map75 map50_95 ar100 "
