@@ -13,8 +13,11 @@ from .exact_dedup import exact_dedup
 from .html_text import main_text
 from .line_dedup import line_dedup
 from .mixing import mixed_sizes
+from .nearest import nearest
+from .prefix_trie import prefix_trie
 from .secrets import secret_scan
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .token_files import round_trip
 from .toxicity import toxicity
@@ -65,8 +68,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_line_dedup, op4_substring_dedup, op5_html_text, op6_secrets, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files)}
+    return {f.__name__: f for f in (op1_simhash, op2_mixing, op3_line_dedup, op4_substring_dedup, op5_html_text, op6_secrets, op7_toxicity, op8_exact_dedup, op9_decontamination, op10_token_files, op11_nearest, op12_prefix_trie, op13_spelling)}
 
 
 def variants() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
