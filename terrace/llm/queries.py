@@ -23,7 +23,6 @@ from .token_files import round_trip
 from .toxicity import toxicity
 
 
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -211,5 +210,48 @@ FROM d LEFT JOIN g USING (doc_id)
 """}
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8, four bits a step; the table follows from the polynomial."""
+
+    def step(n: int) -> int:
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        return n
+
+    table = ", ".join(str(step(n)) for n in range(16))
+    digits = f"list_transform(range(0, 2 * octet_length(encode({text}))), lambda i: CAST(strpos('0123456789ABCDEF', substr(hex(encode({text})), CAST(i + 2 - 2 * (i % 2) AS BIGINT), 1)) - 1 AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda a, n: xor(a >> 4, ([{table}]::BIGINT[])[CAST((xor(a, n) & 15) + 1 AS BIGINT)])), 4294967295)"
+
+
+SQL["op12_prefix_trie"] = rf"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+                  md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT c, {_crc32('CAST(c AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT c.c, 0 AS own, t.p, t.k, t.w FROM c JOIN t ON t.c = c.c - c.c % 20 AND t.p <= c.h UNION ALL SELECT c.c, 1, t.p, t.k, t.w FROM c JOIN t ON t.c = c.c AND t.p > c.h),
+s AS (SELECT c, list(k ORDER BY own, p) AS ks, list(w ORDER BY own, p) AS ws FROM r GROUP BY c),
+a AS (SELECT c.c, coalesce(ks, []) AS ks, coalesce(ws, []) AS ws FROM c LEFT JOIN s USING (c)),
+m AS (SELECT c, d, ks[1:d] AS pre, CASE WHEN d > 0 THEN ks[1 : d - 1] END AS up, coalesce(ws[d], 0) AS w, d = len(ks) AS ends FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM a)),
+n AS (SELECT pre, d, min(c) AS conv_id, count(*) AS n_convs, any_value(up) AS up, any_value(w) AS w, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY pre, d),
+k AS (SELECT up, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, u.conv_id AS parent_conv_id FROM n LEFT JOIN k ON n.pre = k.up LEFT JOIN n u ON n.up = u.pre),
+b AS (SELECT pre[1:g] AS pre, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * w) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS g FROM f) GROUP BY 1)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM f JOIN b USING (pre)
+"""
+SQL["op13_spelling"] = f"""
+WITH RECURSIVE q AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7),
+g AS (SELECT doc_id, run, count(*) AS times FROM q GROUP BY ALL),
+h AS (SELECT *, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM g),
+o AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT *, unnest(range(0, length(word))) AS i FROM w)),
+e AS (SELECT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.s = b.s AND a.i = b.i AND a.word <> b.word UNION SELECT x.word, w.word, w.n FROM x JOIN w ON w.word = x.s UNION SELECT w.word, x.word, x.n FROM x JOIN w ON w.word = x.s),
+l AS (SELECT word, count(*) AS n_near, max(m) AS form_n, arg_min(other, (-m, other)) AS form FROM e GROUP BY word),
+v AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM w LEFT JOIN l USING (word)),
+p AS (SELECT word, form AS root FROM v WHERE form IS NOT NULL UNION ALL SELECT p.word, v.form FROM p JOIN v ON v.word = p.root WHERE v.form IS NOT NULL),
+t AS (SELECT p.word, p.root FROM p JOIN v ON v.word = p.root WHERE v.form IS NULL)
+SELECT v.word, v.form, coalesce(t.root, v.word) AS root, v.n, v.n_near, v.form_n FROM v LEFT JOIN t USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return SQL | VARIANT_SQL
