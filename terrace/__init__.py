@@ -1 +1,10 @@
-"""terrace: a Spark-first engine for annotation data and the tables around it."""
+"""terrace: a Spark-first engine for annotation data and the tables around it.
+
+Functions that run in Python workers are sent with their code, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import geometry as G
 from ..functions.arrow import mask_iou
 
@@ -67,11 +68,11 @@ def curve(scored: DataFrame, keys: list[str], positives: DataFrame) -> DataFrame
     """(keys, score, det_id, hit, tp, seen, n, recall, precision) at each detection of ``scored(keys, score, det_id, hit)``.
 
     ``positives`` has keys and n, the number of truths. Rows are dealt into sorted ranges; a row's counts are those of the
-    earlier ranges of its keys, one row a range, and those before it in its own. Both uses of the ranges read one exchange.
+    earlier ranges of its keys, one row a range, and those before it in its own. The ranges are written once and read twice.
     """
     parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = scored.select(*keys, (-F.col("score")).alias("down"), "det_id", F.col("hit").cast("long").alias("hit"))
-    rows = rows.repartitionByRange(parts, *keys, "down", "det_id").withColumn("range", F.spark_partition_id())
+    rows = scratch.kept(rows.repartitionByRange(parts, *keys, "down", "det_id").withColumn("range", F.spark_partition_id()), "curve")
     earlier = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "range").agg(F.sum("hit").alias("range_hits"), F.count("det_id").alias("range_rows"))
     before = totals.select(*keys, "range", F.coalesce(F.sum("range_hits").over(earlier), F.lit(0)).alias("hits_before"), F.coalesce(F.sum("range_rows").over(earlier), F.lit(0)).alias("rows_before"))

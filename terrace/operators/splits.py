@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..schema import SHARES, SPLITS
 
 
 def ranked(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` of these columns with rn, their rank from 1; ranks come from counts of sorted ranges, so no task sees all rows."""
+    """``rows`` of these columns with rn, their rank from 1; ranks come from counts of sorted ranges, so no task sees all rows.
+
+    The ranges are written once: their sizes and their rows are read from the same table, whatever the optimiser does.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
-    ids = dealt.select(*order, F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    ids = scratch.kept(dealt.select(*order, F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ranges")
     sizes = ids.groupBy("range").agg(F.count("*").alias("size"))
     before = sizes.select("range", F.coalesce(F.sum("size").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return ids.join(F.broadcast(before), "range").select(*order, (F.col("before") + F.col("at") + 1).alias("rn"))
@@ -78,6 +82,55 @@ def grouped(rows: DataFrame, group: str, seed: int = 42) -> DataFrame:
     return rows.join(places, rows[group].eqNullSafe(places["group of split"])).drop("group of split")
 
 
+#: Rounds of the permutation; four are enough for an order without a visible pattern.
+ROUNDS = 4
+#: Steps of a walk that leads back into the count.
+WALK = 96
+
+
+def _shuffled_place(rank: Column, half: int, seed: int) -> Column:
+    """One pass of a keyed Feistel network over numbers of ``2 * half`` bits: swaps halves, mixing one with a hash of the other."""
+    mask = (1 << half) - 1
+    left, right = F.shiftrightunsigned(rank, half), rank.bitwiseAND(F.lit(mask))
+    for k in range(ROUNDS):
+        mixed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{k}:"), right.cast("string"))), 1, 15), 16, 10).cast("long")
+        left, right = right, left.bitwiseXOR(mixed.bitwiseAND(F.lit(mask)))
+    return F.shiftleft(left, half).bitwiseOR(right)
+
+
+def shuffled(rows: DataFrame, *key: str, seed: int = 42) -> DataFrame:
+    """``rows`` of the unique ``key`` with place, from 0: a seeded random order, without a shuffle on the driver.
+
+    Ranks by key go through a keyed permutation of the numbers of just enough bits; a number that falls outside the
+    count is put through again until it's inside, which keeps it a bijection. A place depends on the key's rank, the count and
+    the seed alone, so reruns and other layouts of the data agree.
+    """
+    places = ranked(rows, *key)
+    n = places.count()
+    half = max(1, -(-max(n - 1, 1).bit_length() // 2))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), _shuffled_place(F.col("rn") - 1, half, seed), lambda place, _: F.when(place >= n, _shuffled_place(place, half, seed)).otherwise(place))
+    walked = places.withColumn("place", walk)
+    # the numbers are at most four for each row, so next to none is still outside after so many steps
+    while n and walked.where(F.col("place") >= n).limit(1).count():
+        walked = scratch.kept(walked.withColumn("place", F.when(F.col("place") >= n, _shuffled_place(F.col("place"), half, seed)).otherwise(F.col("place"))), "walk")
+    return walked.drop("rn")
+
+
+def randomised(rows: DataFrame, key: str, seed: int = 42, frozen: DataFrame | None = None) -> DataFrame:
+    """``rows`` with split in a seeded random order: 70 % train, 15 % val, the rest test; both shares round down.
+
+    ``frozen(key, split)`` are assignments of an earlier build: its rows keep them and don't count; what is new is shared
+    out among itself, so that no row ever changes its split.
+    """
+    new = rows if frozen is None else rows.join(frozen.select(key), key, "left_anti")
+    places = shuffled(new, key, seed=seed)
+    n = places.count()
+    first, second = int(n * SHARES[0]), int(n * SHARES[0]) + int(n * SHARES[1])
+    split = F.when(F.col("place") < first, SPLITS[0]).when(F.col("place") < second, SPLITS[1]).otherwise(SPLITS[2])
+    told = places.select(key, split.alias("split"))
+    return rows.join(told if frozen is None else told.unionByName(frozen.select(key, "split")), key)
+
+
 def hashed(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """``rows`` with split by a seeded hash of the key: no shuffle, and a row's split doesn't depend on other rows."""
     share = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000)) / 10_000

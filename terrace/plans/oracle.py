@@ -235,3 +235,59 @@ SELECT *, choices <> '' AS removes FROM o""",
 SELECT 'a' || vec_id // 5 AS annotation, count(*) FILTER (WHERE label % 2 = 0) AS tree_count, count(*) FILTER (WHERE label % 2 = 1) AS treegroup_count, count(*) AS polygons, round(sum({_area('p')}), 5) AS area FROM r GROUP BY 1""",
     "duplicate_vertex_repairs": f"""WITH {_GEOMETRY} SELECT review_id, 'RAW_CONSECUTIVE_DUPLICATE' AS repair_type, 'raw_pixels' AS space, 6 AS before, 5 AS after, '2' AS removed FROM ge WHERE recommended = 'SAFE_REMOVE_DUPLICATE_VERTEX'""",
 }
+
+
+def _split_of(k: str) -> str:
+    return f"CASE {k} % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END"
+
+
+#: One round of the permutation: halves of ``half`` bits change places, one mixed with a hash of the other.
+_ROUND = "((a & mask) << half) | xor(a >> half, CAST('0x' || substr(md5('42:' || k || ':' || (a & mask)), 1, 15) AS BIGINT) & mask)"
+SQL |= {
+    "published_versions": f"""WITH {MANIFEST}, s AS (SELECT source_dataset, count(*) AS n, sum(number_of_objects) AS o FROM man GROUP BY 1)
+SELECT number, number <> 2 AS present, source_dataset, n, CAST(o + CASE WHEN number = 2 THEN n ELSE 0 END AS BIGINT) AS objects FROM s, (SELECT unnest([1, 2, 3]) AS number)""",
+    "merged_answers": """WITH b AS (SELECT doc_id AS i, CAST(doc_id AS VARCHAR) AS review_id, ['', 'KEEP_A', 'KEEP_B', 'EXCLUDE'][doc_id % 4 + 1] AS bd, lang AS bn, doc_id % 11 <> 3 AS m, doc_id % 13 <> 5 AS t FROM documents),
+c AS (SELECT *, CASE WHEN i % 5 = 0 THEN 'EXCLUDE' ELSE bd END AS md, CASE WHEN i % 7 = 0 THEN 'KEEP_A' ELSE bd END AS td, CASE WHEN i % 3 = 0 THEN 'seen' ELSE bn END AS tn FROM b),
+f AS (SELECT *, m AND t AND md <> bd AND td <> bd AND md <> td AS clash, (NOT m AND t AND (td <> bd OR tn IS DISTINCT FROM bn)) OR (m AND NOT t AND md <> bd) AS lost FROM c)
+SELECT review_id, CASE WHEN m AND t THEN CASE WHEN md <> bd AND NOT clash THEN md ELSE td END WHEN m THEN md WHEN t THEN td END AS human_decision, CASE WHEN t THEN tn WHEN m THEN bn END AS notes,
+  CASE WHEN clash THEN 'human_decision' WHEN lost THEN 'row' ELSE '' END AS cells, CASE WHEN lost THEN NOT t ELSE NOT (m AND t) END AS gone FROM f""",
+    "annotation_plan": f"""WITH {_GEOMETRY}, {LISTS}, {_crossings('cr', 'rl')},
+one AS (SELECT vec_id, any_value(i) AS i, any_value(j) AS j FROM cr WHERE vec_id % 4 = 0 GROUP BY 1 HAVING count(*) = 1 AND bool_and(proper)),
+fx AS (SELECT vec_id, p[1:i] || list_reverse(p[i + 1 : j]) || p[j + 1 :] AS p, i, j FROM one JOIN rl USING (vec_id)), {_crossings('fc', 'fx')},
+ok AS (SELECT vec_id, i, j FROM fx WHERE vec_id NOT IN (SELECT vec_id FROM fc)),
+s AS (SELECT e.vec_id, e.vec_id // 5 AS number, e.vec_id % 4 AS k, 'a' || e.vec_id // 5 AS annotation, CAST(e.vec_id % 5 + 1 AS INTEGER) AS shape_index, gs.review_id IS NOT NULL AS flagged, coalesce(review_status = 'AUTO_REPAIRED_DUPLICATE_VERTEX', false) AS safe,
+  coalesce(severity, '') <> '' AS slight, n_crossings, e.vec_id IN (SELECT vec_id FROM cr WHERE NOT back) AS crossed, ok.i, ok.j
+  FROM embeddings e JOIN ({_CLASSES}) c USING (vec_id) LEFT JOIN gs USING (vec_id) LEFT JOIN ok USING (vec_id)),
+u AS (SELECT *, bool_or(flagged AND NOT safe AND number % 12 = 1) OVER (PARTITION BY number) AS used FROM s),
+a AS (SELECT *, flagged AND NOT safe AND number % 3 = 2 AS fix, flagged AND NOT safe AND number % 3 = 0 AS keep FROM u),
+w AS (SELECT *, fix AND slight AND n_crossings = 1 AND i IS NOT NULL AS fixed FROM a)
+SELECT annotation, shape_index, CASE WHEN used THEN 4 WHEN k = 0 OR safe THEN 5 ELSE 6 END AS vertices,
+  CASE WHEN used THEN '' WHEN safe THEN '0,1,3,4,5' WHEN fixed THEN array_to_string(range(0, i) || list_reverse(range(i, j)) || range(j, 5), ',') WHEN k = 0 THEN '0,1,2,3,4' ELSE '0,1,2,3,4,5' END AS places,
+  CASE WHEN used THEN CASE WHEN shape_index = 1 THEN 'HUMAN_MANUAL_COPY' ELSE '' END WHEN safe THEN 'RAW_CONSECUTIVE_DUPLICATE' WHEN fixed THEN 'APPROVED_SINGLE_CROSSING_2OPT' ELSE '' END AS repairs,
+  CASE WHEN used OR safe OR fixed THEN '' WHEN fix THEN CASE WHEN NOT slight THEN 'only slight crossings are undone' WHEN n_crossings <> 1 THEN 'more or less than one crossing' ELSE 'turning vertices round doesn''t give a simple ring' END
+    WHEN k >= 2 THEN 'vertex used twice' WHEN crossed AND NOT keep THEN 'edges cross' ELSE '' END AS problem FROM w""",
+    "reconciled_sides": f"""WITH {LISTS}, lp AS (SELECT vec_id, label, CASE WHEN vec_id % 37 = 8 THEN [{{'x': p[1].x + 1, 'y': p[1].y}}] || p[2:5] ELSE p END AS p, p AS ring FROM rl), {_crossings('lc', 'lp')},
+an AS (SELECT vec_id, vec_id // 5 AS k, row_number() OVER (PARTITION BY vec_id // 5 ORDER BY vec_id) AS ordinal, CASE WHEN vec_id % 19 = 4 THEN 3 ELSE label % 2 + 1 END AS category, p AS ring, vec_id % 17 <> 3 AS agrees FROM rl WHERE vec_id % 23 <> 5),
+li AS (SELECT vec_id, vec_id // 5 AS k, vec_id % 5 + 1 AS ordinal, CASE WHEN vec_id % 31 = 7 THEN 1 - label % 2 ELSE label % 2 END AS class_id, p, vec_id IN (SELECT vec_id FROM lc WHERE NOT back) AS crossed FROM lp WHERE vec_id % 29 <> 6),
+im AS (SELECT vec_id // 5 AS k, count(*) AS total FROM embeddings GROUP BY 1), na AS (SELECT k, count(*) AS a FROM an GROUP BY 1), nl AS (SELECT k, count(*) AS n FROM li GROUP BY 1),
+i AS (SELECT k, k % 43 <> 10 AS m, k % 47 <> 11 AS l, total + CASE WHEN k % 41 = 9 THEN 1 ELSE 0 END AS total, coalesce(a, 0) AS a, coalesce(n, 0) AS n FROM im LEFT JOIN na USING (k) LEFT JOIN nl USING (k)),
+o AS (SELECT k, ordinal, an.vec_id IS NOT NULL AS has_a, li.vec_id IS NOT NULL AS has_l, category, class_id, agrees, ring, p, crossed AND NOT (k * 5 + ordinal - 1) % 2 = 0 AS bad FROM an FULL JOIN li USING (k, ordinal)),
+f AS (SELECT k, NULL AS ordinal, 'manifest' AS side, 'image isn''t in it' AS problem FROM i WHERE NOT m AND l UNION ALL SELECT k, NULL, 'images', 'image isn''t listed' FROM i WHERE m AND NOT l
+  UNION ALL SELECT k, NULL, 'annotations', 'image is unknown' FROM i WHERE NOT m AND NOT l AND a > 0 UNION ALL SELECT k, NULL, 'labels', 'image is unknown' FROM i WHERE NOT m AND NOT l AND n > 0
+  UNION ALL SELECT k, NULL, 'images', 'size differs' FROM i WHERE m AND l AND k % 53 = 12 UNION ALL SELECT k, NULL, 'images', 'content differs' FROM i WHERE m AND l AND k % 59 = 13
+  UNION ALL SELECT k, NULL, CASE WHEN a = n THEN 'manifest' WHEN total = n THEN 'annotations' WHEN total = a THEN 'labels' ELSE 'all' END, 'number of objects' FROM i WHERE m AND NOT (a = n AND total = a)
+  UNION ALL SELECT k, ordinal, 'labels', 'line is missing' FROM o WHERE NOT has_l UNION ALL SELECT k, ordinal, 'annotations', 'annotation is missing' FROM o WHERE NOT has_a
+  UNION ALL SELECT k, ordinal, 'labels', 'edges cross' FROM o WHERE has_l AND bad UNION ALL SELECT k, ordinal, 'annotations', 'box or area isn''t its ring''s' FROM o WHERE has_a AND NOT agrees
+  UNION ALL SELECT k, ordinal, 'annotations', 'category isn''t known' FROM o WHERE has_a AND category = 3 UNION ALL SELECT k, ordinal, 'annotations, labels', 'class differs' FROM o WHERE has_a AND has_l AND category < 3 AND category - 1 <> class_id
+  UNION ALL SELECT k, ordinal, CASE WHEN agrees THEN 'annotations, labels' ELSE 'annotations' END, 'ring differs' FROM o WHERE has_a AND has_l AND NOT bad AND ring <> p)
+SELECT {_split_of('k')} AS split, 'i' || k AS image_id, CAST(ordinal AS BIGINT) AS ordinal, side, problem FROM f""",
+    "split_random": f"""WITH {MANIFEST}, new AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS r, count(*) OVER () AS n FROM man WHERE number_of_objects % 10 <> 0),
+h AS (SELECT *, CAST(greatest(1, (length(bin(greatest(n - 1, 1))) + 1) // 2) AS BIGINT) AS half FROM new), q AS (SELECT *, (1::BIGINT << half) - 1 AS mask FROM h),
+f AS (SELECT *, list_reduce(list_prepend(r, [0, 1, 2, 3]::BIGINT[]), lambda a, k: {_ROUND}) AS first FROM q),
+w AS (SELECT *, list_reduce(list_prepend(first, range(96)), lambda z, s: CASE WHEN z >= n THEN list_reduce(list_prepend(z, [0, 1, 2, 3]::BIGINT[]), lambda a, k: {_ROUND}) ELSE z END) AS place FROM f)
+SELECT image_id, CASE WHEN place < floor(n * 0.7) THEN 'train' WHEN place < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM w UNION ALL SELECT image_id, 'val' FROM man WHERE number_of_objects % 10 = 0""",
+    "best_and_patience": """WITH e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS value, row_number() OVER u AS place, max(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events WINDOW u AS (PARTITION BY user_id ORDER BY event_id)),
+i AS (SELECT *, value IS NOT NULL AND (before IS NULL OR value > before) AS improved FROM e),
+s AS (SELECT *, place - coalesce(max(place) FILTER (WHERE improved) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS since FROM i)
+SELECT user_id, event_id, value, greatest(value, before) AS best, improved, since, max(since) OVER (PARTITION BY user_id ORDER BY event_id) >= 5 AS stopped FROM s""",
+}

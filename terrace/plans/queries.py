@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import audit, decisions, evaluation, matching, results, review, rules, splits
+from .. import scratch
+from ..operators import annotation_plan as plans
+from ..operators import audit, decisions, evaluation, improvement, matching, merging, reconcile, results, review, rules, splits
 from ..schema import class_dimension
 from ..sources import fixtures
 from ..sources.tables import read_table
+from ..sources.versions import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -502,6 +505,92 @@ def source_selection_plan(spark, d):
     return plans.select("content_sha256", "status", "source")
 
 
+# -- versions, answers written back, plans, reconciliation --------------------------------------------------------
+
+
+@query
+def published_versions(spark, d):
+    """Two manifests are published, then the first is restored: what each commit of the history holds."""
+    store = Store(spark, scratch.path(spark, "store"))
+    rows = fixtures.manifest(spark, d).select("image_id", "content_sha256", "source_dataset", "number_of_objects")
+    store.publish({"manifest": rows}, "first")
+    store.publish({"manifest": rows.withColumn("number_of_objects", F.col("number_of_objects") + 1)}, "second")
+    store.rollback()
+    present, out = store.current().version, None
+    for c in store.history():
+        told = store.read("manifest", c.version).groupBy("source_dataset").agg(F.count("*").alias("n"), F.sum("number_of_objects").alias("objects"))
+        told = told.select(F.lit(c.number).alias("number"), F.lit(c.version == present).alias("present"), "source_dataset", "n", "objects")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query
+def merged_answers(spark, d):
+    """Two writers change cells and remove rows of one table of answers: the three-way merge with its conflicts."""
+    docs = read_table(spark, d, "documents")
+    n = F.col("doc_id")
+    base = docs.select("doc_id", n.cast("string").alias("review_id"), F.when(n % 4 == 0, "").when(n % 4 == 1, "KEEP_A").when(n % 4 == 2, "KEEP_B").otherwise("EXCLUDE").alias("human_decision"), F.lit("").alias("selected_annotation"), F.col("lang").alias("notes"))
+    mine = base.where(n % 11 != 3).withColumn("human_decision", F.when(n % 5 == 0, "EXCLUDE").otherwise(F.col("human_decision")))
+    theirs = base.where(n % 13 != 5).withColumn("human_decision", F.when(n % 7 == 0, "KEEP_A").otherwise(F.col("human_decision"))).withColumn("notes", F.when(n % 3 == 0, "seen").otherwise(F.col("notes")))
+    rows = merging.merged(*(t.drop("doc_id") for t in (base, mine, theirs)))
+    return rows.select("review_id", "human_decision", "notes", F.array_join(F.transform("conflicts", lambda c: c["cell"]), ",").alias("cells"), "gone")
+
+
+@query
+def annotation_plan(spark, d):
+    """Shapes with faults, answers by annotation, and manual copies of which half have a stale record: each shape's plan."""
+    shapes = fixtures.shapes(spark, d)
+    rows = review.geometry_rows(shapes)
+    status = F.when(F.col("recommended") == "SAFE_REMOVE_DUPLICATE_VERTEX", "AUTO_REPAIRED_DUPLICATE_VERTEX").otherwise("UNRESOLVED")
+    catalog = rows.select("review_id", "annotation", "shape_index", F.when(F.col("assessment") != "", "MINOR").otherwise("").alias("severity"), status.alias("review_status"))
+    number = F.substring("annotation", 2, 20).cast("long")
+    choice = F.when(number % 6 == 1, "MANUAL_FIX").when(number % 3 == 0, "KEEP_AS_IS").when(number % 3 == 2, "AUTO_FIX_APPROVED").otherwise("EXCLUDE")
+    answers = catalog.where("review_status = 'UNRESOLVED'").select("review_id", choice.alias("human_decision"), F.when(number % 6 == 1, F.concat(F.lit("copy/"), "annotation")).otherwise("").alias("selected_annotation"))
+    twins = shapes.where(number % 6 == 1).withColumn("copy", F.concat(F.lit("copy/"), "annotation"))
+    digest = F.sha2("copy", 256)
+    copies = twins.select("copy", digest.alias("copy_sha256"), F.col("annotation").alias("original_annotation"), F.col("annotation_sha256").alias("original_annotation_sha256"), F.when(number % 12 == 7, "stale").otherwise(digest).alias("fixed_annotation_sha256"), "content_sha256").distinct()
+    box = G.box("polygon")
+    corners = f"transform(array({box}), b -> array(named_struct('x', b.x1, 'y', b.y1), named_struct('x', b.x2, 'y', b.y1), named_struct('x', b.x2, 'y', b.y2), named_struct('x', b.x1, 'y', b.y2)))[0]"
+    copied = twins.select("copy", "shape_index", "label", F.expr(corners).alias("polygon"), "width", "height")
+    sizes = shapes.select("content_sha256", F.col("width").alias("image_width"), F.col("height").alias("image_height")).distinct()
+    plan = plans.planned(shapes, catalog, answers, copies, copied, sizes)
+    told = plan.problems.where("shape_index IS NOT NULL").select("annotation", "shape_index", "problem")
+    out = plan.shapes.join(told, ["annotation", "shape_index"], "left")
+    joined = lambda c: F.coalesce(F.array_join(F.transform(c, lambda v: v.cast("string")), ","), F.lit(""))
+    return out.select("annotation", "shape_index", F.size("polygon").alias("vertices"), joined("places").alias("places"), F.array_join(F.transform("events", lambda e: e["repair_type"]), ",").alias("repairs"), F.coalesce("problem", F.lit("")).alias("problem"))
+
+
+@query
+def reconciled_sides(spark, d):
+    """Manifest, listed images, annotations and label lines of the rings, each side broken in places: what is found."""
+    n = F.col("vec_id")
+    rows = fixtures.rings(spark, d).withColumns({"split": F.when(F.expr("vec_id div 5 % 3 = 0"), "train").when(F.expr("vec_id div 5 % 3 = 1"), "val").otherwise("test"), "image_id": F.concat(F.lit("i"), F.expr("vec_id div 5").cast("string")), "ordinal": n % 5 + 1})
+    images = rows.groupBy("split", "image_id").agg(F.count("*").alias("total"), F.expr("min(vec_id) div 5").alias("k"))
+    content = F.sha2("image_id", 256)
+    manifest = images.where("k % 43 <> 10").select("split", "image_id", content.alias("content_sha256"), F.lit(1024).alias("width"), F.lit(1024).alias("height"), F.when(F.expr("k % 41 = 9"), F.col("total") + 1).otherwise(F.col("total")).alias("total"))
+    listed = images.where("k % 47 <> 11").select("split", "image_id", F.when(F.expr("k % 53 = 12"), 1000).otherwise(1024).alias("width"), F.lit(1024).alias("height"), F.when(F.expr("k % 59 <> 13"), content).alias("file_sha256"))
+    flat = F.flatten(F.transform("ring", lambda p: F.array(p["x"], p["y"])))
+    marked = rows.where("vec_id % 23 <> 5").select("split", "image_id", n.alias("id"), F.when(n % 19 == 4, 3).otherwise((F.col("label") % 2 + 1).cast("int")).alias("category_id"), F.array(flat).alias("segmentation"), F.expr(G.corners_to_sides(f"({G.box('ring')})")).alias("bbox"), (F.expr(G.area("ring")) + F.when(n % 17 == 3, 1).otherwise(0)).alias("area"))
+    pushed = "if(vec_id % 37 = 8, concat(array(named_struct('x', ring[0].x + 1, 'y', ring[0].y)), slice(ring, 2, 4)), ring)"
+    lines = rows.where("vec_id % 29 <> 6").select("split", "image_id", "ordinal", F.when(n % 31 == 7, 1 - F.col("label") % 2).otherwise(F.col("label") % 2).cast("int").alias("class_id"), F.expr(pushed).alias("polygon"), F.lit(None).cast("string").alias("error"))
+    return reconcile.findings(manifest, listed, marked, lines, rows.where("vec_id % 2 = 0").select("split", "image_id", "ordinal"))
+
+
+@query
+def split_random(spark, d):
+    """A seeded random split; every tenth number of objects is frozen as val."""
+    rows = fixtures.manifest(spark, d)
+    frozen = rows.where("number_of_objects % 10 = 0").select("image_id", F.lit("val").alias("split"))
+    return splits.randomised(rows, "image_id", frozen=frozen).select("image_id", "split")
+
+
+@query
+def best_and_patience(spark, d):
+    """Events as steps of a run each user has: the best value so far, and when five steps brought none better."""
+    rows = read_table(spark, d, "events").select("user_id", "event_id", F.floor("value").alias("v"))
+    return improvement.best_so_far(rows, "user_id", "event_id", "v", 5)
+
+
 # -- submissions, names, search -----------------------------------------------------------------------------------
 
 
