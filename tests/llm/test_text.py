@@ -5,6 +5,7 @@ import os
 import re
 import time
 import zlib
+from collections import Counter
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -30,7 +31,7 @@ def body(html):
         ("<nav><p>m</p></nav><header>h</header><main><h1>T</h1><header>by me</header><aside>s</aside><p>t</p></main><footer>f</footer>", ["T", "by me", "t"]),
         ("<div class='site-sidebar'>no<div>no</div></div><div class='badge'>yes</div>", ["yes"]), ("<article><p>one<section id=comments><p>no</section><p>two</article>", ["one", "two"]),
         ("<article>a<article class=comment>c</article></article>", ["a"]), ("<ul><li>1<li>2</ul>", ["1", "2"]), ("<p>cut <b", ["cut"]), ("<p title='>'>q</p>", ["q"]), ("<p hidden>no</p><p>yes", ["yes"]), ("a < b", ["a < b"]),
-        ("<div><form>f<input><p>f</form>k</div>", ["k"]), ("<p>a<span class=ad>no</span>b</p>", ["a", "b"]), ("<![CDATA[x<y]]>", ["x<y"]), ("<title>no</title><p>y</p>", ["y"]),
+        ("<div><form>f<input><p>f</form>k</div>", ["k"]), ("<p>a<span class=ad>no</span>b</p>", ["ab"]), ("<p>a <span class=ad>no<p>no</p>no</span> b</p>", ["a", "b"]), ("<span class=ad>no<b>no</span>yes", ["yes"]), ("<![CDATA[x<y]]>", ["x<y"]), ("<title>no</title><p>y</p>", ["y"]),
         ("<article class='post related-posts'><p>body</p></article>", ["body"]), ("<div class='social-policy'><p>on social policy</p></div>", ["on social policy"]), ("<p class=it's>hello</p>", ["hello"]), ("<p title=\"cut>x</p>", ["x"]),
         ("<div class='ad-slot'>no</div><div class='cookie-banner'>no</div><ul class='related-posts'><li>no</ul><p data-a='>' b=\">\">q</p>", ["q"]), ("<main class=sidebar-left><p>k<div id=comments-list>no</div></main>", ["k"]),
     ],
@@ -39,6 +40,23 @@ def test_lines(html, want):
     assert body(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<main><h1>t</h1><p>body</p></main><section><article><p>other</p></article></section>", ["t", "body"]),
+    ("<main><h1>t</h1><p>a long body of its own</p><article><p>teaser</p></article></main>", ["t", "a long body of its own", "teaser"]),
+    ("<main><p>crumbs</p><article><h1>t</h1><p>body of the page</p></article></main>", ["t", "body of the page"]),
+    ("<div><p>one two three four</p></div><article>teaser</article>", []), ("<div>x</div><article>body of it</article>", ["body of it"]),
+    ("<article>main</article><article class='comment'>reader</article>", ["main"]), ("<article class='post with-sidebar'>main</article>", ["main"]),
+])
+def test_what_tags_call_the_text(html, want):
+    assert [t for t, s in H.lines(html) if s == H.OWN] == want
+
+
+def test_spots_and_elements():
+    got, seen = H.blocks("<body><div class='post p-17'><p>a<p>b</div><div class='post p-18'>c</div><i class=ad><div>no</div></i></body>")
+    assert [s for _, _, s in got] == ["/body/div.post.p-0/p", "/body/div.post.p-0/p", "/body/div.post.p-0"]
+    assert seen == {"/body": 1, "/body/div.post.p-0": 2, "/body/div.post.p-0/p": 2}
+
+
 def test_shared_is_a_longest_common_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(200):
@@ -86,8 +104,8 @@ def test_long_pages_take_memory_of_a_row():
     assert sum(hit) == H._lengths(np.array(a), np.array(b))[-1] > 50
 
 
-def plain_main_text(pages):
-    """Pages of a host in order, the neighbour with the longer common path first, lines deleted in plain loops."""
+def plain_main_text(pages, tags=True):
+    """Pages of a host in order, the neighbour with the longer common path first, structure and lines settled in plain loops."""
     hosts = {}
     for r in pages:
         try:
@@ -95,58 +113,85 @@ def plain_main_text(pages):
             host, path = u.netloc.lower(), u.path
         except ValueError:
             host, path = "", ""
-        hosts.setdefault(host, []).append((path, r["page_id"], H.lines(r["html"])))
-    out, lost = {}, {"shared": 0, "marked": 0, "outside": 0, "stays": 0}
+        got, seen = H.blocks(r["html"])
+        hosts.setdefault(host, []).append((path, r["page_id"], [(t, s if tags else H.OPEN, spot, len(t.split())) for t, s, spot in got], seen))
+    out, lost = {}, Counter()
     for rows in hosts.values():
         rows.sort(key=lambda r: (r[0], r[1]))
-        for k, (path, page, got) in enumerate(rows):
+        shared = []
+        for k, (path, _, got, _) in enumerate(rows):
             near = [rows[j] for j in (k - 1, k + 1) if 0 <= j < len(rows)]
-            same = [False] * len(got)
-            if near:
-                other = max(near, key=lambda r: len(os.path.commonprefix([r[0], path])))
-                same = H.shared([hash(t) for t, _ in got], [hash(t) for t, _ in other[2]])
-            article = any(s == H.OWN for _, s in got)
-            open_ = [h for (_, s), h in zip(got, same) if s == H.OPEN]
-            copy = not article and all(open_)
+            other = max(near, key=lambda r: len(os.path.commonprefix([r[0], path])), default=None)
+            shared.append(None if other is None else H.shared([hash(x[0]) for x in got], [hash(x[0]) for x in other[2]]))
+        own, lines, hits, elements, on = Counter(), Counter(), Counter(), Counter(), Counter()
+        for (_, _, got, seen), same in zip(rows, shared):
+            if same is None or 2 * sum(x[3] for x, h in zip(got, same) if not h) < sum(x[3] for x in got):
+                continue
+            for e, n in seen.items():
+                elements[e] += n
+                on[e] += 1
+            for (_, _, spot, n), h in zip(got, same):
+                lines[spot] += 1
+                hits[spot] += h
+                names = spot.split("/")
+                for i in range(len(names)):
+                    own["/".join(names[: i + 1])] += 0 if h else n
+        good = [e for e in elements if own[""] and own[e] >= 0.8 * own[""] and elements[e] <= 1.5 * on[e] and e.split("/")[-1].split(".")[0] not in ("html", "body", "")]
+        holder = max(good, key=lambda e: (e.count("/"), own[e], e), default=None)
+        for (_, page, got, _), same in zip(rows, shared):
+            inside = [holder is not None and (x[2] == holder or x[2].startswith(holder + "/")) for x in got]
+            same = same or [False] * len(got)
+            article = any(x[1] == H.OWN for x in got)
+            copy = not article and all(h for x, h in zip(got, same) if x[1] == H.OPEN)
             left = []
-            for (t, s), h in zip(got, same):
-                shared = h and s != H.OWN and not (copy and s == H.OPEN)
-                why = "shared" if shared else "marked" if s == H.NOT else "outside" if article and s == H.OPEN else "stays"
+            for (t, state, spot, _), h, within in zip(got, same, inside):
+                if any(inside):
+                    why = "elsewhere" if not within else "shared" if hits[spot] >= 0.5 * lines[spot] > 0 else "marked" if state == H.NOT else "text"
+                else:
+                    why = "marked" if state == H.NOT else "outside" if article and state == H.OPEN else "shared" if h and state == H.OPEN and not copy else "text"
                 lost[why] += 1
-                if why == "stays":
+                if why == "text":
                     left.append(t)
             out[page] = "\n".join(left)
-    return out, {k: n for k, n in lost.items() if n}
+    return out, dict(lost)
 
 
-@pytest.mark.parametrize("parts", ["1", "3", "20"])
-@pytest.mark.parametrize("renamed", [False, True])
-def test_whole_sites(spark, data, parts, renamed):
-    """All pages against plain loops, however they are dealt; with the article's tag and with none that says what it is."""
+@pytest.mark.parametrize("parts", ["1", "20"])
+@pytest.mark.parametrize("tags", [True, False])
+def test_whole_sites(spark, data, parts, tags):
+    """All pages against plain loops, however they are dealt; with and without what names of tags say."""
+    known = {r["page_id"]: r["text"] for r in H.main_text(spark.read.parquet(f"{data}/pages.parquet")).collect()}
     pages = spark.read.parquet(f"{data}/pages.parquet")
-    known = {r["page_id"]: r["text"] for r in H.main_text(pages).collect()}
-    if renamed:
-        pages = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
-    # a site's own lines around the pages, the same everywhere
-    pages = pages.withColumn("html", F.regexp_replace("html", "<body>", "<body><div>Welcome to the site</div>")).withColumn("html", F.regexp_replace("html", "</body>", "<div>All rights</div></body>"))
-    want, why = plain_main_text(pages.collect())
+    # a site's own lines around the pages and in the article, the same everywhere
+    pages = pages.withColumn("html", F.regexp_replace("html", "<body>", "<body><div>Welcome to the site</div>")).withColumn("html", F.regexp_replace("html", "</article>", "<div>Share this</div></article><div>All rights</div>"))
+    want, why = plain_main_text(pages.collect(), tags)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        got = {r["page_id"]: r["text"] for r in H.main_text(pages).collect()}
-        assert got == want and {r["reason"]: r["lines"] for r in H.reasons(pages).collect()} == why
+        got = {r["page_id"]: r["text"] for r in H.main_text(pages, tags=tags).collect()}
+        assert got == want and {r["reason"]: r["lines"] for r in H.reasons(pages, tags).collect()} == why
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     hosts = {}
     for r in pages.collect():
         hosts.setdefault(urlsplit(r["url"] or "").netloc, []).append(r["page_id"])
     paired = [k for ids in hosts.values() if len(ids) > 1 for k in ids]  # a page alone on its host has nothing to differ from
-    assert len(paired) > 10
+    assert len(paired) > 10 and why["elsewhere"] > why["text"] / 3
     lines = {k: set(known[k].split("\n")) for k in paired}
     found = {k: set(got[k].split("\n")) for k in paired}
     recall = sum(len(lines[k] & found[k]) for k in lines) / sum(map(len, lines.values()))
     precision = sum(len(lines[k] & found[k]) for k in lines) / sum(map(len, found.values()))
-    assert (recall, precision) == (1, 1) if not renamed else recall > 0.93 and precision > 0.93, (recall, precision)
+    assert recall > 0.97 and precision > 0.97, (recall, precision)
+
+
+def test_copies_do_not_make_the_text_the_sites(spark):
+    """Half of a host's pages are one page: its lines are shared, and yet stay; a line of the text that a neighbour has too stays."""
+    page = "<body><ul><li>{}</li></ul><div class=t><p>{}</p><p>{}</p></div></body>"
+    rows = [(i, f"http://h.example/{i:03d}", page.format(f"m{i % 7}", f"these words are of page {i} alone", "a passage that all carry" if i % 9 in (0, 1) else f"more words of page {i}")) for i in range(40)]
+    rows += [(100 + i, f"http://h.example/copy/{i}", page.format("m1", "the text of the copy", "and its end")) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[100 + i] == "the text of the copy\nand its end" for i in range(40))
+    assert got[0] == "these words are of page 0 alone\na passage that all carry" and got[5] == "these words are of page 5 alone\nmore words of page 5"
 
 
 def test_articles_of_the_pages(spark, data):
