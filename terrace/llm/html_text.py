@@ -260,7 +260,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        host, path, texts, hashes, state, spots, holders, counts = ([] for _ in range(8))
+        host, path, texts, hashes, state, spots, sizes, holders, counts = ([] for _ in range(9))
         for url, html in zip(batch.column("url"), batch.column("html"), strict=True):
             try:
                 parts = urlsplit(url.as_py() or "")
@@ -274,12 +274,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes.append(np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _, _ in got], np.uint64).view(np.int64))
             state.append([s for _, s, _ in got])
             spots.append([s for _, _, s in got])
+            sizes.append([len(t.split(" ")) for t, _, _ in got])
             holders.append(list(seen))
             counts.append(list(seen.values()))
         strings, ints = pa.list_(pa.string()), pa.list_(pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("page_id", "url", "tag")), pa.array(host), pa.array(path), pa.array(texts, strings), pa.array(hashes, pa.list_(pa.int64())), pa.array(state, ints), pa.array(spots, strings), pa.array(holders, strings), pa.array(counts, ints)],
-            ["page_id", "url", "tag", "host", "path", "texts", "hashes", "state", "spots", "holders", "counts"],
+            [*(batch.column(c) for c in ("page_id", "url", "tag")), pa.array(host), pa.array(path), pa.array(texts, strings), pa.array(hashes, pa.list_(pa.int64())), pa.array(state, ints), pa.array(spots, strings), pa.array(sizes, ints), pa.array(holders, strings), pa.array(counts, ints)],
+            ["page_id", "url", "tag", "host", "path", "texts", "hashes", "state", "spots", "sizes", "holders", "counts"],
         )
 
 
@@ -337,11 +338,11 @@ def _join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def differenced(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, host, texts, state, spots, holders, counts, gone) for each row: its lines, what the markup says of each, where
-    each stands, and the places of those that the nearest page has too (null where there is none)."""
+    """(page_id, url, host, texts, state, spots, sizes, holders, counts, gone) for each row: its lines, what the markup says of each,
+    where each stands, its words, and the places of those that the nearest page has too (null where there is none)."""
     spark = pages.sparkSession
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), F.xxhash64(pages[id_col], pages[url_col], pages[html_col]).alias("tag"))
-    schema = "page_id long, url string, tag long, host string, path string, texts array<string>, hashes array<long>, state array<int>, spots array<string>, holders array<string>, counts array<int>"
+    schema = "page_id long, url string, tag long, host string, path string, texts array<string>, hashes array<long>, state array<int>, spots array<string>, sizes array<int>, holders array<string>, counts array<int>"
     parsed = written(rows.mapInArrow(lean(_parse), schema), "lines")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["host", "path", "page_id", "tag"]
@@ -358,11 +359,11 @@ def differenced(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 def structures(rows: DataFrame) -> DataFrame:
     """(host, holder, site) from ``differenced``: the host's text holder, if pairs show one, and hashes of spots whose lines are
     the site's. A row for each host with pairs that aren't copies; what it holds follows the number of different structures of its pages."""
-    paired = rows.where("gone IS NOT NULL").withColumn("size", F.transform("texts", lambda t: F.size(F.split(t, " "))))
+    paired = rows.where("gone IS NOT NULL").select("host", "spots", "sizes", "holders", "counts", "gone")
     # a page that has under half of its words for itself is a copy, and tells nothing of the site
     words = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, n: a + n)
-    paired = paired.where(2 * words(F.filter("size", lambda _, i: ~F.array_contains("gone", i))) >= words("size"))
-    line = F.posexplode(F.arrays_zip(F.col("spots").alias("spot"), F.col("size").alias("size"))).alias("at", "line")
+    paired = paired.where(2 * words(F.filter("sizes", lambda _, i: ~F.array_contains("gone", i))) >= words("sizes"))
+    line = F.posexplode(F.arrays_zip(F.col("spots").alias("spot"), F.col("sizes").alias("size"))).alias("at", "line")
     each = paired.select("host", "gone", line).select("host", "line.spot", "line.size", F.array_contains("gone", F.col("at")).alias("shared"))
     spots = each.groupBy("host", "spot").agg(F.count("*").alias("lines"), F.count_if("shared").alias("shared"), F.sum(F.when(~F.col("shared"), F.col("size")).otherwise(0)).alias("own"))
     # words below each element: those of all spots that begin with it
@@ -381,7 +382,7 @@ def structures(rows: DataFrame) -> DataFrame:
 
 def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tags: bool = True) -> DataFrame:
     """(page_id, url, texts, why): for each line ``text`` if it stays, else what deletes it. Without ``tags``, names of tags say nothing."""
-    rows = written(differenced(pages, id_col, url_col, html_col), "differenced")
+    rows = differenced(pages, id_col, url_col, html_col)
     if not tags:
         rows = rows.withColumn("state", F.transform("state", lambda s: F.lit(OPEN)))
     hosts = written(structures(rows), "structures")
