@@ -352,7 +352,8 @@ def differenced(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     ends = ends.repartition(1).sortWithinPartitions("part", "place").mapInArrow(lean(_join_ends), "tag long, gone array<int>")
     gone = written(found.where("gone is not null").select("tag", "gone").union(ends).dropDuplicates(["tag"]), "gone")
     discard(found)
-    gone = F.broadcast(gone) if is_small(gone, 100_000) else gone
+    few = is_small(gone, 100_000) and gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= 2_000_000
+    gone = F.broadcast(gone) if few else gone
     return parsed.drop("path", "hashes").join(gone, "tag", "left").drop("tag")
 
 
