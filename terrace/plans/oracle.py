@@ -286,6 +286,8 @@ h AS (SELECT *, CAST(greatest(1, (length(bin(greatest(n - 1, 1))) + 1) // 2) AS
 f AS (SELECT *, list_reduce(list_prepend(r, [0, 1, 2, 3]::BIGINT[]), lambda a, k: {_ROUND}) AS first FROM q),
 w AS (SELECT *, list_reduce(list_prepend(first, range(96)), lambda z, s: CASE WHEN z >= n THEN list_reduce(list_prepend(z, [0, 1, 2, 3]::BIGINT[]), lambda a, k: {_ROUND}) ELSE z END) AS place FROM f)
 SELECT image_id, CASE WHEN place < floor(n * 0.7) THEN 'train' WHEN place < floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM w UNION ALL SELECT image_id, 'val' FROM man WHERE number_of_objects % 10 = 0""",
+    "label_box_overlaps": f"""WITH {DET}, p AS (SELECT p.image_id, p.vec_id AS a, q.vec_id AS b, (least(p.x2, q.x2) - greatest(p.x1, q.x1)) AS w, (least(p.y2, q.y2) - greatest(p.y1, q.y1)) AS h, (p.x2 - p.x1) * (p.y2 - p.y1) AS s, (q.x2 - q.x1) * (q.y2 - q.y1) AS t
+  FROM det p JOIN det q ON p.image_id = q.image_id AND p.vec_id < q.vec_id) SELECT image_id, a, b, w * h / (s + t - w * h) AS iou FROM p WHERE w > 0 AND h > 0""",
     "best_and_patience": """WITH e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS value, row_number() OVER u AS place, max(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events WINDOW u AS (PARTITION BY user_id ORDER BY event_id)),
 i AS (SELECT *, value IS NOT NULL AND (before IS NULL OR value > before) AS improved FROM e),
 s AS (SELECT *, place - coalesce(max(place) FILTER (WHERE improved) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS since FROM i)

@@ -11,7 +11,7 @@ from ..functions import geometry as G
 from ..functions import text as X
 from .. import scratch
 from ..operators import annotation_plan as plans
-from ..operators import audit, decisions, evaluation, improvement, matching, merging, reconcile, results, review, rules, splits
+from ..operators import audit, decisions, evaluation, improvement, label_overlap, matching, merging, reconcile, results, review, rules, splits
 from ..schema import class_dimension
 from ..sources import fixtures
 from ..sources.tables import read_table
@@ -584,6 +584,13 @@ def split_random(spark, d):
     return splits.randomised(rows, "image_id", frozen=frozen).select("image_id", "split")
 
 
+@query
+def label_box_overlaps(spark, d):
+    """Pairs of boxes of one image that share an area."""
+    rows = fixtures.boxes(spark, d).select("image_id", F.col("vec_id").alias("object_id"), "box")
+    return label_overlap.overlaps(rows, crowd=4)
+
+
 @query
 def best_and_patience(spark, d):
     """Events as steps of a run each user has: the best value so far, and when five steps brought none better."""
