@@ -15,12 +15,14 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
 
     The ranges are written once: their sizes and their rows are read from the same table, whatever the optimiser does.
     """
+    order = tuple(dict.fromkeys(order))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
-    ids = scratch.kept(dealt.select(*order, F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ranges")
-    sizes = ids.groupBy("range").agg(F.count("*").alias("size"))
-    before = sizes.select("range", F.coalesce(F.sum("size").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ids.join(F.broadcast(before), "range").select(*order, (F.col("before") + F.col("at") + 1).alias("rn"))
+    dealt = rows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("row of rank", F.monotonically_increasing_id())
+    ids = scratch.kept(dealt, "ranges").withColumn("range of rank", F.shiftright("row of rank", 33))
+    sizes = ids.groupBy("range of rank").agg(F.count("*").alias("size"))
+    before = sizes.select("range of rank", F.coalesce(F.sum("size").over(W.orderBy("range of rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("rows before"))
+    at = F.col("row of rank").bitwiseAND(F.lit((1 << 33) - 1))
+    return ids.join(F.broadcast(before), "range of rank").select(*order, (F.col("rows before") + at + 1).alias("rn"))
 
 
 def contiguous(rows: DataFrame, order: str, key: str) -> DataFrame:
