@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: U+001F, which joins the cells of a fingerprinted row.
 UNIT = "\x1f"
+# Names of image files and aliases of people that may be served.
 SAFE_NAME = r"^[A-Za-z0-9][A-Za-z0-9_. -]*\.(?i:jpe?g)$"
 ALIAS = r"^s[0-9]{3}$"
 

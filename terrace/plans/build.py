@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import audit, decisions, results, rules, splits
+from ..sources.versions import Commit, Store
 
 
 @dataclass
@@ -77,3 +78,9 @@ def publish(build: Build, path: str) -> None:
     build.manifest.write.mode("errorifexists").partitionBy("split").parquet(f"{path}/manifest")
     build.objects.write.mode("errorifexists").partitionBy("split").parquet(f"{path}/objects")
     build.fingerprint.coalesce(1).write.mode("errorifexists").json(f"{path}/fingerprint")
+
+
+def publish_version(build: Build, store: Store, note: str = "") -> Commit:
+    """Publish the build as a version of ``store`` once its checks hold; the version before stays and can be restored."""
+    rules.require(build.checks)
+    return store.publish({"manifest": build.manifest, "objects": build.objects, "fingerprint": build.fingerprint}, note)

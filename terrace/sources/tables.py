@@ -34,19 +34,23 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
     return reader.schema(schema).csv(path)
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
-    """One delimited file; for reports, whose rows are few."""
-    df.coalesce(1).write.mode("overwrite").option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+def write_delimited(df: DataFrame, path: str, sep: str = ",", mark: bool = False, replace: bool = False) -> None:
+    """One delimited file; for reports, whose rows are few. ``mark`` puts a byte order mark before the header, as spreadsheets
+    want it; what is at ``path`` is replaced only where that is asked for."""
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])
+    mode = "overwrite" if replace else "errorifexists"
+    df.coalesce(1).write.mode(mode).option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; refuses NaN and infinity, which JSON can't hold."""
+def write_json(df: DataFrame, path: str, replace: bool = False) -> None:
+    """JSON lines; what is at ``path`` is replaced only where that is asked for. Refuses NaN and infinity, which JSON can't hold."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType | T.FloatType)]
     if doubles:
         bad = df.where(" OR ".join(f"isnan(`{c}`) OR abs(`{c}`) = double('inf')" for c in doubles))
         if bad.limit(1).count():
             raise ValueError("not a JSON number")
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite" if replace else "errorifexists").json(path)
 
 
 def write_once(df: DataFrame, path: str, keys: list[str]) -> str:

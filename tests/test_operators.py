@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from terrace.sources.versions import Store
 from terrace.schema import SHARES
 from terrace.operators import archive, audit, decisions, evaluation, matching, results, rules, splits
 from terrace.plans import build
@@ -246,5 +247,11 @@ def test_build(spark, tmp_path):
     done = build.reviewed(assets, objects, required, spark.createDataFrame([("R1", "ANNOTATION_CONFLICT", "h00", "KEEP_A", "")], ANSWER), parent="parent")
     build.publish(done, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/manifest")).count() == 20
+    store = Store(spark, f"file://{tmp_path}/store")
+    with pytest.raises(ValueError, match="conflict left"):
+        build.publish_version(first, store)
+    assert store.current() is None
+    build.publish_version(done, store, "v1")
+    assert store.read("manifest").count() == 20 and store.read("fingerprint").first() == done.fingerprint.first()
     assert done.objects.select(F.size("polygon"), "repair.kind").distinct().collect() == [(4, "RAW_CONSECUTIVE_DUPLICATE")]
     assert done.fingerprint.first()[0] == build.prepare(assets, objects, "parent", decisions.content_plan(status_of(spark, [BASE | {"content_sha256": "h00"}], [("R1", "ANNOTATION_CONFLICT", "h00", "a", "b")]))).fingerprint.first()[0]

@@ -100,3 +100,19 @@ def test_scan_and_sinks(spark, tmp_path):
     for _ in range(2):
         tables.append_results(spark.sql("SELECT 'm' model, 1 surplus"), str(tmp_path / "log"), ["model", "split"])
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [("m", None)] * 2
+
+
+def test_delimited_with_a_mark_is_read_back(spark, tmp_path):
+    rows = [("R1", "čau; \"x\"", "a\nb"), ("R2", "", "n")]
+    df = spark.createDataFrame(rows, "review_id string, notes string, more string")
+    path = str(tmp_path / "answers")
+    tables.write_delimited(df, path, ";", mark=True)
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "answers").glob("part-*"))
+    assert raw.startswith("\ufeffreview_id;notes;more\n".encode())
+    back = tables.read_delimited(spark, path, ["review_id", "notes"])
+    assert back.columns == ["review_id", "notes", "more"]
+    assert sorted((r["review_id"], r["notes"] or "", r["more"]) for r in back.collect()) == rows
+    with pytest.raises(Exception, match="already exists"):
+        tables.write_delimited(df, path)
+    tables.write_delimited(df.limit(1), path, replace=True)
+    assert tables.read_delimited(spark, path).count() == 1
