@@ -216,3 +216,27 @@ def copied(files: DataFrame) -> DataFrame:
 
     rows = files.select("path", "target", "content_sha256")
     return spread(rows).mapInArrow(run, "path string, target string, content_sha256 string, status string")
+
+
+def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(split, path, length) of files made from the ``parts`` of each row, one after the other, a chunk at a time.
+
+    What is written has another name until it's whole; a task that is run again writes the same file.
+    """
+    for batch in batches:
+        for row in batch.to_pylist():
+            there, goal = located(row["path"])
+            aside, length = f"{goal}.{uuid.uuid4().hex}.part", 0
+            try:
+                with there.open_output_stream(aside) as sink:
+                    for part in row["parts"]:
+                        where, name = located(part)
+                        with where.open_input_stream(name) as source:
+                            while chunk := source.read(CHUNK):
+                                sink.write(chunk)
+                                length += len(chunk)
+                there.move(aside, goal)
+            finally:
+                if there.get_file_info(aside).type != fs.FileType.NotFound:
+                    there.delete_file(aside)
+            yield pa.RecordBatch.from_pylist([{"split": row["split"], "path": row["path"], "length": length}], schema=pa.schema([("split", pa.string()), ("path", pa.string()), ("length", pa.int64())]))
