@@ -107,12 +107,12 @@ SELECT scan_ord, string_agg(r, '; ' ORDER BY r) AS reason FROM w WHERE r IS NOT
     "multiplicity_profile": "SELECT times, count(*) AS n_keys FROM (SELECT count(*) AS times FROM lineitem GROUP BY l_orderkey, l_linenumber) GROUP BY times",
     "snapshot_diff": """WITH b AS (SELECT doc_id, sha256(text) AS d FROM documents WHERE doc_id % 17 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN 'changed' ELSE sha256(text) END AS e FROM documents WHERE doc_id % 19 <> 0)
 SELECT doc_id, CASE WHEN e IS NULL THEN 'missing' WHEN d IS NULL THEN 'added' ELSE 'changed' END AS change FROM b FULL JOIN n USING (doc_id) WHERE d IS DISTINCT FROM e""",
-    "historical_versions": "SELECT a.doc_id, coalesce(string_agg(b.doc_id, ',' ORDER BY b.doc_id), '') AS versions FROM documents a LEFT JOIN documents b ON a.text = b.text AND b.doc_id % 2 = 1 WHERE a.doc_id % 2 = 0 GROUP BY a.doc_id",
+    "historical_versions": "SELECT doc_id, count(*) OVER w AS versions, min(doc_id) OVER w AS first, max(doc_id) OVER w AS last FROM documents WINDOW w AS (PARTITION BY text)",
     "validation_issues": f"""WITH {RING}, b AS (SELECT vec_id AS key, label, min(x) FILTER (WHERE TRUE) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM ring GROUP BY ALL),
 o AS (SELECT *, [CASE WHEN label % 3 = 2 THEN 'ERROR_INVALID_CLASS' END, CASE WHEN x2 <= x1 OR y2 <= y1 THEN 'ERROR_ZERO_OR_INVALID_BOX' END, CASE WHEN x1 < 0 OR y1 < 0 OR x2 > 700 OR y2 > 700 THEN 'ERROR_OUT_OF_BOUNDS' END, CASE WHEN label = 9 THEN 'ERROR_SHORT_POLYGON' END] AS s FROM b WHERE label <> 8),
 u AS (SELECT key, unnest(s) AS status FROM o)
 SELECT key, 0 AS ordinal, status FROM u WHERE status IS NOT NULL UNION ALL SELECT key, -1, 'VALID' FROM o WHERE len(list_filter(s, lambda x: x IS NOT NULL)) = 0 UNION ALL SELECT key, -1, 'VALID_EMPTY_IMAGE' FROM b WHERE label = 8""",
-    "label_exclusion": """WITH o AS (SELECT vec_id % 100 AS key, lower(trim(' Class' || label % 4)) AS c, CASE WHEN vec_id % 5 = 0 THEN 'circle' ELSE 'polygon' END AS s FROM embeddings),
+    "label_exclusion": """WITH o AS (SELECT vec_id // 3 AS key, lower(trim(' Class' || label % 4)) AS c, CASE WHEN vec_id % 5 = 0 THEN 'circle' ELSE 'polygon' END AS s FROM embeddings),
 m AS (SELECT DISTINCT key, v FROM (SELECT key, c AS v FROM o WHERE c = 'class3' UNION ALL SELECT key, s FROM o WHERE s = 'circle')) SELECT key, string_agg(v, ';' ORDER BY v) AS matched FROM m GROUP BY key""",
     "dataset_statistics": f"""WITH {MANIFEST}, s AS (SELECT count(*)::DOUBLE AS images, sum(number_of_objects)::DOUBLE AS objects, avg(number_of_objects) AS mean, median(number_of_objects)::DOUBLE AS median, min(number_of_objects)::DOUBLE AS least, max(number_of_objects)::DOUBLE AS most FROM man)
 SELECT measure, value FROM (UNPIVOT s ON images, objects, mean, median, least, most INTO NAME measure VALUE value)""",
@@ -173,6 +173,10 @@ SELECT image_id, parent, split FROM ({PARENTS}) JOIN pl USING (parent)""",
     "set_equality": f"WITH {MANIFEST}, l AS (SELECT DISTINCT substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS image_id FROM labels), c AS (SELECT count(*) FILTER (WHERE l.image_id IS NULL) AS only_left, count(*) FILTER (WHERE m.image_id IS NULL) AS only_right FROM man m FULL JOIN l ON m.image_id = l.image_id) SELECT *, only_left = 0 AND only_right = 0 AS equal FROM c",
     "prefix_collisions": "SELECT substr(sha256(text), 1, 2) AS prefix, count(DISTINCT text) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT text) > 1",
     "coco_ids": f"WITH {MANIFEST} SELECT image_id, split, row_number() OVER (PARTITION BY split ORDER BY image_id) AS coco_id FROM man",
+    "coco_documents_read": f"""WITH {LISTS}, im AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY canonical_image_id) AS image_id FROM (SELECT DISTINCT 'i' || vec_id // 5 AS canonical_image_id, CASE vec_id // 5 % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM embeddings)),
+m AS (SELECT vec_id, label, p, {_area('p')} AS area FROM rl WHERE len(list_filter(p, lambda v: NOT (v.x BETWEEN 0 AND 1000 AND v.y BETWEEN 0 AND 1000))) = 0)
+SELECT split, row_number() OVER (PARTITION BY split ORDER BY canonical_image_id, vec_id) AS id, image_id, canonical_image_id, CAST(label % 2 + 1 AS INTEGER) AS category_id, len(p) AS vertices, round(list_min([v.x FOR v IN p]), 6) AS x1, round(area, 5) AS area
+FROM m JOIN im ON canonical_image_id = 'i' || vec_id // 5 WHERE area > 0""",
     "coco_annotation_rows": f"""WITH {LISTS}, m AS (SELECT vec_id, p, list_max([v.x FOR v IN p]) - list_min([v.x FOR v IN p]) AS w, list_max([v.y FOR v IN p]) - list_min([v.y FOR v IN p]) AS h, {_area('p')} AS area, len(list_filter(p, lambda v: NOT (v.x BETWEEN 0 AND 900 AND v.y BETWEEN 0 AND 900))) AS outside FROM rl),
 e AS (SELECT *, CASE WHEN outside > 0 THEN 'point off the image' WHEN area <= 0 OR w <= 0 OR h <= 0 THEN 'no area' ELSE 'ok' END AS error FROM m)
 SELECT vec_id, error, CASE WHEN error = 'ok' THEN w END AS w, CASE WHEN error = 'ok' THEN round(area, 6) END AS area FROM e""",
@@ -210,12 +214,12 @@ SELECT category_id, round(ap, 9) AS ap, round(ap50, 9) AS ap50, round(ap75, 9) A
 SQL["exclusion_histogram"] = f"SELECT reason, count(*) AS n FROM ({SQL['exclusion_reasons']}) GROUP BY reason"
 
 _CLASSES = SQL["ring_geometry_class"]
-_GEOMETRY = f"""ge AS (SELECT vec_id, 'a' || vec_id // 5 AS annotation, 'G-' || substr(sha256('a' || vec_id // 5), 1, 16) || '-' || (vec_id % 5 + 1) AS review_id, 'c' || vec_id // 5 % 40 AS content_sha256, CASE WHEN e.label % 2 = 0 THEN 'Tree' ELSE 'TreeGroup' END AS label, category, invalid,
+_GEOMETRY = f"""ge AS (SELECT vec_id, 'a' || vec_id // 5 AS annotation, 'G-' || substr(sha256('a' || vec_id // 5), 1, 16) || '-' || (vec_id % 5 + 1) AS review_id, 'c' || (vec_id // 40 * 3 + vec_id // 5 % 8 // 3) AS content_sha256, CASE WHEN e.label % 2 = 0 THEN 'Tree' ELSE 'TreeGroup' END AS label, category, invalid,
   CASE WHEN n_crossings > 0 THEN 'complex/ambiguous' ELSE '' END AS assessment, CASE WHEN n_crossings > 0 THEN 'AMBIGUOUS' ELSE '' END AS severity,
   CASE WHEN category = 'A' AND NOT invalid THEN 'LIKELY_VALID_CLOSING_VERTEX' WHEN consecutive > 0 AND NOT invalid THEN 'SAFE_REMOVE_DUPLICATE_VERTEX' ELSE 'MANUAL_GEOMETRY_REPAIR' END AS recommended
   FROM ({_CLASSES}) JOIN embeddings e USING (vec_id) WHERE category <> '' OR invalid),
 gs AS (SELECT *, CASE WHEN recommended = 'SAFE_REMOVE_DUPLICATE_VERTEX' THEN 'AUTO_REPAIRED_DUPLICATE_VERTEX' ELSE 'UNRESOLVED' END AS review_status FROM ge)"""
-_CONFLICTS = """me AS (SELECT DISTINCT vec_id // 5 AS number, vec_id // 5 % 40 AS content FROM embeddings WHERE vec_id // 5 % 4 = 0),
+_CONFLICTS = """me AS (SELECT DISTINCT vec_id // 5 AS number, vec_id // 40 * 3 + vec_id // 5 % 8 // 3 AS content FROM embeddings WHERE (vec_id // 40 * 3 + vec_id // 5 % 8 // 3) % 4 = 0),
 nm AS (SELECT content, list_sort(list(DISTINCT number % 3)) = [0, 1] AS two FROM me GROUP BY content),
 co AS (SELECT 'C-c' || content || '-' || pair AS review_id, 'c' || content AS content_sha256, pair, CASE WHEN two THEN 'first two' ELSE 'Other' END AS section, 'a' || a AS annotation_a, 'p' || a % 3 AS annotator_a, 'a' || b AS annotation_b, 'p' || b % 3 AS annotator_b
   FROM (SELECT a.content, a.number AS a, b.number AS b, row_number() OVER (PARTITION BY a.content ORDER BY a.number, b.number) AS pair FROM me a JOIN me b ON a.content = b.content AND a.number < b.number) JOIN nm USING (content))"""
@@ -231,6 +235,11 @@ SELECT *, choices <> '' AS removes FROM o""",
     "review_unresolved": f"WITH {_GEOMETRY}, {_CONFLICTS}, {_UNRESOLVED} SELECT * FROM un",
     "review_workload": f"""WITH {_GEOMETRY}, {_CONFLICTS}, {_UNRESOLVED}, m AS (SELECT 'recommended REVIEW_BOTH' AS measure FROM co UNION ALL SELECT 'recommended ' || recommended FROM gs UNION ALL SELECT 'severity ' || severity FROM gs WHERE severity <> '' UNION ALL SELECT 'unresolved rows' FROM un
   UNION ALL SELECT CASE category WHEN 'A' THEN 'closing vertex only' WHEN 'B' THEN 'consecutive duplicate' ELSE 'other repeated vertex' END FROM gs WHERE category <> '' UNION ALL SELECT 'repeated and invalid' FROM gs WHERE category <> '' AND invalid) SELECT measure, count(*) AS value FROM m GROUP BY 1""",
+    "source_selection_plan": f"""WITH {_GEOMETRY}, {_CONFLICTS}, cat AS (SELECT content_sha256, annotation_a AS a, annotation_b AS b, true AS conflict, false AS done FROM co WHERE pair = 1 UNION ALL SELECT content_sha256, annotation, NULL, false, review_status <> 'UNRESOLVED' FROM gs),
+d AS (SELECT *, CASE WHEN NOT conflict THEN CASE WHEN k % 3 = 0 THEN 'KEEP_AS_IS' WHEN k % 7 = 0 THEN 'EXCLUDE' ELSE '' END WHEN k % 8 = 0 THEN 'KEEP_B' WHEN k % 5 = 0 THEN '' ELSE 'KEEP_A' END AS decision FROM (SELECT *, CAST(substr(content_sha256, 2) AS INTEGER) AS k FROM cat)),
+s AS (SELECT content_sha256, bool_or(decision = 'EXCLUDE') AS out, bool_or(conflict AND decision = '') AS waits, coalesce(min(CASE WHEN conflict THEN CASE decision WHEN 'KEEP_A' THEN a WHEN 'KEEP_B' THEN b END END), min(a)) AS pick FROM d GROUP BY 1),
+o AS (SELECT DISTINCT content_sha256 FROM d JOIN s USING (content_sha256) WHERE NOT conflict AND a = pick AND NOT done AND decision = '')
+SELECT content_sha256, CASE WHEN out THEN 'EXCLUDED' WHEN waits THEN 'AWAITING_SOURCE_SELECTION' WHEN content_sha256 IN (FROM o) THEN 'PENDING' ELSE 'REVIEW_RESOLVED' END AS status, CASE WHEN NOT out AND NOT waits THEN pick END AS source FROM s""",
     "annotation_stats": f"""WITH {LISTS}, r AS (SELECT vec_id, label, CASE vec_id % 4 WHEN 0 THEN p WHEN 1 THEN p || p[1:1] WHEN 2 THEN p[1:2] || p[2:5] ELSE p[1:3] || p[1:1] || p[4:5] END AS p FROM rl)
 SELECT 'a' || vec_id // 5 AS annotation, count(*) FILTER (WHERE label % 2 = 0) AS tree_count, count(*) FILTER (WHERE label % 2 = 1) AS treegroup_count, count(*) AS polygons, round(sum({_area('p')}), 5) AS area FROM r GROUP BY 1""",
     "duplicate_vertex_repairs": f"""WITH {_GEOMETRY} SELECT review_id, 'RAW_CONSECUTIVE_DUPLICATE' AS repair_type, 'raw_pixels' AS space, 6 AS before, 5 AS after, '2' AS removed FROM ge WHERE recommended = 'SAFE_REMOVE_DUPLICATE_VERTEX'""",

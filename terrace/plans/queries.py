@@ -122,9 +122,10 @@ def snapshot_diff(spark, d):
 
 @query
 def historical_versions(spark, d):
+    """Each document with the number of rows that hold its text, and the first and the last of them."""
     docs = read_table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    old = docs.where("doc_id % 2 = 1").select("h", F.col("doc_id").alias("old"))
-    return docs.where("doc_id % 2 = 0").join(old, "h", "left").groupBy("doc_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("old")), lambda x: x.cast("string"))).alias("versions"))
+    held = docs.groupBy("h").agg(F.count("*").alias("versions"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return docs.join(held, "h").select("doc_id", "versions", "first", "last")
 
 
 # -- rules and statistics -----------------------------------------------------------------------------------------
@@ -143,7 +144,7 @@ def validation_issues(spark, d):
 def label_exclusion(spark, d):
     rings = fixtures.rings(spark, d)
     o = F.struct(F.concat(F.lit(" Class"), (F.col("label") % 4).cast("string")).alias("class_name"), F.when(F.col("vec_id") % 5 == 0, "Circle").otherwise("polygon").alias("shape_type"))
-    images = rings.groupBy((F.col("vec_id") % 100).alias("key")).agg(F.collect_list(o).alias("objects"))
+    images = rings.groupBy(F.expr("vec_id div 3").alias("key")).agg(F.collect_list(o).alias("objects"))
     return rules.excluded_images(images, ("class3",), ("circle",)).select("key", "matched")
 
 
@@ -356,6 +357,23 @@ def coco_ids(spark, d):
     return coco.numbered_images(rows).select("image_id", "split", "coco_id")
 
 
+@query
+def coco_documents_read(spark, d):
+    """Rings written as one COCO document a split, and read back by ranges of bytes."""
+    from ..sources import coco, coco_ranges
+
+    number = F.expr("vec_id div 5")
+    rings = fixtures.rings(spark, d).withColumns({"image_id": F.concat(F.lit("i"), number.cast("string")), "ordinal": F.col("vec_id") % 5 + 1, "class_id": (F.col("label") % 2).cast("int")})
+    images = rings.select("image_id", F.when(number % 3 == 0, "train").when(number % 3 == 1, "val").otherwise("test").alias("split"), F.concat("image_id", F.lit(".png")).alias("file_name"), F.lit(1000).alias("width"), F.lit(1000).alias("height")).distinct()
+    written, _ = coco.write(images, rings.select("image_id", "ordinal", "class_id", F.col("ring").alias("polygon")), scratch.path(spark, "coco"))
+    found, _ = coco_ranges.elements(written, 1 << 16)
+    found = scratch.kept(found, "elements")
+    named = coco.section(found, "images").select("path", F.col("id").alias("image"), "canonical_image_id")
+    marks = coco.shaped(coco.section(found, "annotations")).join(named.withColumnRenamed("image", "image_id"), ["path", "image_id"])
+    split = F.regexp_extract("path", "([a-z]+)[.]json$", 1).alias("split")
+    return marks.select(split, "id", "image_id", "canonical_image_id", "category_id", F.size("polygon").alias("vertices"), F.round("box.x1", 6).alias("x1"), F.round("area", 5).alias("area"))
+
+
 @query
 def coco_annotation_rows(spark, d):
     rows = fixtures.rings(spark, d).withColumn("error", F.expr(G.polygon_error("ring", "900", "900")))
@@ -447,7 +465,8 @@ def milliseconds_per_item(spark, d):
 
 
 def _reviewed(spark, d):
-    """Conflict rows of every fourth content, and rows of polygons of which those that mend themselves are repaired."""
+    """Conflict rows of every fourth content, a role these tables are given here, and rows of polygons, of which those that the
+    geometry finds to mend themselves are repaired."""
     shapes = fixtures.shapes(spark, d)
     members = shapes.select("content_sha256", F.col("number").alias("place"), "annotation", F.concat(F.lit("p"), (F.col("number") % 3).cast("string")).alias("annotator")).distinct()
     conflicts = review.conflict_rows(members, members.where("CAST(substring(content_sha256, 2) AS INT) % 4 = 0"), {"first two": frozenset({"p0", "p1"})})
