@@ -20,7 +20,7 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAGES) ->
 
 def texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """(path, text) of whole text files, without a byte order mark."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
 
 

@@ -56,6 +56,12 @@ def test_format_of_text(spark, text, want):
     assert files.with_format(spark.createDataFrame([("a.txt", text)], "path string, text string")).first()["format"] == want
 
 
+def test_texts_are_whole_files(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep/a.txt").write_text("0 1\n1 2\n")
+    assert [r["text"] for r in files.texts(spark, str(tmp_path), "*.txt").collect()] == ["0 1\n1 2\n"]
+
+
 def test_coco_round_trip(spark, tmp_path):
     ring = [(1.0, 1.0), (12.0, 1.0), (12.0, 12.0), (1.0, 12.0)]
     manifest = spark.createDataFrame([("i1", "train", "x/I1.png", 16, 16), ("i2", "train", "x/i2.png", 16, 16), ("i3", "val", "x/i3.png", 16, 16)], "image_id string, split string, file_name string, width int, height int")
