@@ -177,6 +177,8 @@ SELECT image_id, parent, split FROM ({PARENTS}) JOIN pl USING (parent)""",
 m AS (SELECT vec_id, label, p, {_area('p')} AS area FROM rl WHERE len(list_filter(p, lambda v: NOT (v.x BETWEEN 0 AND 1000 AND v.y BETWEEN 0 AND 1000))) = 0)
 SELECT split, row_number() OVER (PARTITION BY split ORDER BY canonical_image_id, vec_id) AS id, image_id, canonical_image_id, CAST(label % 2 + 1 AS INTEGER) AS category_id, len(p) AS vertices, round(list_min([v.x FOR v IN p]), 6) AS x1, round(area, 5) AS area
 FROM m JOIN im ON canonical_image_id = 'i' || vec_id // 5 WHERE area > 0""",
+    "annotation_files_read": f"""WITH {LISTS}, r AS (SELECT vec_id // 50 AS folder, vec_id % 50 + 1 AS ordinal, CAST(label % 2 AS INTEGER) AS class_id, p, vec_id // 50 % 2 = 0 AS y FROM rl)
+SELECT folder, CASE WHEN y THEN 'yolo' ELSE 'labelme' END AS format, ordinal, class_id, len(p) AS vertices, round(list_min([CASE WHEN y THEN round(v.x / 1024, 8) * 1024 ELSE v.x END FOR v IN p]), 5) AS x1, round(list_max([CASE WHEN y THEN round(v.y / 1024, 8) * 1024 ELSE v.y END FOR v IN p]), 5) AS y2 FROM r""",
     "coco_annotation_rows": f"""WITH {LISTS}, m AS (SELECT vec_id, p, list_max([v.x FOR v IN p]) - list_min([v.x FOR v IN p]) AS w, list_max([v.y FOR v IN p]) - list_min([v.y FOR v IN p]) AS h, {_area('p')} AS area, len(list_filter(p, lambda v: NOT (v.x BETWEEN 0 AND 900 AND v.y BETWEEN 0 AND 900))) AS outside FROM rl),
 e AS (SELECT *, CASE WHEN outside > 0 THEN 'point off the image' WHEN area <= 0 OR w <= 0 OR h <= 0 THEN 'no area' ELSE 'ok' END AS error FROM m)
 SELECT vec_id, error, CASE WHEN error = 'ok' THEN w END AS w, CASE WHEN error = 'ok' THEN round(area, 6) END AS area FROM e""",

@@ -374,6 +374,27 @@ def coco_documents_read(spark, d):
     return marks.select(split, "id", "image_id", "canonical_image_id", "category_id", F.size("polygon").alias("vertices"), F.round("box.x1", 6).alias("x1"), F.round("area", 5).alias("area"))
 
 
+@query
+def annotation_files_read(spark, d):
+    """Rings written as YOLO and LabelMe files, fifty a file, and read back by the data source of annotation files."""
+    from ..sources import annotation_files, yolo
+
+    folder = F.expr("vec_id div 50")
+    rings = fixtures.rings(spark, d).select(folder.alias("folder"), (F.col("vec_id") % 50).alias("ordinal"), "label", F.col("ring").alias("polygon"))
+    root = scratch.path(spark, "annotations")
+    lines = rings.where("folder % 2 = 0").select(F.col("folder").alias("key"), "ordinal", (F.col("label") % 2).cast("int").alias("class_id"), "polygon", F.lit(1024).alias("width"), F.lit(1024).alias("height"))
+    lines = yolo.label_lines(lines).select(F.col("key").alias("folder"), "ordinal", F.col("label").alias("value"))
+    lines.repartition("folder").sortWithinPartitions("folder", "ordinal").select("folder", "value").write.partitionBy("folder").text(f"{root}/yolo")
+    one = F.struct(F.when(F.col("label") % 2 == 0, "Tree").otherwise("TreeGroup").alias("label"), F.lit("polygon").alias("shape_type"), F.transform("polygon", lambda p: F.array(p["x"], p["y"])).alias("points"))
+    docs = rings.where("folder % 2 = 1").groupBy("folder").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", one.alias("s")))), lambda r: r["s"]).alias("shapes"))
+    docs.withColumns({"imagePath": F.lit("a.png"), "imageWidth": F.lit(1024), "imageHeight": F.lit(1024)}).repartition("folder").write.partitionBy("folder").json(f"{root}/labelme")
+    found = scratch.kept(annotation_files.load(spark, root), "files")
+    stems = found.select(X.stem(F.col("path")).alias("stem")).distinct().select("stem", F.lit(1024).alias("width"), F.lit(1024).alias("height"))
+    rows = annotation_files.objects(found, stems)
+    number = F.regexp_extract("path", "folder=([0-9]+)", 1).cast("long").alias("folder")
+    return rows.select(number, "format", "ordinal", "class_id", F.size("polygon").alias("vertices"), F.round("box.x1", 5).alias("x1"), F.round("box.y2", 5).alias("y2"))
+
+
 @query
 def coco_annotation_rows(spark, d):
     rows = fixtures.rings(spark, d).withColumn("error", F.expr(G.polygon_error("ring", "900", "900")))

@@ -1,11 +1,11 @@
 """Annotation files as a data source: ``spark.read`` and ``spark.readStream`` over folders of YOLO, LabelMe and COCO files.
 
-    spark.dataSource.register(AnnotationFiles)
-    spark.read.format("annotation_files").option("suffixes", "json,txt").load(root)
+    load(spark, root, suffixes="json,txt")
 
 Rows are (path, length, modified, text, error), one a file; formats are told and parsed by expressions (``objects``). A partition
 is a folder, or a share of the files of a large one: planning holds a number a folder, and tasks list their own folder again. Conditions
-on path or length reach the listing where ``spark.sql.python.filterPushdown.enabled`` is set: folders that can't hold a match get no
+on path or length reach the listing where ``spark.sql.python.filterPushdown.enabled`` is set (``load`` asks the session; Spark
+refuses a reader that takes conditions otherwise): folders that can't hold a match get no
 task, other files aren't opened. A file that can't be read, isn't UTF-8 or is larger than ``max_file_bytes`` (64 MB; what a
 cell should hold; larger COCO documents are for ``coco_ranges``) is a row with an error and without text.
 
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith
 
@@ -145,6 +145,15 @@ class _Files:
 
 
 class _Reader(_Files, DataSourceReader):
+    def partitions(self) -> list[Share]:
+        # a reader without partitions would be asked to read all at once
+        return list(self.shares(-1, 1 << 62)) or [Share(self.root, 0, 1, -1, -1)]
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        return self.read_share(partition)
+
+
+class _ConditionReader(_Reader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         told = {"path": (EqualTo, In, StringStartsWith, StringEndsWith), "length": (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)}
         for f in filters:
@@ -153,13 +162,6 @@ class _Reader(_Files, DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Share]:
-        # a reader without partitions would be asked to read all at once
-        return list(self.shares(-1, 1 << 62)) or [Share(self.root, 0, 1, -1, -1)]
-
-    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
-        return self.read_share(partition)
-
 
 class _StreamReader(_Files, DataSourceStreamReader):
     def initialOffset(self) -> dict:
@@ -187,12 +189,18 @@ class AnnotationFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return _ConditionReader(self.options) if self.options.get("conditions") == "true" else _Reader(self.options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _StreamReader(self.options)
 
 
+def load(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    spark.dataSource.register(AnnotationFiles)
+    taken = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("annotation_files").options(conditions=taken, **options).load(root)
+
+
 def told(rows: DataFrame) -> DataFrame:
     """``rows`` of the source with format (null without text) and disposition: read, empty, unreadable, or unknown format."""
     out = with_format(rows.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("format", F.when(F.col("error").isNull(), F.col("format")))

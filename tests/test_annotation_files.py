@@ -15,7 +15,6 @@ from terrace.sources.annotation_files import AnnotationFiles
 @pytest.fixture
 def root(spark, tmp_path):
     spark.dataSource.register(AnnotationFiles)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     at = tmp_path / "in"
     for folder in ("ann", "bob/deep"):
         (at / folder).mkdir(parents=True)
@@ -34,7 +33,7 @@ def root(spark, tmp_path):
 
 
 def load(spark, root, **options):
-    return spark.read.format("annotation_files").options(max_file_bytes="2000", group_bytes="300", **options).load(str(root))
+    return annotation_files.load(spark, str(root), max_file_bytes="2000", group_bytes="300", **options)
 
 
 def test_rows_and_errors(spark, root):
@@ -45,6 +44,11 @@ def test_rows_and_errors(spark, root):
     (root / "nothing").mkdir()
     assert load(spark, root / "nothing").count() == 0
     assert load(spark, root, suffixes=".txt").count() == 4
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        assert load(spark, root).where("length > 2000").count() == 1
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def test_same_objects_as_the_readers(spark, root):
@@ -66,7 +70,7 @@ def test_same_objects_as_the_readers(spark, root):
 
 def test_conditions_reach_the_listing(spark, root):
     def folders(*conditions):
-        reader = annotation_files._Reader({"path": str(root), "group_bytes": "300"})
+        reader = annotation_files._ConditionReader({"path": str(root), "group_bytes": "300"})
         left = list(reader.pushFilters(list(conditions)))
         return left, {s.folder[len(str(root)) :] for s in reader.partitions()}, reader
 
