@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: U+001F, which joins the cells of a fingerprinted row.
 UNIT = "\x1f"
-# Names of image files and aliases of people that may be served.
+# Names of image files that may be served.
 SAFE_NAME = r"^[A-Za-z0-9][A-Za-z0-9_. -]*\.(?i:jpe?g)$"
+# Fixed value: aliases of people.
 ALIAS = r"^s[0-9]{3}$"
 
 
@@ -87,3 +88,28 @@ def mentions(c: Column, wanted: str) -> Column:
 
 def close_to(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     return F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b)
+
+
+def http_base(url: Column) -> Column:
+    """The address without slashes at its end, if it's http or https, has a host, and no name, password, query or fragment; else null."""
+    rest = F.regexp_extract(url, r"^(?i:https?)://(.*)$", 1)
+    authority, tail = F.regexp_extract(rest, r"^([^/?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*(.*)$", 1)
+    who = F.regexp_extract(authority, r"^(.*)@", 1)
+    return F.when((authority != "") & who.isin("", ":") & tail.isin("", "?", "#", "?#"), F.regexp_replace(F.regexp_replace(url, r"[?#]+$", ""), "/+$", ""))
+
+
+def project_link(base: Column, project: Column) -> Column:
+    """The address of a project's data below a base that may be linked; null for others."""
+    return F.concat(http_base(base), F.lit("/projects/"), project.cast("string"), F.lit("/data"))
+
+
+def path_parts(path: Column) -> Column:
+    """The names of a path, with . and .. followed by their names alone: links can't be seen here. Those above the root stay there."""
+    step = lambda done, name: F.when(name.isin("", "."), done).when(name == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(name)))
+    return F.aggregate(F.split(posix(path), "/"), F.array().cast("array<string>"), step)
+
+
+def inside(path: Column, folder: Column) -> Column:
+    """Whether a path lies in a folder or is it, once both are followed."""
+    there = path_parts(folder)
+    return F.slice(path_parts(path), 1, F.size(there)).eqNullSafe(there)

@@ -28,6 +28,24 @@ def duplicate_groups(assets: DataFrame) -> DataFrame:
     return groups(assets).where("members > 1").select("content_sha256", "members", (F.col("annotators") < F.col("members")).alias("within_annotator"), (F.col("annotators") > 1).alias("between_annotators"))
 
 
+def duplicates_between(assets: DataFrame, folder: str) -> DataFrame:
+    """Groups of two or more with whether they lie in more than one ``folder``, besides more than one annotator's."""
+    places = assets.groupBy("content_sha256").agg((F.min(folder) != F.max(folder)).alias("between_folders"))
+    return duplicate_groups(assets).join(places, "content_sha256").withColumn("between_folders", F.coalesce("between_folders", F.lit(False)))
+
+
+def class_counts(images: DataFrame, objects: DataFrame, classes: DataFrame) -> DataFrame:
+    """(split, class_name, images, instances, most): for each split of ``images(image_id, split)`` and each of ``classes(class_id,
+    class_name)``, with or without objects, the split's images, its instances of the class, and the most objects an image has."""
+    held = objects.groupBy("image_id", "class_id").agg(F.count("*").alias("n"))
+    each = images.select("image_id", "split").join(held, "image_id", "left")
+    whole = each.groupBy("split", "image_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).groupBy("split").agg(F.count("*").alias("images"), F.max("n").alias("most"))
+    found = each.groupBy("split", "class_id").agg(F.sum("n").alias("instances"))
+    # a few splits by a few classes
+    wanted = whole.crossJoin(F.broadcast(classes.select("class_id", "class_name")))
+    return wanted.join(found, ["split", "class_id"], "left").select("split", "class_name", "images", F.coalesce("instances", F.lit(0)).alias("instances"), "most")
+
+
 def conflicts(assets: DataFrame) -> DataFrame:
     """Conflicting groups, and which arm of the rule made them so."""
     reason = F.when(F.coalesce(F.col("s0") != F.col("s1"), F.lit(False)), "signatures differ").otherwise("a member without a valid annotation")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..schema import SHARES, SPLITS
+from .matching import same_sets
 
 
 def ranked(rows: DataFrame, *order: str) -> DataFrame:
@@ -133,6 +134,15 @@ def randomised(rows: DataFrame, key: str, seed: int = 42, frozen: DataFrame | No
     return rows.join(told if frozen is None else told.unionByName(frozen.select(key, "split")), key)
 
 
+def reused(rows: DataFrame, key: str, frozen: DataFrame) -> DataFrame:
+    """``rows`` with the split of an earlier build's ``frozen(key, split)``; refuses if the two don't have the same keys, since a
+    split that grows by itself would move what was measured."""
+    told = same_sets(rows.select(key), frozen.select(key)).first()
+    if not told["equal"]:
+        raise ValueError(f"the frozen split is of other rows: {told['only_left']} are new, {told['only_right']} are gone")
+    return rows.join(frozen.select(key, "split"), key)
+
+
 def hashed(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """``rows`` with split by a seeded hash of the key: no shuffle, and a row's split doesn't depend on other rows."""
     share = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000)) / 10_000

@@ -116,6 +116,15 @@ SELECT key, 0 AS ordinal, status FROM u WHERE status IS NOT NULL UNION ALL SELEC
 m AS (SELECT DISTINCT key, v FROM (SELECT key, c AS v FROM o WHERE c = 'class3' UNION ALL SELECT key, s FROM o WHERE s = 'circle')) SELECT key, string_agg(v, ';' ORDER BY v) AS matched FROM m GROUP BY key""",
     "dataset_statistics": f"""WITH {MANIFEST}, s AS (SELECT count(*)::DOUBLE AS images, sum(number_of_objects)::DOUBLE AS objects, avg(number_of_objects) AS mean, median(number_of_objects)::DOUBLE AS median, min(number_of_objects)::DOUBLE AS least, max(number_of_objects)::DOUBLE AS most FROM man)
 SELECT measure, value FROM (UNPIVOT s ON images, objects, mean, median, least, most INTO NAME measure VALUE value)""",
+    "duplicates_between_folders": "SELECT sha256(text) AS content_sha256, count(*) AS members, count(DISTINCT source) < count(*) AS within_annotator, count(DISTINCT source) > 1 AS between_annotators, count(DISTINCT lang) > 1 AS between_folders FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "class_counts_by_split": """WITH o AS (SELECT vec_id // 5 AS image_id, CASE WHEN vec_id // 5 % 10 < 7 THEN 'train' WHEN vec_id // 5 % 10 < 9 THEN 'val' ELSE 'test' END AS split, CASE WHEN label < 8 THEN label % 2 ELSE 9 END AS class_id FROM embeddings),
+i AS (SELECT split, count(*) AS images, max(n) AS most FROM (SELECT split, image_id, count(*) AS n FROM o GROUP BY 1, 2) GROUP BY 1)
+SELECT split, class_name, images, (SELECT count(*) FROM o WHERE o.split = i.split AND o.class_id = c.class_id) AS instances, most FROM i, (VALUES (0, 'tree'), (1, 'TreeGroup')) c(class_id, class_name)""",
+    "reused_split": f"WITH {MANIFEST} SELECT image_id, split FROM man",
+    "linked_projects": r"""SELECT page_id, CASE WHEN page_id % 7 IN (0, 2, 3, 4) OR contains(url, '?') OR contains(url, '#') THEN NULL ELSE rtrim(url, '/') || '/projects/' || page_id || '/data' END AS link FROM pages""",
+    "output_overlaps": r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS p FROM pages), f AS (SELECT *, trim(regexp_replace(p, '/+', '/', 'g'), '/') AS w FROM u),
+o AS (SELECT '/out/../' || replace(p, '/', '/./x/../') AS output, w FROM f), i AS (SELECT CASE WHEN page_id % 2 = 0 THEN p || '/deep//er' ELSE p END AS input, CASE WHEN page_id % 2 = 0 THEN w || '/deep/er' ELSE w END AS w FROM f WHERE page_id % 9 = 0)
+SELECT DISTINCT output, input FROM o, i WHERE starts_with(o.w || '/', i.w || '/') OR starts_with(i.w || '/', o.w || '/')""",
     "counts_by_split": f"WITH {MANIFEST} SELECT split, source_dataset, count(*) AS images, CAST(sum(number_of_objects) AS BIGINT) AS objects, max(number_of_objects) AS most FROM man GROUP BY ALL",
     "size_distribution": f"WITH {MANIFEST} SELECT width, height, count(*) AS n FROM man GROUP BY ALL",
     "object_histogram": f"WITH {MANIFEST} SELECT CAST(floor(number_of_objects / (40.0::DOUBLE / 30)) AS BIGINT) + 1 AS bin, count(*) AS n FROM man GROUP BY 1",

@@ -159,6 +159,29 @@ def counts_by_split(spark, d):
     return rows.groupBy("split", "source_dataset").agg(F.count("*").alias("images"), F.sum("number_of_objects").alias("objects"), F.max("number_of_objects").alias("most"))
 
 
+@query
+def duplicates_between_folders(spark, d):
+    """Documents as assets of their source's folder and language: groups that lie in more than one folder."""
+    rows = fixtures.assets(spark, d).join(read_table(spark, d, "documents").select(F.col("doc_id").alias("scan_ord"), F.col("lang").alias("folder")), "scan_ord")
+    return audit.duplicates_between(rows, "folder")
+
+
+@query
+def class_counts_by_split(spark, d):
+    """Rings as objects of images, five an image: instances of each class in each split."""
+    rings = fixtures.rings(spark, d).select(F.expr("vec_id div 5").alias("image_id"), F.when(F.col("label") < 8, F.col("label") % 2).otherwise(9).cast("int").alias("class_id"))
+    images = rings.select("image_id").distinct().withColumn("split", F.when(F.col("image_id") % 10 < 7, "train").when(F.col("image_id") % 10 < 9, "val").otherwise("test"))
+    return audit.class_counts(images, rings, class_dimension(spark))
+
+
+@query
+def reused_split(spark, d):
+    """A manifest with the split of an earlier build, written once."""
+    rows = fixtures.manifest(spark, d)
+    frozen = scratch.kept(splits.contiguous(rows, "shuffle_key", "image_id").select("image_id", "split"), "frozen")
+    return splits.reused(rows, "image_id", frozen).select("image_id", "split")
+
+
 @query
 def size_distribution(spark, d):
     return fixtures.manifest(spark, d).groupBy("width", "height").agg(F.count("*").alias("n"))
@@ -658,6 +681,26 @@ def url_task_filename(spark, d):
     return read_table(spark, d, "pages").select("page_id", X.task_filename(F.col("url")).alias("name"), X.safe_name(F.coalesce(X.task_filename(F.col("url")), F.lit(""))).alias("safe"))
 
 
+@query
+def linked_projects(spark, d):
+    """Addresses of pages as bases of links, some with names, queries, fragments or other schemes: those that may be linked."""
+    n = F.col("page_id")
+    base = F.when(n % 7 == 0, F.concat("url", F.lit("?q=1"))).when(n % 7 == 1, F.concat("url", F.lit("//"))).when(n % 7 == 2, F.regexp_replace("url", "://", "://me:word@")).when(n % 7 == 3, F.regexp_replace("url", "^[a-z]+:", "ftp:")).when(n % 7 == 4, F.concat("url", F.lit("#x"))).otherwise(F.col("url"))
+    return read_table(spark, d, "pages").select("page_id", X.project_link(base, n).alias("link"))
+
+
+@query
+def output_overlaps(spark, d):
+    """Folders of pages as outputs and some as protected inputs, written with detours: pairs of which one lies in the other."""
+    path = F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1)
+    rows = read_table(spark, d, "pages").select("page_id", path.alias("p"))
+    outputs = rows.select(F.concat(F.lit("/out/../"), F.replace("p", F.lit("/"), F.lit("/./x/../"))).alias("path"))
+    inputs = rows.where("page_id % 9 = 0").select(F.when(F.col("page_id") % 2 == 0, F.concat("p", F.lit("/deep//er"))).otherwise(F.col("p")).alias("path"))
+    from ..sources import settings
+
+    return settings.overlapping(outputs, inputs)
+
+
 @query
 def accent_insensitive_search(spark, d):
     return read_table(spark, d, "documents").where(X.mentions(F.col("text"), "EAUOUON")).select("doc_id", "lang")
