@@ -7,8 +7,8 @@ Thresholds come from dynamic programming over estimated candidate counts; the m
 A fingerprint is looked up under each value within t_i bits of its projection, and candidates are verified.
 
 Equal fingerprints are one class from the start. A value that many fingerprints share (``hot``) isn't joined:
-its members are divided once more by the bits not yet fixed, and each part yields a spanning forest of its
-links, so what is emitted grows with the members and not with their pairs. No link between classes is lost.
+its members are divided by the bits not yet fixed, parts that are still large by the bits left after that, and each part yields a
+spanning forest of its links, so what is emitted grows with the members and not with their pairs. No link between classes is lost.
 
 Defined cases: null or empty text has no shingle and fingerprint zero; null doc_id takes part and is never the
 smallest unless alone (then component_id is null); repeated rows each give a row; clashing extra columns are
@@ -30,6 +30,8 @@ from .common import components, fresh_worker, lean, written
 BITS = 64
 #: Fingerprints under one value beyond which members are not joined with each other.
 HOT = 48
+#: Fingerprints of a part beyond which it's divided by further bits, and how often at most.
+PART, LEVELS = 4096, 3
 #: Cost of a candidate against that of a row looked up, for the choice of groups.
 CANDIDATE_COST = 4.0
 #: Shingles hashed at a time, so that memory doesn't follow the length of a text.
@@ -240,21 +242,48 @@ def links(fps: DataFrame, distance: int = 3, hot: int = HOT) -> DataFrame:
     pairs = probe.withColumnRenamed("fp", "a").join(sparse, ["g", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     edges = pairs.select("a", "b")
     if crowded.limit(1).count():
-        parts = distance + 1
-        members = probe.join(crowded, ["g", "key"])  # whoever looks there, the members themselves included
-        cases = None
-        for i, (bits, _) in enumerate(groups):
-            left = [b for b in range(BITS) if b not in set(bits)] or list(range(BITS))
-            size = -(-len(left) // parts)
-            keys = F.array(*(F.xxhash64("g", "key", F.lit(s), _gather(fp, left[s * size : (s + 1) * size])) for s in range(parts) if left[s * size : (s + 1) * size]))
-            cases = F.when(F.col("g") == i, keys) if cases is None else cases.when(F.col("g") == i, keys)
-        dense = members.select("fp", F.explode(cases).alias("run"))
-        n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dense = dense.repartition(n, "run").sortWithinPartitions("run")
-        edges = edges.union(dense.mapInArrow(lean(_forest(distance)), "a long, b long"))
+        # whoever looks there, the members themselves included
+        members = written(probe.join(crowded, ["g", "key"]), "members")
+        most = members.groupBy("g", "key").count().agg(F.max("count")).first()[0]
+        rows = members.select("fp", F.col("g").cast("string").alias("fixed"), F.xxhash64("g", "key").alias("run"))
+        known = {str(i): [b for b in range(BITS) if b not in set(bits)] or list(range(BITS)) for i, (bits, _) in enumerate(groups)}
+        for part in _divided(rows, known, distance, most):
+            n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            part = part.select("fp", "run").repartition(n, "run").sortWithinPartitions("run")
+            edges = edges.union(part.mapInArrow(lean(_forest(distance)), "a long, b long"))
     return edges
 
 
+def _divided(rows: DataFrame, left: dict[str, list[int]], distance: int, most: int) -> Iterator[DataFrame]:
+    """``rows(fp, fixed, run)`` cut into parts, given as tables of the same columns: two fingerprints of a run within ``distance`` bits
+    agree on one of ``distance + 1`` segments of the bits that aren't fixed, so one part of each division holds both.
+
+    ``fixed`` names the bits a run has fixed and ``left`` lists the others of each name; no run is larger than ``most``. Parts larger than
+    PART are divided again, by the bits still left; what is left of them after LEVELS divisions is given as it is.
+    """
+    for level in range(1, LEVELS + 1):
+        cases, then = None, {}
+        for name, bits in left.items():
+            cuts = [k * len(bits) // (distance + 1) for k in range(distance + 2)]
+            segments = [bits[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            then |= {f"{name}.{s}": [b for b in bits if b not in set(segment)] for s, segment in enumerate(segments)}
+            keys = F.array(*(F.struct(F.lit(f"{name}.{s}").alias("fixed"), F.xxhash64("run", F.lit(s), _gather(F.col("fp"), segment)).alias("run")) for s, segment in enumerate(segments)))
+            cases = F.when(F.col("fixed") == name, keys) if cases is None else cases.when(F.col("fixed") == name, keys)
+        left = {name: bits for name, bits in then.items() if len(bits) > distance}
+        rows = rows.select("fp", F.explode(cases).alias("part")).select("fp", "part.*")
+        if most <= PART or level == LEVELS or not left:
+            yield rows
+            return
+        rows = written(rows, "parts")
+        # runs with too few bits left for another division hold few fingerprints: those near a value in the group's own bits
+        large = written(rows.where(F.col("fixed").isin(*left)).groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > PART), "large")
+        most = large.agg(F.max("n")).first()[0] or 0
+        yield rows.join(large, "run", "left_anti")
+        if not most:
+            return
+        rows = rows.join(large, "run", "left_semi")
+
+
 def _components(rows: DataFrame, distance: int, hot: int) -> DataFrame:
     """(fp, root) of each distinct fp of ``rows``."""
     classes = written(rows.select("fp").distinct(), "classes")

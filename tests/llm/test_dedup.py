@@ -56,9 +56,11 @@ def test_spark_hash_is_the_fingerprint_hash(spark):
     assert spark.sql("SELECT xxhash64('a b c') h").first()["h"] & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b c", 42)
 
 
-@pytest.mark.parametrize("hot", [2, 48])
-def test_links_lose_nothing(spark, hot):
-    """Random, clustered and chained fingerprints; with ``hot`` 2 nearly every value is crowded."""
+@pytest.mark.parametrize("hot,part,levels", [(2, 4096, 3), (48, 4096, 3), (2, 2, 3), (2, 9, 2)])
+def test_links_lose_nothing(spark, hot, part, levels, monkeypatch):
+    """Random, clustered and chained fingerprints; with ``hot`` 2 nearly every value is crowded, with a small ``part`` divided again."""
+    monkeypatch.setattr(S, "PART", part)
+    monkeypatch.setattr(S, "LEVELS", levels)
     rng = random.Random(hot)
     fps = {rng.getrandbits(64) for _ in range(150)} | {0, (1 << 64) - 1}
     for base in list(fps)[:12]:
@@ -79,6 +81,22 @@ def test_links_lose_nothing(spark, hot):
     assert [roots.get(f, f) for f in signed] == want
 
 
+def test_divided_runs_keep_each_link_in_one(spark, monkeypatch):
+    """A dense cloud: every pair within three bits shares a run after each number of divisions, and the runs get smaller."""
+    monkeypatch.setattr(S, "PART", 4)
+    rng = random.Random(5)
+    fps = sorted({sum(1 << b for b in rng.sample(range(13), rng.randint(0, 4))) for _ in range(120)})
+    table = spark.createDataFrame([(f, "x", 1) for f in fps], "fp long, fixed string, run long")
+    near = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3}
+    for levels in (1, 2, 3):
+        monkeypatch.setattr(S, "LEVELS", levels)
+        runs: dict = {}
+        for part in S._divided(table, {"x": list(range(13))}, 3, len(fps)):
+            for r in part.collect():
+                runs.setdefault(r["run"], set()).add(r["fp"])
+        assert near <= {(a, b) for members in runs.values() for a in members for b in members if a < b}
+
+
 def test_plan_adds_up():
     both = np.eye(64) * 10 + 5
     for m in (1, 2, 3):
