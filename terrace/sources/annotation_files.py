@@ -3,7 +3,7 @@
     load(spark, root, suffixes="json,txt")
 
 Rows are (path, length, modified, text, error), one a file; formats are told and parsed by expressions (``objects``). A partition
-is a folder, or a share of the files of a large one: planning holds a number a folder, and tasks list their own folder again. Conditions
+is some small folders, or a share of the files of a large one: planning holds a number a folder, and tasks list their own folders again. Conditions
 on path or length reach the listing where ``spark.sql.python.filterPushdown.enabled`` is set (``load`` asks the session; Spark
 refuses a reader that takes conditions otherwise): folders that can't hold a match get no
 task, other files aren't opened. A file that can't be read, isn't UTF-8 or is larger than ``max_file_bytes`` (64 MB; what a
@@ -37,13 +37,15 @@ SCHEMA = "path string, length long, modified timestamp, text string, error strin
 _ARROW = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("text", pa.string()), ("error", pa.string())])
 #: Bytes of a row batch.
 BATCH = 8 << 20
+#: Files that are worth a task of their own, however small they are.
+FILES = 1000
 
 
 @dataclass
 class Share(InputPartition):
-    """Of the files of a folder those whose name falls into share ``k`` of ``n``, changed after ``start`` and up to ``end`` (ns)."""
+    """Of the files of some folders those whose name falls into share ``k`` of ``n``, changed after ``start`` and up to ``end`` (ns)."""
 
-    folder: str
+    folders: tuple[str, ...]
     k: int
     n: int
     start: int
@@ -99,15 +101,22 @@ class _Files:
 
     def shares(self, start: int, end: int) -> Iterator[Share]:
         """Partitions of the folders that have files in question; planning keeps no file."""
-        left = [self.root]
+        left, small, files_of_small, bytes_of_small = [self.root], [], 0, 0
         while left:
             here = left.pop()
             folders, files = self.folder(here)
             left += [f for f in folders if self.keeps(f, None)]
             size = [n for path, n, t in files if start < t <= end and self.keeps(path, n)]
-            if size:
-                n = max(1, -(-sum(size) // self.group))
-                yield from (Share(here, k, n, start, end) for k in range(n))
+            n = max(-(-sum(size) // self.group), -(-len(size) // FILES))
+            if n > 1:
+                yield from (Share((here,), k, n, start, end) for k in range(n))
+            elif size:
+                small, files_of_small, bytes_of_small = [*small, here], files_of_small + len(size), bytes_of_small + sum(size)
+                if files_of_small >= FILES or bytes_of_small >= self.group:
+                    yield Share(tuple(small), 0, 1, start, end)
+                    small, files_of_small, bytes_of_small = [], 0, 0
+        if small:
+            yield Share(tuple(small), 0, 1, start, end)
 
     def latest(self) -> int:
         """The last time of change among the files that are old enough."""
@@ -120,7 +129,7 @@ class _Files:
 
     def read_share(self, share: Share) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for path, length, changed in sorted(self.folder(share.folder)[1]):
+        for path, length, changed in (f for folder in share.folders for f in sorted(self.folder(folder)[1])):
             if not share.start < changed <= share.end or zlib.crc32(path.encode()) % share.n != share.k or not self.keeps(path, length):
                 continue
             text, error = None, None
@@ -147,7 +156,7 @@ class _Files:
 class _Reader(_Files, DataSourceReader):
     def partitions(self) -> list[Share]:
         # a reader without partitions would be asked to read all at once
-        return list(self.shares(-1, 1 << 62)) or [Share(self.root, 0, 1, -1, -1)]
+        return list(self.shares(-1, 1 << 62)) or [Share((self.root,), 0, 1, -1, -1)]
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         return self.read_share(partition)
@@ -171,7 +180,7 @@ class _StreamReader(_Files, DataSourceStreamReader):
         return {"changed": self.latest() or -1}
 
     def partitions(self, start: dict, end: dict) -> list[Share]:
-        return list(self.shares(start["changed"], end["changed"])) or [Share(self.root, 0, 1, -1, -1)]
+        return list(self.shares(start["changed"], end["changed"])) or [Share((self.root,), 0, 1, -1, -1)]
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         return self.read_share(partition)

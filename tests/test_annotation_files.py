@@ -72,9 +72,11 @@ def test_conditions_reach_the_listing(spark, root):
     def folders(*conditions):
         reader = annotation_files._ConditionReader({"path": str(root), "group_bytes": "300"})
         left = list(reader.pushFilters(list(conditions)))
-        return left, {s.folder[len(str(root)) :] for s in reader.partitions()}, reader
+        return left, {f[len(str(root)) :] for s in reader.partitions() for f in s.folders}, reader
 
     assert folders()[1] == {"/ann", "/bob", "/bob/deep"}
+    plain = annotation_files._Reader({"path": str(root), "group_bytes": "300"}).partitions()
+    assert len(plain) > 3 and len(annotation_files._Reader({"path": str(root)}).partitions()) == 1
     left, found, reader = folders(StringStartsWith(("path",), f"{root}/bob/deep/c"))
     assert left == [] and found == {"/bob/deep"}
     assert sum(b.num_rows for s in reader.partitions() for b in reader.read(s)) == 1
