@@ -11,4 +11,4 @@ def test_query_equals_sql(name, same):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 14))
