@@ -1,56 +1,155 @@
 """Line deduplication by a suffix array over line-ID sequences, built by distributed prefix doubling.
 
-A line's ID is the rank of its 128-bit hash among all lines' hashes. Ranks of runs of 2k lines come from pairs of ranks of runs
-of k lines: the distinct pairs are sorted in ranges over all tasks and numbered in order, so no task sees them all.
-A run that occurs once can't be part of a longer repeated run, so its place drops out, and with it most places.
+A line's ID is the rank of its 128-bit hash among the hashes of lines that occur more than once. Ranks of runs of 2k lines come
+from pairs of ranks of runs of k lines: the distinct pairs are sorted in ranges over all tasks and numbered in order, so no
+task sees them all. A line that occurs once, or a document's end, ends every run that reaches it. Doubling goes on until
+a round tells no more suffixes apart; the last ranks are the suffix array, in which suffixes that stay equal share a rank.
 
-Doubling ends at ``min_lines``: suffixes that agree on so many lines are neighbours in the suffix array and form an
-LCP interval. In each interval the first place in document order stays and the others are later copies. The union of a
-document's later copies are its maximal repeated runs: a longer run is covered by the runs of ``min_lines`` in it, so
-deeper intervals would delete nothing more. A run doesn't reach over the end of a document. With ``lone``, later copies of
-single lines that hold a word go too; a repeated blank line goes only as part of a run.
+The longest common prefix of two neighbours in that array is added up from the ranks of all rounds, longest step first. A
+place's maximal repeated run is the longest prefix it shares with a neighbour, or all of it where its rank has other places.
+
+Suffixes that agree on ``min_lines`` lines form an LCP interval. In each the first place in document order stays and the
+others are later copies. Every longer maximal run is the union of its runs of that length, so deeper intervals
+delete nothing more; they tell how long a document's longest repeated run is and how often it occurs. With ``lone``, later
+copies of single lines that hold a word go too; a repeated blank line goes only as part of a run.
 
 Documents are in order of their id, null ids last. Defined cases: null and empty text is one empty line (no run); rows
 with one id and one text are one document, and each gets its result; in documents with one id and different texts
-the text's hash decides which is first; overlapping copies inside a document count like any; an empty table gives an
-empty result; clashing extra columns are not read.
+the text's hash decides which is first; overlapping copies inside a document count like any; of several longest runs in a
+document the earliest counts; an empty table gives an empty result; clashing extra columns are not read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, discard, written
 
 MIN_LINES = 2
 LAST = (1 << 63) - 1
+#: Stands for the rank of what follows a run that ends.
+END = -1
+KEY = ["doc", "tag", "at"]
+
+
+@dataclass
+class Runs:
+    """Places of repeated lines with the ranks of their runs.
+
+    ``single(doc, tag, at, full)``: every place of a repeated line, and whether it holds a word. ``levels[k](doc, tag, at,
+    rank, n, ahead)``: rank of the 2^k lines from a place, places of that rank, repeated lines ahead. The last is the suffix array.
+    """
+
+    single: DataFrame
+    levels: list[DataFrame]
+
+    def discard(self) -> None:
+        discard(self.single, *self.levels)
 
 
-def ranked(places: DataFrame, a: str, b: str, name: str, *more: str) -> DataFrame:
-    """``places(doc, tag, at, a, b, *more)`` whose pair (a, b) occurs more than once, as (doc, tag, at, rank, *more); ranks keep the order."""
-    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = places.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(a, b)
-    codes = pairs.repartitionByRange(n, a, b).sortWithinPartitions(a, b).withColumn("rank", F.monotonically_increasing_id())
-    return written(places.join(written(codes, f"codes-{name}"), [a, b]).select("doc", "tag", "at", "rank", *more), f"ranks-{name}")
+def ranked(pairs: DataFrame, name: str, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Codes (a, b, n, rank) of the pairs (a, b) that occur ``least`` times, in their order; and ``pairs`` with n and rank in their place."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    codes = written(counts.repartitionByRange(n, "a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id()), f"codes-{name}")
+    return codes, pairs.join(codes, ["a", "b"]).drop("a", "b")
 
 
-def runs(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
-    """(doc, tag, at, rank): places where a run of ``min_lines`` lines begins that begins elsewhere too; and such single lines with a word."""
+def runs(docs: DataFrame, min_lines: int = MIN_LINES) -> Runs:
+    """The suffix array, and the ranks it was doubled from. Places in less than ``min_lines`` repeated lines on end are left out."""
     line = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
     line = line.select("doc", "tag", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     places = line.select("doc", "tag", "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.col("line").rlike(WORD).alias("full"))
     places = written(places.distinct(), "places")  # rows with one id and one text are one document
-    single = ranked(places, "a", "b", "1", "full")
-    known, length = single.drop("full"), 1
-    while length < min_lines:
-        step = min(length, min_lines - length)
-        after = known.select("doc", "tag", (F.col("at") - step).alias("at"), F.col("rank").alias("b"))
-        both = known.withColumnRenamed("rank", "a").join(after, ["doc", "tag", "at"])
-        length += step
-        known = ranked(both, "a", "b", str(length))
-    return known, single.where("full").drop("full")
+    single = written(ranked(places, "1", 2)[1], "ranks-1")
+    discard(places)
+    stretch = W.partitionBy("doc", "tag", "island")
+    island = single.withColumn("island", F.col("at") - F.row_number().over(W.partitionBy("doc", "tag").orderBy("at")))
+    island = island.withColumn("size", F.count("*").over(stretch)).withColumn("ahead", F.max("at").over(stretch) - F.col("at") + 1)
+    levels = [written(island.where(F.col("size") >= min_lines).select(*KEY, "rank", "n", "ahead"), "level-0")]
+    told = levels[0].select("rank").distinct().count()
+    while True:
+        step = 1 << (len(levels) - 1)
+        after = levels[-1].select("doc", "tag", (F.col("at") - step).alias("at"), F.col("rank").alias("b"))
+        pairs = levels[-1].select(*KEY, F.col("rank").alias("a"), "ahead").join(after, KEY, "left")
+        pairs = written(pairs.withColumn("b", F.when(F.col("ahead") > step, F.col("b")).otherwise(END)), "pairs")
+        codes, level = ranked(pairs, str(2 * step))
+        now = codes.count()
+        if now > told:
+            levels.append(written(level.select(*KEY, "rank", "n", "ahead"), f"level-{len(levels)}"))
+        discard(codes, pairs)
+        if now == told:
+            return Runs(single, levels)
+        told = now
+
+
+def interval(found: Runs, length: int) -> DataFrame:
+    """(doc, tag, at, rank): places in LCP intervals of ``length`` lines, ``rank`` telling intervals apart."""
+    k = min(length.bit_length() - 1, len(found.levels) - 1)
+    level, rest = found.levels[k].where(F.col("ahead") >= length).where("n > 1"), length - (1 << k)
+    if rest == 0 or k == len(found.levels) - 1:  # at the last level equal ranks stay equal
+        return level.select(*KEY, F.struct("rank").alias("rank"))
+    after = found.levels[k].select("doc", "tag", (F.col("at") - rest).alias("at"), F.col("rank").alias("b"))
+    return level.join(after, KEY).select(*KEY, F.struct("rank", "b").alias("rank"))
+
+
+def neighbours(found: Runs) -> DataFrame:
+    """(doc, tag, at, n, next, common): the first place of each rank of the suffix array, the next rank's (doc, tag, at, n), their common lines.
+
+    Only where one of both ranks has a single place; the runs of others are known from their equals.
+    """
+    sa = found.levels[-1].groupBy("rank", "n").agg(F.min(F.struct(*KEY)).alias("p"))
+    own = W.partitionBy(F.shiftright("rank", 33)).orderBy("rank")  # a sorted range
+    sa = written(sa.withColumn("next", F.lead(F.struct("p", "n")).over(own)), "suffixes")
+    heads = sa.groupBy(F.shiftright("rank", 33).alias("range")).agg(F.min_by(F.struct("p", "n"), "rank").alias("head"))
+    heads = heads.select(F.lag("range").over(W.orderBy("range")).alias("range"), "head")  # one row a range
+    pairs = sa.join(F.broadcast(heads), (F.shiftright("rank", 33) == F.col("range")) & F.col("next").isNull(), "left")
+    pairs = pairs.select("p", "n", F.coalesce("next", "head").alias("next")).where("next IS NOT NULL AND (n = 1 OR next.n = 1)")
+    pairs = written(pairs.select("p.*", "n", F.col("next.p").alias("q"), F.col("next.n").alias("next_n"), F.lit(0).alias("common")), "common")
+    discard(sa)
+    for k in range(len(found.levels) - 2, -1, -1):
+        level = found.levels[k].select("doc", "tag", "at", "rank")
+        p = level.select(F.struct(*KEY).alias("p"), F.col("rank").alias("p_rank"))
+        q = level.select(F.struct(*KEY).alias("r"), F.col("rank").alias("q_rank"))
+        here = F.struct("doc", "tag", (F.col("at") + F.col("common")).alias("at"))
+        there = F.struct("q.doc", "q.tag", (F.col("q.at") + F.col("common")).alias("at"))
+        both = pairs.join(p, here == F.col("p"), "left").join(q, there == F.col("r"), "left")
+        same = F.when(F.col("p_rank") == F.col("q_rank"), 1 << k).otherwise(0)
+        before, pairs = pairs, written(both.select(*KEY, "n", "q", "next_n", (F.col("common") + same).alias("common")), "common")
+        discard(before)
+    return pairs
+
+
+def longest(found: Runs, min_lines: int = MIN_LINES) -> DataFrame:
+    """(doc, tag, longest_run, run_copies): lines of a document's longest repeated run, and places where that run begins."""
+    pairs = neighbours(found)
+    each = found.levels[-1].where("n > 1").select(*KEY, F.col("ahead").alias("lines"))
+    each = each.union(pairs.where("n = 1").select(*KEY, F.col("common").alias("lines")))
+    each = each.union(pairs.where("next_n = 1").select("q.*", F.col("common").alias("lines"))).where(F.col("lines") >= min_lines)
+    top = each.groupBy("doc", "tag").agg(F.max(F.struct("lines", (-F.col("at")).alias("back"))).alias("top"))
+    top = top.select("doc", "tag", F.col("top.lines").alias("lines"), (-F.col("top.back")).alias("at"))
+    last = len(found.levels) - 1
+    top = top.withColumn("k", F.least(F.length(F.bin("lines")) - 1, F.lit(last)))
+    top = top.withColumn("rest", F.when(F.col("k") < last, F.col("lines") - F.expr("shiftleft(1, k)")).otherwise(0))
+    ladder = reduce(DataFrame.union, [t.select(F.lit(k).alias("k"), *KEY, "rank", "n") for k, t in enumerate(found.levels)])
+    top = written(top.join(ladder, ["k", *KEY]), "top")
+    whole = top.where("rest = 0").select("doc", "tag", "lines", "n")
+    # the other runs are two overlapping runs of 2^k lines: each interval and length is looked through once, whoever asks
+    end = ladder.select("k", "doc", "tag", "at", F.col("rank").alias("end"))
+    asked = top.where("rest > 0")
+    places = ladder.drop("n").join(asked.select("k", "rank", "rest").distinct(), ["k", "rank"])
+    places = places.withColumn("at", F.col("at") + F.col("rest")).join(end, ["k", *KEY])
+    counts = places.groupBy("k", "rank", "rest", "end").agg(F.count("*").alias("n"))
+    asked = asked.drop("n").withColumn("at", F.col("at") + F.col("rest")).join(end, ["k", *KEY])
+    part = asked.join(counts, ["k", "rank", "rest", "end"]).select("doc", "tag", "lines", "n")
+    out = written(whole.union(part).select("doc", "tag", F.col("lines").cast("long").alias("longest_run"), F.col("n").alias("run_copies")), "longest")
+    discard(top, pairs)
+    return out
 
 
 def later(found: DataFrame, length: int) -> DataFrame:
@@ -62,18 +161,21 @@ def later(found: DataFrame, length: int) -> DataFrame:
 
 
 def removals(docs: DataFrame, min_lines: int = MIN_LINES, lone: bool = False) -> DataFrame:
-    """(doc, tag, spans): for each document that loses lines its maximal runs (lo, hi) of later copies, in order."""
-    found, single = runs(docs, min_lines)
-    gone = later(found, min_lines)
-    gone = (gone.union(later(single, 1)) if lone else gone).distinct()
+    """(doc, tag, spans, longest_run, run_copies): for each document with repeated runs its maximal runs (lo, hi) of later copies, in order, null if none."""
+    found = runs(docs, min_lines)
+    gone = later(interval(found, min_lines), min_lines)
+    gone = (gone.union(later(found.single.where("full"), 1)) if lone else gone).distinct()
     island = F.col("at") - F.row_number().over(W.partitionBy("doc", "tag").orderBy("at"))
     spans = gone.withColumn("island", island).groupBy("doc", "tag", "island").agg(F.min("at").alias("lo"), (F.max("at") + 1).alias("hi"))
-    return spans.groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    spans = written(spans.groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "spans")
+    out = spans.join(longest(found, min_lines), ["doc", "tag"], "full")
+    found.discard()
+    return out
 
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, lone: bool = False) -> DataFrame:
-    """``docs`` with text less its later copies, and n_lines and n_removed beside it."""
-    cut = removals(docs, min_lines, lone).select(F.col("doc").alias("cut doc"), F.col("tag").alias("cut tag"), F.col("spans").alias("cut spans"))
+    """``docs`` with text less its later copies, and n_lines, n_removed, longest_run and run_copies beside it (longs; 0 where nothing repeats)."""
+    cut = removals(docs, min_lines, lone).select(F.col("doc").alias("cut doc"), F.col("tag").alias("cut tag"), F.col("spans").alias("cut spans"), F.col("longest_run").alias("cut run"), F.col("run_copies").alias("cut copies"))
     keyed = docs.withColumn("row doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("row tag", F.xxhash64("text"))
     out = keyed.join(cut, (F.col("row doc") == F.col("cut doc")) & (F.col("row tag") == F.col("cut tag")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -84,10 +186,11 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, lone: bool = False
     out = out.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_removed", F.coalesce(removed, F.lit(0).cast("long")))
     out = out.withColumn("lines of text", F.when(F.col("cut spans").isNotNull(), lines))
     out = out.withColumn("text", F.when(F.col("cut spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    more = [F.coalesce(f"cut {c}", F.lit(0).cast("long")).alias(name) for c, name in (("run", "longest_run"), ("copies", "run_copies"))]
+    return out.select(*docs.columns, "n_lines", "n_removed", *more)
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, lone: bool = False) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_sha256) for each row; the digest is of the kept lines joined by line feeds."""
+    """(doc_id, n_lines, n_removed, kept_sha256, longest_run, run_copies) for each row; the digest is of the kept lines joined by line feeds."""
     out = deduplicated(docs.select("doc_id", "text"), min_lines, lone)
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), "longest_run", "run_copies")
