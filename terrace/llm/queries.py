@@ -19,6 +19,7 @@ from .secrets import secret_scan
 from .simhash import near_duplicates
 from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
+from .suffix_array import longest_runs
 from .token_files import round_trip
 from .toxicity import toxicity
 
@@ -39,6 +40,10 @@ def op3_line_dedup_lone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read_table(spark, sf_dir, "documents"), lone=True)
 
 
+def op3_longest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longest_runs(read_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -85,7 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def variants() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Further queries of the same operators, beside the one of each."""
-    return {f.__name__: f for f in (op3_line_dedup_lone,)}
+    return {f.__name__: f for f in (op3_line_dedup_lone, op3_longest_runs)}
 
 
 def _apportion(name: str, parties: str, within: str, key: str) -> str:
@@ -189,34 +194,35 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN c USING (text_row)
 """
+SQL["op3_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, p, l[p] || chr(10) || l[p + 1] AS k FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS p FROM d)),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS c FROM r) WHERE c > 1),
+g AS (SELECT doc_id, list(DISTINCT p + o) AS gone FROM f, range(2) t(o) GROUP BY doc_id)
+SELECT doc_id, len(l) AS n_lines, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(gone, i)) END, chr(10))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
 _LONGEST = r"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 w AS (SELECT doc_id, p, dense_rank() OVER (ORDER BY l[p]) AS c FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d)),
 grow AS (SELECT doc_id, p, 1 AS n, c AS k, m FROM (SELECT *, count(*) OVER (PARTITION BY c) AS m FROM w) WHERE m > 1
          UNION ALL SELECT doc_id, p, n, k, m FROM (
              SELECT grow.doc_id, grow.p, grow.n + 1 AS n, dense_rank() OVER (ORDER BY grow.k, w.c) AS k, count(*) OVER (PARTITION BY grow.k, w.c) AS m
              FROM grow JOIN w ON w.doc_id = grow.doc_id AND w.p = grow.p + grow.n) WHERE m > 1),
-top AS (SELECT doc_id, n AS longest_run, m AS run_copies FROM grow WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) = 1),"""
-SQL["op3_line_dedup"] = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),{_LONGEST}
-r AS (SELECT doc_id, p, l[p] || chr(10) || l[p + 1] AS k FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS p FROM d)),
-f AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS c FROM r) WHERE c > 1),
-g AS (SELECT doc_id, list(DISTINCT p + o) AS gone FROM f, range(2) t(o) GROUP BY doc_id)
-SELECT doc_id, len(l) AS n_lines, coalesce(len(gone), 0) AS n_removed,
-       sha256(array_to_string(CASE WHEN gone IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(gone, i)) END, chr(10))) AS kept_sha256,
-       coalesce(longest_run, 0) AS longest_run, coalesce(run_copies, 0) AS run_copies
-FROM d LEFT JOIN g USING (doc_id) LEFT JOIN top USING (doc_id)
+top AS (SELECT doc_id, n AS longest_run, m AS run_copies FROM grow WHERE n > 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) = 1)
+SELECT doc_id, len(l) AS n_lines, coalesce(longest_run, 0) AS longest_run, coalesce(run_copies, 0) AS run_copies FROM d LEFT JOIN top USING (doc_id)
 """
-VARIANT_SQL = {"op3_line_dedup_lone": rf"""
-WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),{_LONGEST}
+VARIANT_SQL = {"op3_line_dedup_lone": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 r AS (SELECT doc_id, p, 2 AS n, l[p] || chr(10) || l[p + 1] AS k FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS p FROM d)
       UNION ALL SELECT doc_id, p, 1, l[p] FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d) WHERE regexp_matches(l[p], '[^\x20\x09-\x0D]')),
 f AS (SELECT doc_id, p, n FROM (SELECT doc_id, p, n, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, p) AS c FROM r) WHERE c > 1),
 g AS (SELECT doc_id, list(DISTINCT p + o) AS gone FROM f, range(2) t(o) WHERE o < n GROUP BY doc_id)
 SELECT doc_id, len(l) AS n_lines, coalesce(len(gone), 0) AS n_removed,
-       sha256(array_to_string(CASE WHEN gone IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(gone, i)) END, chr(10))) AS kept_sha256,
-       coalesce(longest_run, 0) AS longest_run, coalesce(run_copies, 0) AS run_copies
-FROM d LEFT JOIN g USING (doc_id) LEFT JOIN top USING (doc_id)
-"""}
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(gone, i)) END, chr(10))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+""", "op3_longest_runs": _LONGEST}
 
 
 def _crc32(text: str) -> str:

@@ -13,6 +13,7 @@ from terrace.llm import exact_dedup as E
 from terrace.llm import line_dedup as L
 from terrace.llm import simhash as S
 from terrace.llm import substring_dedup as B
+from terrace.llm import suffix_array as A
 from terrace.llm.common import components
 
 
@@ -200,13 +201,8 @@ def test_super_kmers_cover_each_window_once():
 
 
 def plain_lines(source, least):
-    """Every run of every length, by plain counting."""
-    seen, out, begins = {}, {}, Counter()
-    unique = {((r["doc_id"] if r["doc_id"] is not None else L.LAST), r["text"] or "", r["doc_id"], r["text"]): r for r in source}
-    for key in unique:
-        lines = key[1].split("\n")
-        begins.update(tuple(lines[i:j]) for i in range(len(lines)) for j in range(i + least, len(lines) + 1))
-    for key, r in sorted(unique.items(), key=lambda x: x[0][0]):
+    seen, out = {}, {}
+    for key, r in sorted({((r["doc_id"] if r["doc_id"] is not None else L.LAST), r["text"] or "", r["doc_id"], r["text"]): r for r in source}.items(), key=lambda x: x[0][0]):
         lines = key[1].split("\n")
         gone = set()
         for i in range(len(lines) - least + 1):
@@ -214,25 +210,14 @@ def plain_lines(source, least):
             if run in seen:
                 gone.update(range(i, i + least))
             seen.setdefault(run, key[0])
-        out[key[2], key[3]] = (len(lines), len(gone), hashlib.sha256("\n".join(x for i, x in enumerate(lines) if i not in gone).encode()).hexdigest(), *longest_run(lines, begins, least))
+        out[key[2], key[3]] = (len(lines), len(gone), hashlib.sha256("\n".join(x for i, x in enumerate(lines) if i not in gone).encode()).hexdigest())
     return sorted(repr((r["doc_id"], *out[r["doc_id"], r["text"]])) for r in source)
 
 
-def longest_run(lines, begins, least):
-    for n in range(len(lines), least - 1, -1):
-        for i in range(len(lines) - n + 1):
-            if begins[tuple(lines[i : i + n])] > 1:
-                return n, begins[tuple(lines[i : i + n])]
-    return 0, 0
-
-
 @pytest.mark.parametrize("least", [1, 2, 3, 8])
 def test_lines(spark, extra, none, rows, least):
     rng = random.Random(least)
-    data = [(i, "\n".join(rng.choice("abcde") for _ in range(rng.randint(0, 9)))) for i in range(40)] + [(50, None), (51, ""), (None, "a\nb\nc\na\nb\nc"), (3000, "x\n" * 90), (3000, "x\n" * 90)]
-    data += [(60 + i, "\n".join(f"long {j}" for j in range(i, 40 - i % 7)) + "\n" + rng.choice("abc")) for i in range(12)] + [(90, "\n".join(["only here", "p", "q", "r", "s", "t"])), (91, "p\nq\nr\ns\nt\nelse"), (92, "o\np\nq\nr")]
-    # repeated lines on both sides of a line that occurs once
-    data += [(93, "u\nv\nonce 93\np\nq\nr\ns"), (94, "u\nv\nonce 94\np\nq\nonce\nr\ns\nt"), (95, "u\nv\nw\nonce 95\nq\nr\ns"), (96, "w\nu\nv\nw\n")]
+    data = [(i, "\n".join(rng.choice("abcde") for _ in range(rng.randint(0, 9)))) for i in range(40)] + [(50, None), (51, ""), (None, "a\nb\nc\na\nb\nc"), (3000, "x\n" * 300), (3000, "x\n" * 300)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     assert rows(L.line_dedup(docs, least)) == plain_lines(docs.collect(), least)
     if least == 2:
@@ -251,3 +236,32 @@ def test_lone_lines(spark, same):
     got = {r["doc_id"]: r["text"] for r in L.deduplicated(docs, lone=True).collect()}
     assert got == {1: data[0][1], 2: "d\ne\n\nf", 3: "x", 4: " ", 5: " \ng"}
     same(Q.variants()["op3_line_dedup_lone"], Q.oracle_sql()["op3_line_dedup_lone"])
+
+
+def plain_longest(source, least):
+    """Every run of every length, by plain counting."""
+    texts = {(r["doc_id"], r["text"]): (r["text"] or "").split("\n") for r in source}
+    begins = Counter(tuple(x[i:j]) for x in texts.values() for i in range(len(x)) for j in range(i + least, len(x) + 1))
+
+    def top(x):
+        places = ((n, i) for n in range(len(x), least - 1, -1) for i in range(len(x) - n + 1))
+        return next(((n, begins[tuple(x[i : i + n])]) for n, i in places if begins[tuple(x[i : i + n])] > 1), (0, 0))
+
+    out = {k: (k[0], len(x), *top(x)) for k, x in texts.items()}
+    return sorted(repr(out[r["doc_id"], r["text"]]) for r in source)
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_longest_runs(spark, none, rows, same, least):
+    rng = random.Random(least)
+    data = [(i, "\n".join(rng.choice("abcde") for _ in range(rng.randint(0, 9)))) for i in range(40)] + [(50, None), (51, ""), (None, "a\nb\nc\na\nb\nc"), (52, "x\n" * 60), (52, "x\n" * 60)]
+    data += [(60 + i, "\n".join(f"long {j}" for j in range(i, 40 - i % 7)) + "\n" + rng.choice("abc")) for i in range(12)]
+    # repeated lines on both sides of a line that occurs once
+    data += [(93, "u\nv\nonce 93\np\nq\nr\ns"), (94, "u\nv\nonce 94\np\nq\nonce\nr\ns\nt"), (95, "u\nv\nw\nonce 95\nq\nr\ns"), (96, "w\nu\nv\nw\n")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(A.longest_runs(docs, least)) == plain_longest(docs.collect(), least)
+    if least == 2:
+        from terrace.llm import queries as Q
+
+        assert A.longest_runs(none).count() == 0
+        same(Q.variants()["op3_longest_runs"], Q.oracle_sql()["op3_longest_runs"])
