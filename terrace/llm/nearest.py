@@ -9,7 +9,8 @@ Vectors are raised to one length by one more component (queries have zero there)
 the least distance. ``fit`` takes the width from a sample of at most ``4 * SAMPLE`` rows: the share of all places within
 which ``reach`` of the sample's true neighbours lie on some curve. The index itself holds every row, and the work of a
 query is ``2 * curves * share`` of a full comparison: small where vectors have structure, close to one where they have
-none (independent components in 64 dimensions).
+none (independent components in 64 dimensions). A task searches a stretch of neighbouring blocks and merges what each query
+finds in them, so that the rows found follow the queries and the tasks, not the blocks.
 
 Of rows with the same vector only the ``k + 1`` of least id under each key and range go into blocks: any further one
 would lose each tie against ``k`` of them, so no result is lost and copies don't fill the windows.
@@ -42,6 +43,8 @@ SAMPLE, TRIALS = 8192, 256
 REACH = 0.96
 #: Curves that share a sort: what lies on disk at once follows it.
 AT_ONCE = 3
+#: Rows found that a task holds; beyond them they are merged, and given out if most are left.
+HELD = 1 << 20
 OUT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -227,11 +230,31 @@ def best_of(queries: np.ndarray, asks: np.ndarray, rows: np.ndarray, ids: np.nda
     return queries[q[won]], ids[r[won]], exact[won]
 
 
+def leading(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of what was found in several blocks, ids once at their best score."""
+    order = np.lexsort((-scores, ids, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    once = np.append(True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1]))[: len(q)]
+    q, ids, scores = q[once], ids[once], scores[once]
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    won = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[won], ids[won], scores[won]
+
+
 def _searched(blocks: DataFrame, dims: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each query's best rows of each block it meets."""
+    """(query_id, vec_id, score): each query's best rows of the blocks it meets in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, ids = None, [], []
+        held, size = [], 0
+
+        def merged() -> list[np.ndarray]:
+            return list(leading(*(np.concatenate([h[i] for h in held]) for i in range(3)), k))
+
+        def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["query_id", "vec_id", "score"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -249,8 +272,16 @@ def _searched(blocks: DataFrame, dims: int, k: int) -> DataFrame:
                     if len(rows) > 1:
                         rows, ids = [np.concatenate(rows)], [np.concatenate(ids)]
                     for i in range(0, len(own), 512):
-                        found = best_of(own[i : i + 512], x[i : i + 512], rows[0], ids[0], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["query_id", "vec_id", "score"])
+                        held.append(best_of(own[i : i + 512], x[i : i + 512], rows[0], ids[0], k))
+                        size += len(held[-1][0])
+                        if size > HELD:
+                            held = [merged()]
+                            size = len(held[0][0])
+                            if 2 * size > HELD:
+                                yield batch_of(held[0])
+                                held, size = [], 0
+        if size:
+            yield batch_of(merged())
 
     return blocks.mapInArrow(lean(run), "query_id long, vec_id long, score double")
 
@@ -275,7 +306,7 @@ def nearest(
         share = share_of_places(index, taken, max(1, -(-k * len(taken) // n)), reach)
     width = min(n, max(int(np.ceil(share * n)), 2 * k))
 
-    found = []
+    found, parts = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
     for at in range(0, curves, AT_ONCE):
         table = written(_numbered(_keyed(rows, index, list(range(at, min(at + AT_ONCE, curves))), every), k + 1), "nearest-places")
         sizes = sorted(map(tuple, table.groupBy("curve", "part").agg(F.count_if(F.col("kind") == 0)).collect()))  # one row a curve and range
@@ -288,7 +319,8 @@ def nearest(
         placed = placed.withColumn("place", F.least(F.col("start") + F.col("idx"), ends - 1))
         low, high = F.greatest(F.col("place") - width, F.lit(0)), F.least(F.col("place") + width, ends - 1)
         met = F.when(F.col("kind") == 0, F.array(F.expr(f"place div {block}"))).otherwise(F.sequence(F.floor(low / block), F.floor(high / block)))
-        blocks = placed.select("curve", F.explode(met).alias("block"), "kind", "vec_id", "vector").repartition("curve", "block").sortWithinPartitions("curve", "block", "kind", "vec_id")
+        blocks = placed.select("curve", F.explode(met).alias("block"), "kind", "vec_id", "vector")
+        blocks = blocks.repartitionByRange(parts, "curve", "block").sortWithinPartitions("curve", "block", "kind", "vec_id")
         found.append(written(_searched(blocks, dims, k), "nearest-found"))
         discard(table)
     out = found[0]

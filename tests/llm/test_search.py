@@ -76,6 +76,23 @@ def test_nearest_small_tables_are_exact(spark):
     assert by_query(N.nearest(df.where("vec_id = 40"))) == {}
 
 
+@pytest.mark.parametrize("most", [1 << 20, 60])
+def test_what_blocks_find_is_merged_in_their_task(spark, monkeypatch, most):
+    monkeypatch.setattr(N, "HELD", most)
+    rng = np.random.default_rng(5)
+    data = [(0, b, 0, 1000 * b + i, rng.normal(size=4).tolist()) for b in range(10) for i in range(40)]
+    data += [(0, b, 0, 7, [0.5, 0.5, 0.5, 0.5]) for b in range(10)]  # found in every block
+    asks = [(0, b, 1, q, [1.0, 1.0, 1.0, float(q)]) for b in range(10) for q in (20, 40)]
+    df = spark.createDataFrame(data + asks, "curve int, block long, kind int, vec_id long, vector array<double>")
+    found = N._searched(df.coalesce(1).sortWithinPartitions("curve", "block", "kind", "vec_id"), 4, 5).collect()
+    if most > 60:
+        assert len(found) == 2 * 5  # not once a block
+    for q in (20, 40):
+        want = sorted({(-float(np.dot(v, [1.0, 1.0, 1.0, float(q)])), i) for _, _, _, i, v in data})[:5]
+        best = sorted({(-r["score"], r["vec_id"]) for r in found if r["query_id"] == q})[:5]
+        assert [i for _, i in best] == [i for _, i in want]
+
+
 def test_hilbert_steps_to_a_neighbour():
     cells = np.array(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1).T
     keys = N.hilbert(cells, 3)
