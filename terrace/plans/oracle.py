@@ -225,20 +225,31 @@ SELECT category_id, round(ap, 9) AS ap, round(ap50, 9) AS ap50, round(ap75, 9) A
 SQL["exclusion_histogram"] = f"SELECT reason, count(*) AS n FROM ({SQL['exclusion_reasons']}) GROUP BY reason"
 
 _CLASSES = SQL["ring_geometry_class"]
-_GEOMETRY = f"""ge AS (SELECT vec_id, 'a' || vec_id // 5 AS annotation, 'G-' || substr(sha256('a' || vec_id // 5), 1, 16) || '-' || (vec_id % 5 + 1) AS review_id, 'c' || (vec_id // 40 * 3 + vec_id // 5 % 8 // 3) AS content_sha256, CASE WHEN e.label % 2 = 0 THEN 'Tree' ELSE 'TreeGroup' END AS label, category, invalid,
+#: Contents of annotations: three annotations or two each, or as many as there are over forty contents.
+_FEW, _MANY = "vec_id // 40 * 3 + vec_id // 5 % 8 // 3", "vec_id // 5 % 40"
+
+
+def _geometry(content: str) -> str:
+    return f"""ge AS (SELECT vec_id, 'a' || vec_id // 5 AS annotation, 'G-' || substr(sha256('a' || vec_id // 5), 1, 16) || '-' || (vec_id % 5 + 1) AS review_id, 'c' || ({content}) AS content_sha256, CASE WHEN e.label % 2 = 0 THEN 'Tree' ELSE 'TreeGroup' END AS label, category, invalid,
   CASE WHEN n_crossings > 0 THEN 'complex/ambiguous' ELSE '' END AS assessment, CASE WHEN n_crossings > 0 THEN 'AMBIGUOUS' ELSE '' END AS severity,
   CASE WHEN category = 'A' AND NOT invalid THEN 'LIKELY_VALID_CLOSING_VERTEX' WHEN consecutive > 0 AND NOT invalid THEN 'SAFE_REMOVE_DUPLICATE_VERTEX' ELSE 'MANUAL_GEOMETRY_REPAIR' END AS recommended
   FROM ({_CLASSES}) JOIN embeddings e USING (vec_id) WHERE category <> '' OR invalid),
 gs AS (SELECT *, CASE WHEN recommended = 'SAFE_REMOVE_DUPLICATE_VERTEX' THEN 'AUTO_REPAIRED_DUPLICATE_VERTEX' ELSE 'UNRESOLVED' END AS review_status FROM ge)"""
-_CONFLICTS = """me AS (SELECT DISTINCT vec_id // 5 AS number, vec_id // 40 * 3 + vec_id // 5 % 8 // 3 AS content FROM embeddings WHERE (vec_id // 40 * 3 + vec_id // 5 % 8 // 3) % 4 = 0),
+
+
+def _conflicts(content: str) -> str:
+    return f"""me AS (SELECT DISTINCT vec_id // 5 AS number, {content} AS content FROM embeddings WHERE ({content}) % 4 = 0),
 nm AS (SELECT content, list_sort(list(DISTINCT number % 3)) = [0, 1] AS two FROM me GROUP BY content),
 co AS (SELECT 'C-c' || content || '-' || pair AS review_id, 'c' || content AS content_sha256, pair, CASE WHEN two THEN 'first two' ELSE 'Other' END AS section, 'a' || a AS annotation_a, 'p' || a % 3 AS annotator_a, 'a' || b AS annotation_b, 'p' || b % 3 AS annotator_b
   FROM (SELECT a.content, a.number AS a, b.number AS b, row_number() OVER (PARTITION BY a.content ORDER BY a.number, b.number) AS pair FROM me a JOIN me b ON a.content = b.content AND a.number < b.number) JOIN nm USING (content))"""
+
+
+_GEOMETRY, _CONFLICTS = _geometry(_FEW), _conflicts(_FEW)
 _UNRESOLVED = """un AS (SELECT review_id, 'ANNOTATION_CONFLICT' AS issue_type, co.content_sha256, coalesce(severity, '') AS severity, coalesce(linked, '') AS linked
   FROM co LEFT JOIN (SELECT content_sha256, 'AMBIGUOUS' AS severity, string_agg(review_id, ';' ORDER BY review_id) AS linked FROM gs WHERE severity <> '' GROUP BY 1) USING (content_sha256)
   UNION ALL SELECT review_id, 'GEOMETRY', content_sha256, severity, '' FROM gs WHERE review_status = 'UNRESOLVED' AND content_sha256 NOT IN (SELECT content_sha256 FROM co))"""
 SQL |= {
-    "review_conflict_rows": f"WITH {_CONFLICTS} SELECT * FROM co",
+    "review_conflict_rows": f"WITH {_conflicts(_MANY)} SELECT * FROM co",
     "review_geometry_rows": f"WITH {_GEOMETRY} SELECT review_id, content_sha256, label, category, invalid, assessment, recommended FROM ge",
     "review_overlaps": f"""WITH {_GEOMETRY}, {_CONFLICTS}, la AS (SELECT * FROM co QUALIFY row_number() OVER (PARTITION BY content_sha256 ORDER BY pair DESC) = 1),
 o AS (SELECT gs.content_sha256, la.review_id AS conflict_review_id, gs.review_id AS geometry_review_id, review_status AS geometry_status, concat_ws(';', CASE WHEN annotation_a <> annotation AND annotation_a NOT IN (SELECT annotation FROM gs) THEN 'KEEP_A' END, CASE WHEN annotation_b <> annotation AND annotation_b NOT IN (SELECT annotation FROM gs) THEN 'KEEP_B' END) AS choices FROM gs JOIN la USING (content_sha256))

@@ -508,10 +508,10 @@ def milliseconds_per_item(spark, d):
 # -- review -------------------------------------------------------------------------------------------------------
 
 
-def _reviewed(spark, d):
+def _reviewed(spark, d, content=fixtures.FEW):
     """Conflict rows of every fourth content, a role these tables are given here, and rows of polygons, of which those that the
     geometry finds to mend themselves are repaired."""
-    shapes = fixtures.shapes(spark, d)
+    shapes = fixtures.shapes(spark, d, content)
     members = shapes.select("content_sha256", F.col("number").alias("place"), "annotation", F.concat(F.lit("p"), (F.col("number") % 3).cast("string")).alias("annotator")).distinct()
     conflicts = review.conflict_rows(members, members.where("CAST(substring(content_sha256, 2) AS INT) % 4 = 0"), {"first two": frozenset({"p0", "p1"})})
     geometry = review.geometry_rows(shapes)
@@ -520,7 +520,7 @@ def _reviewed(spark, d):
 
 @query
 def review_conflict_rows(spark, d):
-    return _reviewed(spark, d)[0].drop("issue_type", "recommended")
+    return _reviewed(spark, d, fixtures.MANY)[0].drop("issue_type", "recommended")
 
 
 @query

@@ -43,13 +43,17 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rings as shapes, five an annotation and three annotations or two a content; three of four rings get a fault: a closing
-    vertex, a vertex twice in a row, the first vertex once more after the third."""
+#: Contents of annotations by their number: three annotations or two each, or as many as there are over forty contents.
+FEW, MANY = "number div 8 * 3 + number % 8 div 3", "number % 40"
+
+
+def shapes(spark: SparkSession, sf_dir: str, content: str = FEW) -> DataFrame:
+    """Rings as shapes, five an annotation; three of four rings get a fault: a closing vertex, a vertex twice in a row, the first
+    vertex once more after the third."""
     faults = "CASE vec_id % 4 WHEN 0 THEN ring WHEN 1 THEN concat(ring, slice(ring, 1, 1)) WHEN 2 THEN concat(slice(ring, 1, 2), slice(ring, 2, 4)) ELSE concat(slice(ring, 1, 3), slice(ring, 1, 1), slice(ring, 4, 2)) END"
     rows = rings(spark, sf_dir).withColumn("number", F.expr("vec_id div 5"))
     name = F.concat(F.lit("a"), F.col("number").cast("string"))
     return rows.select(
-        "vec_id", "number", name.alias("annotation"), F.sha2(name, 256).alias("annotation_sha256"), F.concat(F.lit("c"), F.expr("number div 8 * 3 + number % 8 div 3").cast("string")).alias("content_sha256"),
+        "vec_id", "number", name.alias("annotation"), F.sha2(name, 256).alias("annotation_sha256"), F.concat(F.lit("c"), F.expr(content).cast("string")).alias("content_sha256"),
         (F.col("vec_id") % 5 + 1).cast("int").alias("shape_index"), F.when(F.col("label") % 2 == 0, "Tree").otherwise("TreeGroup").alias("label"), F.expr(faults).alias("polygon"), F.lit(1024).alias("width"), F.lit(1024).alias("height"),
     )

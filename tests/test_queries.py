@@ -29,3 +29,15 @@ def test_consecutive_vertices_of_all_users(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = sorted(map(tuple, QUERIES["remove_consecutive_vertices"](spark, str(tmp_path)).collect()))
     assert got == [(u, 3, 2, "1") for u in (7, 200, 5000)]
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """Vectors of 400 annotations: forty contents of ten."""
+    d = str(tmp_path_factory.mktemp("crowded"))
+    spark.range(2000).selectExpr("id AS vec_id", "CAST(id % 10 AS INT) AS label", "transform(sequence(0, 9), i -> CAST(sin(id * 10 + i) AS FLOAT)) AS embedding").write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+def test_conflict_rows_are_all_pairs_of_crowded_contents(spark, crowded):
+    assert QUERIES["review_conflict_rows"](spark, crowded).count() == 10 * 45
