@@ -251,7 +251,7 @@ _UNRESOLVED = """un AS (SELECT review_id, 'ANNOTATION_CONFLICT' AS issue_type, c
 SQL |= {
     "review_conflict_rows": f"WITH {_conflicts(_MANY)} SELECT * FROM co",
     "review_geometry_rows": f"WITH {_GEOMETRY} SELECT review_id, content_sha256, label, category, invalid, assessment, recommended FROM ge",
-    "review_overlaps": f"""WITH {_GEOMETRY}, {_CONFLICTS}, la AS (SELECT * FROM co QUALIFY row_number() OVER (PARTITION BY content_sha256 ORDER BY pair DESC) = 1),
+    "review_overlaps": f"""WITH {_geometry(_MANY)}, {_conflicts(_MANY)}, la AS (SELECT * FROM co QUALIFY row_number() OVER (PARTITION BY content_sha256 ORDER BY pair DESC) = 1),
 o AS (SELECT gs.content_sha256, la.review_id AS conflict_review_id, gs.review_id AS geometry_review_id, review_status AS geometry_status, concat_ws(';', CASE WHEN annotation_a <> annotation AND annotation_a NOT IN (SELECT annotation FROM gs) THEN 'KEEP_A' END, CASE WHEN annotation_b <> annotation AND annotation_b NOT IN (SELECT annotation FROM gs) THEN 'KEEP_B' END) AS choices FROM gs JOIN la USING (content_sha256))
 SELECT *, choices <> '' AS removes FROM o""",
     "review_unresolved": f"WITH {_GEOMETRY}, {_CONFLICTS}, {_UNRESOLVED} SELECT * FROM un",

@@ -531,7 +531,7 @@ def review_geometry_rows(spark, d):
 
 @query
 def review_overlaps(spark, d):
-    return review.overlap_rows(*_reviewed(spark, d))
+    return review.overlap_rows(*_reviewed(spark, d, fixtures.MANY))
 
 
 @query

@@ -41,3 +41,8 @@ def crowded(spark, tmp_path_factory):
 
 def test_conflict_rows_are_all_pairs_of_crowded_contents(spark, crowded):
     assert QUERIES["review_conflict_rows"](spark, crowded).count() == 10 * 45
+
+
+def test_overlaps_are_with_the_last_pair_of_crowded_contents(spark, crowded):
+    ids = {r[0] for r in QUERIES["review_overlaps"](spark, crowded).select("conflict_review_id").distinct().collect()}
+    assert ids == {f"C-c{c}-45" for c in range(0, 40, 4)}
