@@ -536,7 +536,7 @@ def review_overlaps(spark, d):
 
 @query
 def review_unresolved(spark, d):
-    return review.unresolved_rows(*_reviewed(spark, d))
+    return review.unresolved_rows(*_reviewed(spark, d, fixtures.MANY))
 
 
 @query

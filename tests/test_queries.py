@@ -46,3 +46,9 @@ def test_conflict_rows_are_all_pairs_of_crowded_contents(spark, crowded):
 def test_overlaps_are_with_the_last_pair_of_crowded_contents(spark, crowded):
     ids = {r[0] for r in QUERIES["review_overlaps"](spark, crowded).select("conflict_review_id").distinct().collect()}
     assert ids == {f"C-c{c}-45" for c in range(0, 40, 4)}
+
+
+def test_unresolved_rows_hold_all_pairs_of_crowded_contents(spark, crowded):
+    out = QUERIES["review_unresolved"](spark, crowded)
+    assert out.where("issue_type = 'ANNOTATION_CONFLICT'").count() == 10 * 45
+    assert out.where("issue_type = 'GEOMETRY'").count() > 0
