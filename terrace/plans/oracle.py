@@ -255,7 +255,7 @@ SQL |= {
 o AS (SELECT gs.content_sha256, la.review_id AS conflict_review_id, gs.review_id AS geometry_review_id, review_status AS geometry_status, concat_ws(';', CASE WHEN annotation_a <> annotation AND annotation_a NOT IN (SELECT annotation FROM gs) THEN 'KEEP_A' END, CASE WHEN annotation_b <> annotation AND annotation_b NOT IN (SELECT annotation FROM gs) THEN 'KEEP_B' END) AS choices FROM gs JOIN la USING (content_sha256))
 SELECT *, choices <> '' AS removes FROM o""",
     "review_unresolved": f"WITH {_geometry(_MANY)}, {_conflicts(_MANY)}, {_UNRESOLVED} SELECT * FROM un",
-    "review_workload": f"""WITH {_GEOMETRY}, {_CONFLICTS}, {_UNRESOLVED}, m AS (SELECT 'recommended REVIEW_BOTH' AS measure FROM co UNION ALL SELECT 'recommended ' || recommended FROM gs UNION ALL SELECT 'severity ' || severity FROM gs WHERE severity <> '' UNION ALL SELECT 'unresolved rows' FROM un
+    "review_workload": f"""WITH {_geometry(_MANY)}, {_conflicts(_MANY)}, {_UNRESOLVED}, m AS (SELECT 'recommended REVIEW_BOTH' AS measure FROM co UNION ALL SELECT 'recommended ' || recommended FROM gs UNION ALL SELECT 'severity ' || severity FROM gs WHERE severity <> '' UNION ALL SELECT 'unresolved rows' FROM un
   UNION ALL SELECT CASE category WHEN 'A' THEN 'closing vertex only' WHEN 'B' THEN 'consecutive duplicate' ELSE 'other repeated vertex' END FROM gs WHERE category <> '' UNION ALL SELECT 'repeated and invalid' FROM gs WHERE category <> '' AND invalid) SELECT measure, count(*) AS value FROM m GROUP BY 1""",
     "source_selection_plan": f"""WITH {_GEOMETRY}, {_CONFLICTS}, cat AS (SELECT content_sha256, annotation_a AS a, annotation_b AS b, true AS conflict, false AS done FROM co WHERE pair = 1 UNION ALL SELECT content_sha256, annotation, NULL, false, review_status <> 'UNRESOLVED' FROM gs),
 d AS (SELECT *, CASE WHEN NOT conflict THEN CASE WHEN k % 3 = 0 THEN 'KEEP_AS_IS' WHEN k % 7 = 0 THEN 'EXCLUDE' ELSE '' END WHEN k % 8 = 0 THEN 'KEEP_B' WHEN k % 5 = 0 THEN '' ELSE 'KEEP_A' END AS decision FROM (SELECT *, CAST(substr(content_sha256, 2) AS INTEGER) AS k FROM cat)),

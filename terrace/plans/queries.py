@@ -541,7 +541,7 @@ def review_unresolved(spark, d):
 
 @query
 def review_workload(spark, d):
-    return review.workload(*_reviewed(spark, d))
+    return review.workload(*_reviewed(spark, d, fixtures.MANY))
 
 
 @query

@@ -52,3 +52,8 @@ def test_unresolved_rows_hold_all_pairs_of_crowded_contents(spark, crowded):
     out = QUERIES["review_unresolved"](spark, crowded)
     assert out.where("issue_type = 'ANNOTATION_CONFLICT'").count() == 10 * 45
     assert out.where("issue_type = 'GEOMETRY'").count() > 0
+
+
+def test_workload_counts_all_pairs_of_crowded_contents(spark, crowded):
+    counts = {r["measure"]: r["value"] for r in QUERIES["review_workload"](spark, crowded).collect()}
+    assert counts["recommended REVIEW_BOTH"] == 10 * 45
