@@ -107,7 +107,8 @@ SELECT scan_ord, string_agg(r, '; ' ORDER BY r) AS reason FROM w WHERE r IS NOT
     "multiplicity_profile": "SELECT times, count(*) AS n_keys FROM (SELECT count(*) AS times FROM lineitem GROUP BY l_orderkey, l_linenumber) GROUP BY times",
     "snapshot_diff": """WITH b AS (SELECT doc_id, sha256(text) AS d FROM documents WHERE doc_id % 17 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN 'changed' ELSE sha256(text) END AS e FROM documents WHERE doc_id % 19 <> 0)
 SELECT doc_id, CASE WHEN e IS NULL THEN 'missing' WHEN d IS NULL THEN 'added' ELSE 'changed' END AS change FROM b FULL JOIN n USING (doc_id) WHERE d IS DISTINCT FROM e""",
-    "historical_versions": "SELECT doc_id, count(*) OVER w AS versions, min(doc_id) OVER w AS first, max(doc_id) OVER w AS last FROM documents WINDOW w AS (PARTITION BY text)",
+    "historical_versions": """WITH g AS (SELECT text, count(*) AS versions, min(doc_id) AS first, max(doc_id) AS last, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY text)
+SELECT doc_id, versions, first, last, coalesce(array_to_string(list_filter(ids, lambda i: i <> doc_id), ','), '') AS others FROM documents d JOIN g ON d.text IS NOT DISTINCT FROM g.text""",
     "validation_issues": f"""WITH {RING}, b AS (SELECT vec_id AS key, label, min(x) FILTER (WHERE TRUE) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM ring GROUP BY ALL),
 o AS (SELECT *, [CASE WHEN label % 3 = 2 THEN 'ERROR_INVALID_CLASS' END, CASE WHEN x2 <= x1 OR y2 <= y1 THEN 'ERROR_ZERO_OR_INVALID_BOX' END, CASE WHEN x1 < 0 OR y1 < 0 OR x2 > 700 OR y2 > 700 THEN 'ERROR_OUT_OF_BOUNDS' END, CASE WHEN label = 9 THEN 'ERROR_SHORT_POLYGON' END] AS s FROM b WHERE label <> 8),
 u AS (SELECT key, unnest(s) AS status FROM o)

@@ -122,10 +122,11 @@ def snapshot_diff(spark, d):
 
 @query
 def historical_versions(spark, d):
-    """Each document with the number of rows that hold its text, and the first and the last of them."""
-    docs = read_table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    held = docs.groupBy("h").agg(F.count("*").alias("versions"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return docs.join(held, "h").select("doc_id", "versions", "first", "last")
+    """Each document with the number of rows that hold its text, the first and the last of them, and the ids of all others."""
+    docs = read_table(spark, d, "documents").select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("h"))
+    held = docs.groupBy("h").agg(F.count("*").alias("versions"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    others = F.transform(F.filter("ids", lambda i: i != F.col("doc_id")), lambda i: i.cast("string"))
+    return docs.join(held, "h").select("doc_id", "versions", "first", "last", F.array_join(others, ",").alias("others"))
 
 
 # -- rules and statistics -----------------------------------------------------------------------------------------

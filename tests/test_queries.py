@@ -57,3 +57,10 @@ def test_unresolved_rows_hold_all_pairs_of_crowded_contents(spark, crowded):
 def test_workload_counts_all_pairs_of_crowded_contents(spark, crowded):
     counts = {r["measure"]: r["value"] for r in QUERIES["review_workload"](spark, crowded).collect()}
     assert counts["recommended REVIEW_BOTH"] == 10 * 45
+
+
+def test_historical_versions_name_all_rows_of_a_text(spark, tmp_path):
+    rows = [(1, "a"), (2, "a"), (4, "a"), (3, "b"), (5, None), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, QUERIES["historical_versions"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 3, 1, 4, "2,4"), (2, 3, 1, 4, "1,4"), (3, 1, 3, 3, ""), (4, 3, 1, 4, "1,2"), (5, 2, 5, 6, "6"), (6, 2, 5, 6, "5")]
