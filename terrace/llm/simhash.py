@@ -62,6 +62,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The signed number whose bit b is set if over half of the hashes have it; zero of none."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        raw = np.ascontiguousarray(hashes[at : at + CHUNK].astype("<i8"))
+        counts += np.unpackbits(raw.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tag, fp) with fp the fingerprint's bits as a signed long; tag is a hash of the id and the text."""
 

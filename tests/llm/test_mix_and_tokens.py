@@ -274,3 +274,25 @@ def test_near_duplicates_of_the_pipeline(spark, monkeypatch, every, block):
     want = plain_near_duplicates(rows)
     out = P.drop_near_duplicates(spark, docs, None) if every > 1 else J.deduplicated(docs, every=every)
     assert sorted(r["doc_id"] for r in out.collect()) == want and len(want) < len(rows) - 20
+
+
+def test_fingerprints_link_near_duplicates_of_the_pipeline(spark, monkeypatch):
+    """The search over fingerprints links near copies without the set join, after whole sets have been compared."""
+    import corpus_pipeline as P
+    from terrace.llm import jaccard as J
+    from terrace.llm import simhash as S
+
+    rng = random.Random(8)
+    rows, near = [], set()
+    for k in range(30):
+        base = [f"w{rng.randrange(900)}" for _ in range(300)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-1], "other"]))]
+        own = [S.fingerprint_of(J.shingles(t)) for _, t in rows[-2:]]
+        if ((own[0] ^ own[1]) & (2**64 - 1)).bit_count() <= J.DISTANCE:
+            near.add(2 * k + 1)
+    rows += [(100, "one"), (101, "two"), (102, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(J, "shared_shingles", lambda sets, real=J.shared_shingles: real(sets).limit(0))
+    monkeypatch.setattr(J, "fingerprint_of", lambda hashes, real=S.fingerprint_of: 5 if len(hashes) < 2 else real(hashes))  # equal ones of other texts
+    kept = {r["doc_id"] for r in P.drop_near_duplicates(spark, docs, None).collect()}
+    assert len(near) > 20 and kept == {i for i, _ in rows} - near
