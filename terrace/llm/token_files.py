@@ -42,10 +42,10 @@ CHECKPOINT = 1 << 17
 PART = 8 << 20
 LOW = np.uint64(1 << 31)
 FEW_PARTS = 100_000
-#: Entries of a generation of the per-process cache, and characters of a part in it; what isn't met again in the next generation is forgotten.
+#: Parts in a generation of the per-process cache, and characters of a part in it; what isn't met again in the next generation is forgotten.
 HELD, HELD_CHARACTERS = 200_000, 64
-#: Bytes of texts that are split together.
-TOGETHER = 8 << 20
+#: Bytes of texts that are split together; what splitting holds besides counts in each worker.
+TOGETHER = 2 << 20
 #: Letters for which lower-casing and letter classes agree between the libraries, and which normalisation leaves alone.
 PLAIN = "".join(c for c in map(chr, range(0x41, 0x180)) if c.isalpha() and c not in "ªµºİıŉſ")
 #: What parts are cut from here; an apostrophe can begin an ending, so pieces with one are not cut.
@@ -55,20 +55,28 @@ ONLY_SAFE = f"^[{PLAIN}0-9{re.escape(MARKS)}]*$"
 RUNS = f"([{PLAIN}]+|[0-9])"
 
 
-class _Held(dict):
-    """Ids of parts; one that isn't there comes from the generation before or is encoded."""
-
-    def __init__(self, old: dict, encode):
-        super().__init__()
-        self.old, self.encode = old, encode
-
-    def __missing__(self, part: str) -> bytes:
-        got = self.old.get(part)
-        if got is None:
-            got = self.encode(part)
-        if len(part) <= HELD_CHARACTERS:
-            self[part] = got
-        return got
+class _Held:
+    """Ids of parts, met in this generation or the one before, as Arrow columns: some tens of bytes a part, where objects in a dict take hundreds."""
+
+    def __init__(self, encode):
+        self.encode = encode
+        self.parts, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.old = self.parts, self.ids
+
+    def of(self, parts: pa.Array) -> pa.Array:
+        """The ids of these parts, all distinct; what isn't held is encoded."""
+        if len(self.parts) > HELD:
+            self.old = self.parts, self.ids
+            self.parts, self.ids = self.parts[:0], self.ids[:0]
+        at = pc.index_in(parts, pa.concat_arrays([self.parts, self.old[0]]))
+        new = pa.array([self.encode(p) for p in parts.filter(at.is_null()).to_pylist()], pa.binary())
+        known, at = len(self.parts) + len(self.old[0]), at.to_numpy(zero_copy_only=False)
+        absent = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
+        at = np.where(absent, known + np.cumsum(absent) - 1, at).astype(np.int64)
+        out = pa.concat_arrays([self.ids, self.old[1], new]).take(pa.array(at))
+        keep = pa.array((at >= len(self.parts)) & (pc.utf8_length(parts).to_numpy() <= HELD_CHARACTERS))
+        self.parts, self.ids = pa.concat_arrays([self.parts, parts.filter(keep)]), pa.concat_arrays([self.ids, out.filter(keep)])
+        return out
 
 
 class Encoder:
@@ -87,7 +95,7 @@ class Encoder:
         self.end = end
         self.dtype = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         self.by_words = self._splits()
-        self.held = _Held({}, self._part)
+        self.held = _Held(self._part)
         # the byte-to-character table of byte-level vocabularies, as the library itself gives it
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.visible = {c: level.pre_tokenize_str(c)[0][0] for c in SAFE}
@@ -111,21 +119,20 @@ class Encoder:
 
     def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts one after the other, and where each text's end."""
-        if len(self.held) > HELD:
-            self.held = _Held(dict(self.held), self._part)
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        starts = np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False)))
         flat = pieces.flatten().dictionary_encode()
+        del pieces
         safe = pc.and_not(pc.match_substring_regex(flat.dictionary, ONLY_SAFE), pc.match_substring(flat.dictionary, "<|"))
         cut = pc.replace_substring_regex(pc.utf8_lower(flat.dictionary), RUNS, r" \1 ")
         parts = pc.split_pattern(pc.if_else(safe, cut, flat.dictionary), " ")
         named = parts.flatten().dictionary_encode()
-        held = self.held
-        coded = pa.array([held[p] for p in named.dictionary.to_pylist()], pa.binary())
         # parts in place, so pieces are runs of their bytes; pieces in place, and texts are
-        of_piece = _joined(coded.take(named.indices), parts)
+        of_piece = _joined(self.held.of(named.dictionary).take(named.indices), parts)
+        del cut, parts, named
         of_text = of_piece.take(flat.indices)
+        del flat
         width = self.dtype.itemsize
-        starts = np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False)))
         at = np.frombuffer(of_text.buffers()[1], np.int32)
         ids = np.frombuffer(of_text.buffers()[2], self.dtype, at[len(of_text)] // width) if at[len(of_text)] else np.zeros(0, self.dtype)
         return ids, at[starts[1:]] // width

@@ -1,8 +1,10 @@
 """Mixing and token files: targets, whole documents, exact round trips; and the pipeline that ends in them."""
 
+import gc
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -182,6 +184,32 @@ def test_long_texts_are_cut_at_spaces(monkeypatch):
         assert got == ENCODER.tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
 
 
+def test_parts_are_held_in_tens_of_bytes():
+    e, words = K.Encoder(WORDS, 2), [f"q{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(60_000)]
+    gc.collect()
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        for _ in e.encode(pa.array([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)])):
+            pass
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    assert held < 60 * len(words), f"{held / len(words):.0f} bytes a part"
+
+
+def test_ids_over_generations_of_held_parts(monkeypatch):
+    monkeypatch.setattr(K, "HELD", 20)
+    monkeypatch.setattr(K, "TOGETHER", 100)
+    e = K.Encoder(WORDS, 2)
+    texts = [" ".join(f"{'abcdefgh'[j % 8]}{'klmnopqrstuvwxyz'[(i * j) % 16]}ed" for j in range(i % 23)) for i in range(200)] + ["x" * 70 + " x", None, ""]
+    for got, text in zip(encoded(e, texts), texts, strict=True):
+        assert got == e.tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+    for parts in (e.held.parts, e.held.old[0]):
+        assert len(parts) == len(set(parts.to_pylist())) < 20 + 100 and max(map(len, parts.to_pylist())) <= K.HELD_CHARACTERS
+
+
 def test_token_files(spark, docs, extra, none, tmp_path):
     want = sorted(plain_tokens(docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     for d, block in ((docs, 1 << 18), (extra, 50)):
